@@ -1,6 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from statera.llm import queries_sets, queries_text
+from statera.llm import queries_pages, queries_sets, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_sets.QUERIES}
-ORACLE = {**queries_text.ORACLE, **queries_sets.ORACLE}
+QUERIES = {**queries_text.QUERIES, **queries_sets.QUERIES, **queries_pages.QUERIES}
+ORACLE = {**queries_text.ORACLE, **queries_sets.ORACLE, **queries_pages.ORACLE}
