@@ -1,14 +1,41 @@
-"""Queries op7, op8 and op10: thin digests of their operators' results."""
+"""Queries op1, op3, op7, op8 and op10: thin digests of their operators' results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm import chat, fingerprints
+from statera.llm import chat, fingerprints, language, licenses, neighbours
 from statera.llm.common import read_table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    learnt = language.profiles(docs.where(~F.col("held_out")))
+    return language.predictions(docs, learnt, ["doc_id", "held_out"])
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"])
+    start = F.transform(base, lambda m: m["start"].cast("long"))
+    labels = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["cover"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -29,12 +56,26 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op8_chat_formatting": op8_chat_formatting, "op10_document_fingerprints": op10_document_fingerprints}
+QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op3_language_id": op3_language_id,
+    "op7_license_scan": op7_license_scan,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op10_document_fingerprints": op10_document_fingerprints,
+}
 
 #: The template's length and its escapes are its own, so formatted_chars counts them: a turn takes 16 characters of
 #: marks, a conversation 3, each control string in a text or role one more.
 _CONTROL = r"[<\[]\\*(?:s>|/s>|INST\]|/INST\]|TURN\]|TEXT\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)"
 ORACLE = {
+    "op1_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+                AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+        d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_chat_formatting": rf"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
