@@ -16,6 +16,7 @@ NA = "struct<reason:string,detail:string,refs:array<string>,root_reason:string,r
 FIGURE = f"struct<value:decimal(38,4),currency:string,rank:int,extraction:string,refs:array<string>,na:{NA}>"
 RATIO = f"struct<value:decimal(38,18),unit:string,rank:int,refs:array<string>,na:{NA}>"
 NO_REFS = "array<string>"
+FIGURE_FIELDS, RATIO_FIELDS = "value currency rank extraction refs na", "value unit rank refs na"
 
 
 def no_refs() -> Column:
@@ -31,26 +32,31 @@ def reason(code: str, detail: Column | str, refs: Column | None = None, cause: C
     said = F.lit(detail) if isinstance(detail, str) else detail
     root = (F.lit(code), said) if cause is None else (F.coalesce(cause["root_reason"], F.lit(code)), F.coalesce(cause["root_detail"], said))
     held = no_refs() if refs is None else F.coalesce(refs, no_refs())
-    return F.struct(F.lit(code).alias("reason"), said.alias("detail"), held.alias("refs"), root[0].alias("root_reason"), root[1].alias("root_detail")).cast(NA)
+    return F.struct(F.lit(code).alias("reason"), said.alias("detail"), held.alias("refs"), root[0].alias("root_reason"), root[1].alias("root_detail"))
 
 
 def none(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _struct(names: str, *parts: Column) -> Column:
+    """Named without a cast, which would copy every nested field."""
+    return F.struct(*[p.alias(n) for n, p in zip(names.split(), parts, strict=True)])
+
+
 def absent(na: Column, kind: str = FIGURE) -> Column:
     """A figure or ratio of which there is only the reason."""
     if kind == FIGURE:
-        return F.struct(none("decimal(38,4)"), none("string"), none("int"), none("string"), no_refs(), na).cast(kind)
-    return F.struct(none("decimal(38,18)"), none("string"), none("int"), no_refs(), na).cast(kind)
+        return _struct(FIGURE_FIELDS, none("decimal(38,4)"), none("string"), none("int"), none("string"), no_refs(), na)
+    return _struct(RATIO_FIELDS, none("decimal(38,18)"), none("string"), none("int"), no_refs(), na)
 
 
 def figure(value: Column, currency: Column, rank: Column, extraction: Column, refs: Column) -> Column:
-    return F.struct(value.cast("decimal(38,4)"), currency, rank.cast("int"), extraction, refs, none(NA)).cast(FIGURE)
+    return _struct(FIGURE_FIELDS, value.cast("decimal(38,4)"), currency, rank.cast("int"), extraction, refs, none(NA))
 
 
 def ratio(value: Column, unit: str, rank: Column, refs: Column) -> Column:
-    return F.struct(value.cast("decimal(38,18)"), F.lit(unit), rank.cast("int"), refs, none(NA)).cast(RATIO)
+    return _struct(RATIO_FIELDS, value.cast("decimal(38,18)"), F.lit(unit), rank.cast("int"), refs, none(NA))
 
 
 def known(x: Column) -> Column:
@@ -86,8 +92,7 @@ def missing(name: str, year: Column, *items: Column) -> Column:
     return reason("missing_input", text(f"{name} ", year, ": ", cause["detail"]), cause_refs(*items), cause)
 
 
-def divide(a: Column, b: Column) -> Column:
-    """a / b with 18 decimals where both fit 20 digits, else with as many as the type leaves; null for b = 0 or overflow."""
-    narrow = "decimal(20,4)"
+def divide(a: Column, b: Column, narrow: str = "decimal(20,4)") -> Column:
+    """a / b with 18 decimals where both fit ``narrow``, else with as many as the type leaves; null for b = 0 or overflow."""
     exact = F.try_divide(a.try_cast(narrow), b.try_cast(narrow)).try_cast("decimal(38,18)")
     return F.coalesce(exact, F.try_divide(a, b).try_cast("decimal(38,18)"))

@@ -12,6 +12,11 @@ from statera.functions.vocabulary import CHANGES, CONCEPTS
 CHANGE = f"struct<subject:string,from_year:int,absolute:decimal(38,18),relative:decimal(38,18),relative_na:{NA},direction:string,economic:string,na:{NA}>"
 
 
+def _change(*parts: Column) -> Column:
+    names = ("subject", "from_year", "absolute", "relative", "relative_na", "direction", "economic", "na")
+    return F.struct(*[p.alias(n) for n, p in zip(names, parts, strict=True)])
+
+
 def change(subject: str, now: Column, before: Column, from_year: Column) -> Column:
     """One change as a struct; the later side's reason is named first. No change for the oldest period: null."""
     year, sense = F.col("end_year"), CHANGES[subject]
@@ -24,8 +29,8 @@ def change(subject: str, now: Column, before: Column, from_year: Column) -> Colu
     economic = F.when(difference > 0, word[sense]).when(difference < 0, word[-sense]).otherwise("neutral")
     zero = F.when(before["value"] == 0, reason("division_by_zero", f"{subject}: prior period is zero"))
     absolute = difference.try_cast("decimal(38,18)")
-    made = F.struct(F.lit(subject), from_year, absolute, divide(difference, F.abs(before["value"])), zero, direction, economic, none(NA)).cast(CHANGE)
-    gone = F.struct(F.lit(subject), from_year, none("decimal(38,18)"), none("decimal(38,18)"), none(NA), none("string"), none("string"), lost).cast(CHANGE)
+    made = _change(F.lit(subject), from_year, absolute, divide(difference, F.abs(before["value"]), "decimal(20,4)" if subject in CONCEPTS else "decimal(20,14)"), zero, direction, economic, none(NA))
+    gone = _change(F.lit(subject), from_year, none("decimal(38,18)"), none("decimal(38,18)"), none(NA), none("string"), none("string"), lost)
     return F.when(from_year.isNull(), none(CHANGE)).when(cause.isNotNull(), gone).otherwise(made)
 
 

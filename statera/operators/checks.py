@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from statera.functions.maybe import NA, all_known, first_reason, joined_refs, none, no_refs, text
 from statera.functions.vocabulary import BALANCE, CASH_FLOW, CHECKS, INCOME, TOLERANCE
 
-MONEY = "decimal(38,4)"
-CHECK = f"struct<name:string,status:string,left:{MONEY},right:{MONEY},delta:{MONEY},tolerance:{MONEY},detail:string,refs:array<string>,na:{NA}>"
+MONEY, LIMIT = "decimal(38,4)", "decimal(38,7)"
+
+
+def _check(*parts: Column) -> Column:
+    names = ("name", "status", "left", "right", "delta", "tolerance", "detail", "refs", "na")
+    return F.struct(*[p.alias(n) for n, p in zip(names, parts, strict=True)])
 
 
 def check(name: str, left: Column, parts: list[Column], right: Column, base: Column, exact: bool, suspects: Column) -> Column:
@@ -17,14 +21,14 @@ def check(name: str, left: Column, parts: list[Column], right: Column, base: Col
     items = [left, *parts, base]
     cause = first_reason(*items)
     delta = F.try_subtract(left["value"], right)
-    tolerance = F.lit(0).cast(MONEY) if exact else (F.abs(base["value"]) * F.lit(TOLERANCE).cast("decimal(4,3)")).cast(MONEY)
+    tolerance = F.lit(0).cast(LIMIT) if exact else (F.abs(base["value"]).cast("decimal(33,4)") * F.lit(TOLERANCE).cast("decimal(4,3)")).cast(LIMIT)
     passed = F.abs(delta) <= tolerance
     said = text(f"{CHECKS[name]}: ", left["value"], " vs ", right)
     over = text(said, ", delta ", delta, " exceeds tolerance ", tolerance)
     over = F.when(F.size(suspects) > 0, text(over, "; dash-zero cells applied on this statement: ", F.array_join(suspects, ", "))).otherwise(over)
     money = lambda x: x.try_cast(MONEY)
-    live = F.struct(F.lit(name), F.when(passed, "passed").otherwise("warning"), money(left["value"]), money(right), money(delta), money(tolerance), F.when(passed, said).otherwise(over), joined_refs(*items), none(NA)).cast(CHECK)
-    dead = F.struct(F.lit(name), F.lit("unavailable"), left["value"], none(MONEY), none(MONEY), F.lit(0).cast(MONEY), text("cannot check: ", cause["root_detail"]), joined_refs(*items), cause).cast(CHECK)
+    live = _check(F.lit(name), F.when(passed, "passed").otherwise("warning"), money(left["value"]), money(right), money(delta), tolerance, F.when(passed, said).otherwise(over), joined_refs(*items), none(NA))
+    dead = _check(F.lit(name), F.lit("unavailable"), left["value"], none(MONEY), none(MONEY), F.lit(0).cast(LIMIT), text("cannot check: ", cause["root_detail"]), joined_refs(*items), cause)
     return F.when(all_known(*items), live).otherwise(dead)
 
 

@@ -21,13 +21,14 @@ DERIVED = {"total_debt": ("short_term_borrowings", "long_term_borrowings"), "fre
 
 
 def by_year(values: DataFrame, periods: DataFrame) -> DataFrame:
-    """document_id, end_year and a figure column for every concept, for every period of a document.
+    """document_id, end_year and a figure column for every concept, for every period of a document; _any: a value is there.
 
     values: document_id, concept, end_year, value, currency, extraction, rank, refs, na, at most one row for a concept and year.
     """
     cell = F.struct("value", "currency", "rank", "extraction", "refs", "na").cast(FIGURE)
     found = values.groupBy("document_id", "end_year").agg(*[F.max(F.when(F.col("concept") == c, cell)).alias(c) for c in CONCEPTS])
-    rows = periods.select("document_id", "end_year").distinct().join(found, ["document_id", "end_year"], "left")
+    some = F.coalesce(*[F.col(c)["value"] for c in CONCEPTS]).isNotNull()
+    rows = periods.select("document_id", "end_year").distinct().join(found.withColumn("_any", some), ["document_id", "end_year"], "left")
     default = lambda c: absent(reason("missing_input", text(f"{c} not mapped for ", F.col("end_year"))))
     return rows.withColumns({c: F.coalesce(F.col(c), default(c)) for c in CONCEPTS})
 

@@ -1,0 +1,136 @@
+"""Tables from word positions (L9-L17) and tables continued over pages (L18): folds whose order matters, one Arrow kernel per page or document.
+
+Words are document_id, page, text, x0, x1, top. A grid is a header of column labels and rows of a label and cells.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Points by which words of a line, columns, spans and continued columns may differ.
+LINE, GAP, SLACK, SHIFT, LEAST_ROWS, LEAST_COLUMNS = 3.0, 14.0, 6.0, 5.0, 3, 2
+_YEAR = re.compile(r"(?<![0-9])(?:19|20|21)[0-9]{2}(?![0-9])")
+_VALUE = re.compile(r"^(?:\(?[-+]?[0-9][0-9,]*(?:\.[0-9]+)?\)?-?%?|[-–—]|\(|\))$")
+_UNIT = {"$", "₹", "€", "£", "rs", "rs.", "inr", "usd"}
+
+GRID = "document_id string, page int, grid int, row_idx int, label string, cells array<string>, header array<string>, col_x array<double>"
+
+
+def lines_of(words: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Words of one line, left to right: those whose top is within 3 points of the line's first word."""
+    words = words.assign(_t=words["top"].round()).sort_values(["_t", "x0"], kind="stable")
+    tops, place, first = words["top"].to_numpy(), np.zeros(len(words), int), None
+    line = -1
+    for i, top in enumerate(tops):
+        if first is None or abs(top - first) > LINE:
+            line, first = line + 1, top
+        place[i] = line
+    for _, part in words.groupby(place):
+        yield part.sort_values("x0", kind="stable")
+
+
+def halves(line: pd.DataFrame) -> tuple[str, list[tuple[str, float, float]]]:
+    """The label, and the run of values that ends the line (text, left, right); a lone parenthesis joins its number."""
+    rows = [(t, a, b) for t, a, b in zip(line["text"], line["x0"], line["x1"], strict=True)]
+    joined: list[tuple[str, float, float]] = []
+    for t, a, b in rows:
+        if joined and (t == ")" or joined[-1][0] == "("):
+            joined[-1] = (joined[-1][0] + t, joined[-1][1], b)
+        else:
+            joined.append((t, a, b))
+    k = len(joined)
+    while k and (_VALUE.match(joined[k - 1][0]) or joined[k - 1][0].lower() in _UNIT):
+        k -= 1
+    values = [v for v in joined[k:] if v[0].lower() not in _UNIT]
+    return " ".join(t for t, _, _ in joined[:k]), values
+
+
+def spans_of(edges: list[float]) -> list[tuple[float, float]]:
+    """Runs of right edges with gaps of 14 points at most, of two members or more."""
+    x = np.sort(np.array(edges))
+    parts = np.split(x, np.flatnonzero(np.diff(x) > GAP) + 1) if len(x) else []
+    return [(float(p[0]), float(p[-1])) for p in parts if len(p) > 1]
+
+
+def _column(right: float, spans: list[tuple[float, float]]) -> int | None:
+    return next((i for i, (a, b) in enumerate(spans) if a - SLACK <= right <= b + SLACK), None)
+
+
+def grids_of(words: pd.DataFrame) -> Iterator[tuple[list[str], list[float], list[tuple[str, list[str]]]]]:
+    """(header, column places, rows) of each grid of a page; a line of years below rows of data begins a new one."""
+    held: list[tuple[list[tuple[float, str]], list[tuple[str, list[tuple[str, float, float]]]]]] = [([], [])]
+    for line in lines_of(words):
+        years = [((a + b) / 2, t) for t, a, b in zip(line["text"], line["x0"], line["x1"], strict=True) if _YEAR.search(t)]
+        label, values = halves(line)
+        amounts = [v for v in values if not _YEAR.fullmatch(v[0])]
+        if years and not amounts:
+            if held[-1][1]:
+                held.append(([], []))
+            held[-1][0].extend(years)
+        elif values:
+            held[-1][1].append((label, amounts or values))
+    for years, data in held:
+        spans = spans_of([v[2] for _, values in data for v in values])
+        if len(data) < LEAST_ROWS or len(spans) < LEAST_COLUMNS:
+            continue
+        header = [""] * len(spans)
+        for centre, text in years:
+            near = int(np.argmin([abs(centre - (a + b) / 2) for a, b in spans]))
+            header[near] = header[near] or text
+        kept = [i for i, h in enumerate(header) if h] or list(range(len(spans)))
+        rows = []
+        for label, values in data:
+            cells = [""] * len(spans)
+            for text, _, right in values:
+                if (i := _column(right, spans)) is not None and not cells[i]:
+                    cells[i] = text
+            rows.append((label, [cells[i] for i in kept]))
+        if len(kept) >= LEAST_COLUMNS:
+            yield [header[i] for i in kept], [spans[i][1] for i in kept], rows
+
+
+def word_grids(words: DataFrame) -> DataFrame:
+    """A row for each grid row of every page (see GRID); pages are independent tasks of the words on one page."""
+
+    def build(page: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, (header, places, rows) in enumerate(grids_of(page)):
+            out += [(page["document_id"].iloc[0], int(page["page"].iloc[0]), n, i, label, cells, header, places) for i, (label, cells) in enumerate(rows)]
+        return pd.DataFrame(out, columns=["document_id", "page", "grid", "row_idx", "label", "cells", "header", "col_x"])
+
+    return words.groupBy("document_id", "page").applyInPandas(build, GRID)
+
+
+def stitched(tables: DataFrame) -> DataFrame:
+    """document_id, table_id, root: the table that each one continues, itself if none.
+
+    tables: document_id, table_id, first_page, n_columns, header (null if it has none), col_x, heading. A table continues
+    one on the page before that has as many columns within 5 points, the same header or none, and the same or no heading.
+    """
+
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        open_: list[dict] = []
+        out = []
+        for r in b.sort_values(["first_page", "table_id"]).to_dict("records"):
+            root = next((o for o in open_ if _continues(o, r)), None)
+            if root is None:
+                root = dict(r, root=r["table_id"])
+                open_.append(root)
+            else:
+                root.update(first_page=r["first_page"], col_x=r["col_x"])
+            out.append((r["document_id"], r["table_id"], root["root"]))
+        return pd.DataFrame(out, columns=["document_id", "table_id", "root"])
+
+    kind = "document_id string, table_id string, root string"
+    return tables.groupBy("document_id").applyInPandas(fold, kind)
+
+
+def _continues(a: dict, b: dict) -> bool:
+    same_header = b["header"] is None or (a["header"] is not None and list(a["header"]) == list(b["header"]))
+    places = a["n_columns"] == b["n_columns"] and all(abs(x - y) <= SHIFT for x, y in zip(a["col_x"][1:], b["col_x"][1:], strict=False))
+    return b["first_page"] == a["first_page"] + 1 and places and same_header and (not b["heading"] or b["heading"] == a["heading"])

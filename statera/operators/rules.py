@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.functions.maybe import NA, all_known, divide, first_reason, known, merged_refs, no_refs, none, reason, text
+from statera.functions.maybe import NA, divide, first_reason, known, merged_refs, no_refs, none, reason, text
 from statera.functions.vocabulary import RULES
 
-VERDICT = f"struct<fired:boolean,refs:array<string>,detail:string,na:{NA}>"
 FLAG = f"struct<rule_id:string,outcome:string,severity:string,message:string,refs:array<string>,na:{NA}>"
 #: The limits of the rules.
 COMPRESSION, LEVERAGE_RISE, LEVERAGE_FLOOR, HIGH_LEVERAGE, LIQUIDITY, EARNINGS, JUMP, TURNOVER = "0.02", "0.25", "1.0", "2.0", "1.0", "0.7", 100, 20
@@ -29,10 +28,14 @@ def limit(x: str) -> Column:
 def verdict(fired: Column, refs: Column, detail: Column | str, na: Column | None = None) -> Column:
     """What a rule found; where na is not null, only that it could not be evaluated."""
     said = F.lit(detail) if isinstance(detail, str) else detail
-    found = F.struct(fired, refs, said, none(NA)).cast(VERDICT)
     if na is None:
-        return found
-    return F.when(na.isNotNull(), F.struct(none("boolean"), F.coalesce(na["refs"], no_refs()), none("string"), na).cast(VERDICT)).otherwise(found)
+        return _verdict(fired, refs, said, none(NA))
+    live = na.isNull()
+    return _verdict(F.when(live, fired), F.when(live, refs).otherwise(F.coalesce(na["refs"], no_refs())), F.when(live, said), na)
+
+
+def _verdict(*parts: Column) -> Column:
+    return F.struct(*[p.alias(n) for n, p in zip(("fired", "refs", "detail", "na"), parts, strict=True)])
 
 
 def _change(subject: str) -> Column:
@@ -109,16 +112,10 @@ def _verdicts() -> dict[str, Column]:
 
 def latest(rows: DataFrame) -> DataFrame:
     """The newest period of each document, with revenue, assets and equity of the newest older period that has any value."""
-    any_value = all_unknown = None
-    from statera.functions.vocabulary import CONCEPTS
-
-    for c in CONCEPTS:
-        all_unknown = ~known(F.col(c)) if all_unknown is None else all_unknown & ~known(F.col(c))
-    any_value = ~all_unknown
     older = Window.partitionBy("document_id").orderBy("end_year").rowsBetween(Window.unboundedPreceding, -1)
     names = ("revenue", "total_assets", "equity")
     old = F.struct(F.col("end_year").alias("year"), *names)
-    rows = rows.withColumn("_old", F.last(F.when(any_value, old), ignorenulls=True).over(older))
+    rows = rows.withColumn("_old", F.last(F.when(F.col("_any"), old), ignorenulls=True).over(older))
     newest = Window.partitionBy("document_id").orderBy(F.desc("end_year"))
     rows = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
     return rows.withColumns({"_old_year": F.col("_old.year"), **{f"_old_{n}": F.col(f"_old.{n}") for n in names}}).drop("_n", "_old")
@@ -129,14 +126,14 @@ def flags(rows: DataFrame) -> DataFrame:
 
     rows: figures.analysed with changes and checks.
     """
-    cells = []
-    for rule, v in _verdicts().items():
-        severity, fired, clear = RULES[rule]
-        begin, end = fired.split("{detail}")
-        message = F.when(v["na"].isNotNull(), text("Could not evaluate: ", v["na"]["root_detail"])).when(v["fired"], text(begin, v["detail"], end)).otherwise(F.lit(clear))
-        outcome = F.when(v["na"].isNotNull(), "not_evaluated").when(v["fired"], "fired").otherwise("clear")
-        cells.append(F.struct(F.lit(rule), outcome, F.lit(severity), message, v["refs"], v["na"]).cast(FLAG))
-    return latest(rows).select("document_id", F.explode(F.array(*cells)).alias("f")).select("document_id", "f.*")
+    cells = F.array(*[F.struct(F.lit(rule).alias("rule_id"), v.alias("v")) for rule, v in _verdicts().items()])
+    found = latest(rows).select("document_id", F.explode(cells).alias("f")).select("document_id", "f.rule_id", "f.v")
+    table = F.create_map(*[x for r, (s, fired, clear) in RULES.items() for x in (F.lit(r), F.struct(F.lit(s).alias("severity"), F.lit(fired).alias("fired"), F.lit(clear).alias("clear")))])
+    found = found.withColumn("rule", F.element_at(table, F.col("rule_id")))
+    fired, na = F.col("v.fired"), F.col("v.na")
+    message = F.when(na.isNotNull(), text("Could not evaluate: ", na["root_detail"])).when(fired, F.replace(F.col("rule.fired"), F.lit("{detail}"), F.col("v.detail"))).otherwise(F.col("rule.clear"))
+    outcome = F.when(na.isNotNull(), "not_evaluated").when(fired, "fired").otherwise("clear")
+    return found.select("document_id", "rule_id", outcome.alias("outcome"), F.col("rule.severity").alias("severity"), message.alias("message"), F.col("v.refs").alias("refs"), F.col("v.na").alias("na"))
 
 
 def without_periods(documents: DataFrame) -> DataFrame:

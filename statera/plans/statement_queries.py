@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.functions.vocabulary import CHANGES, CONCEPTS, METRICS, RULES
-from statera.operators import changes, checks, figures, rules
+from statera.operators import changes, checks, figures, rules, views
 from statera.plans.issuer_years import CURRENCY, FACTS, analysis, values
 
 D = "double"
@@ -68,6 +68,41 @@ def red_flag_messages(spark: SparkSession, d: str) -> DataFrame:
     return rules.flags(analysis(spark, d)).select("document_id", "rule_id", "message", F.array_join("refs", ",").alias("refs"))
 
 
+def kpi_cards(spark: SparkSession, d: str) -> DataFrame:
+    out = views.kpi_cards(analysis(spark, d))
+    return out.select("document_id", F.col("position").cast("long").alias("position"), "name", "label", F.col("period").cast("long").alias("period"), "reads", "status", (F.col("value") == "N/A").alias("missing"), (F.col("delta") == "").alias("no_delta"))
+
+
+def kpi_texts(spark: SparkSession, d: str) -> DataFrame:
+    return views.kpi_cards(analysis(spark, d)).select("document_id", "name", "value", "delta")
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = views.metric_rows(figures.metrics_long(analysis(spark, d)))
+    return out.select("document_id", "metric", F.col("period").cast("long").alias("period"), "status", F.when(F.col("status") == "na", F.col("value")).alias("why"))
+
+
+def flag_order(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    found = rules.flags(analysis(spark, d))
+    place = F.when(F.col("outcome") == "fired", 0).when(F.col("outcome") == "not_evaluated", 1).otherwise(2)
+    order = Window.partitionBy("document_id").orderBy(place, "rule_id")
+    return found.select("document_id", "rule_id", F.row_number().over(order).cast("long").alias("position"))
+
+
+def _chart(build):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return build(analysis(spark, d)).withColumn("period", F.col("period").cast("long"))
+
+    return query
+
+
+def chart_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.latest(analysis(spark, d)).select("document_id", "end_year", F.explode("checks").alias("c"))
+    return rows.select("document_id", F.col("end_year").cast("long").alias("period"), "c.name", "c.status", F.col("c.left").cast(D).alias("left"), F.col("c.right").cast(D).alias("right"))
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------------
 
 _SUMS = """
@@ -205,8 +240,35 @@ QUERIES = {
     "reconciliation_checks": reconciliation_checks,
     "red_flags_latest": red_flags_latest,
     "red_flag_messages": red_flag_messages,
+    "kpi_cards": kpi_cards,
+    "kpi_texts": kpi_texts,
+    "metric_rows": metric_rows,
+    "flag_order": flag_order,
+    "chart_performance": _chart(lambda rows: views.series(rows, views.PERFORMANCE, "figure")),
+    "chart_margins": _chart(lambda rows: views.series(rows, views.MARGINS, "ratio")),
+    "chart_balance": _chart(views.balance_series),
+    "chart_cash": _chart(views.cash_waterfall),
+    "chart_reconciliation": chart_reconciliation,
 }
+_CARDS_SQL = " UNION ALL ".join(
+    f"""SELECT document_id, {i} AS position, '{n}' AS name, '{views.LABELS[n]}' AS label, y AS period,
+        CASE WHEN {n} IS NULL OR b IS NULL THEN 'neutral' WHEN {n} > b THEN '{"positive" if CHANGES[n] > 0 else "negative"}' WHEN {n} < b THEN '{"negative" if CHANGES[n] > 0 else "positive"}' ELSE 'neutral' END AS reads,
+        CASE WHEN {n} IS NULL THEN 'na' ELSE 'ok' END AS status, {n} IS NULL AS missing, {n} IS NULL OR b IS NULL AS no_delta
+        FROM (SELECT *, lag({n}) OVER (PARTITION BY document_id ORDER BY y) AS b, row_number() OVER (PARTITION BY document_id ORDER BY y DESC) AS k FROM rows) WHERE k = 1"""
+    if n in CHANGES else f"""SELECT document_id, {i}, '{n}', '{views.LABELS[n]}', y, 'neutral', CASE WHEN {n} IS NULL THEN 'na' ELSE 'ok' END, {n} IS NULL, true
+        FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY y DESC) AS k FROM rows) WHERE k = 1"""
+    for i, n in enumerate(views.CARDS)
+)
+
 ORACLE = {
+    "kpi_cards": "WITH " + _ROWS + " " + _CARDS_SQL,
+    "flag_order": f"{_FLAGS} SELECT document_id, rule_id, row_number() OVER (PARTITION BY document_id ORDER BY CASE outcome WHEN 'fired' THEN 0 WHEN 'not_evaluated' THEN 1 ELSE 2 END, rule_id) AS position FROM flags",
+    "chart_performance": "WITH " + _ROWS + " SELECT * FROM (" + _unpivot(views.PERFORMANCE, "rows", "document_id, y AS period, '{x}' AS series, round_even({x}, 2)::DOUBLE AS value") + ") WHERE value IS NOT NULL",
+    "chart_balance": "WITH " + _ROWS + ", whole AS (SELECT * FROM rows WHERE total_assets + total_liabilities + equity IS NOT NULL) " + _unpivot(views.BALANCE_PARTS, "whole", "document_id, y AS period, '{x}' AS series, round_even({x}, 2)::DOUBLE AS value"),
+    "chart_cash": "WITH " + _ROWS + """, newest AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY y DESC) = 1), c AS (SELECT * FROM newest WHERE free_cash_flow IS NOT NULL)
+        SELECT document_id, y AS period, 'operating_cash_flow' AS step, 0::DOUBLE AS start, operating_cash_flow::DOUBLE AS "end", operating_cash_flow::DOUBLE AS amount FROM c
+        UNION ALL SELECT document_id, y, 'capex', operating_cash_flow::DOUBLE, (operating_cash_flow - abs(capex))::DOUBLE, -abs(capex)::DOUBLE FROM c
+        UNION ALL SELECT document_id, y, 'free_cash_flow', 0, free_cash_flow::DOUBLE, free_cash_flow::DOUBLE FROM c""",
     "issuer_year_values": f"{_VALUES} SELECT document_id, concept, end_year, value::DOUBLE AS value, {CURRENCY} AS currency FROM facts WHERE value IS NOT NULL",
     "period_union_ordered": "SELECT n_name AS document_id, year(o_orderdate) AS end_year, row_number() OVER (PARTITION BY n_name ORDER BY year(o_orderdate) DESC) AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, year(o_orderdate)",
     "derived_values": "WITH " + _ROWS + " " + _unpivot(["total_debt", "free_cash_flow", "ebitda"], "rows", "document_id, '{x}' AS concept, y AS end_year, {x}::DOUBLE AS value, r_{x} AS reason"),
