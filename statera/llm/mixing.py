@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.llm.common import buckets_for, running_start, stored
@@ -179,7 +179,8 @@ def mix(rows: DataFrame, plan: Plan) -> DataFrame:
     parts = held.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), last)))
     begin = F.greatest(F.col("_start"), F.col("_block") * block)
     end = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block, F.col("_block") * block + F.col("words"))
-    out = slots(rows.sparkSession, plan).join(parts, ["_source", "_block"])
+    # both sides grow with the corpus, whatever is estimated of the slots' size
+    out = slots(rows.sparkSession, plan).join(parts.hint("merge"), ["_source", "_block"])
     out = out.select("shard", "slot", "copy", "_source", "_start", "doc_id", (begin - F.col("_start")).alias("first"), (end - begin).alias("n_words"))
     return out.where("n_words > 0")
 
@@ -210,11 +211,14 @@ def mixed_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: i
     """
     rows, mixed, _ = mixture(docs, seed, block, shard)
     spans = mixed.groupBy("_source", "_start", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("spans"))
-    keyed = rows.where("size > 0").select("_source", "_start", "doc_id", F.col("source").alias("_name"), "_text").join(spans, ["_source", "_start"])
-    keyed = keyed.groupBy("doc_id", "_text", "_name").agg(F.collect_list(F.struct("copy", "spans")).alias("takes"))
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text", "lang", "source", F.xxhash64("text").alias("_hash")).dropDuplicates(["_doc", "_hash", "source"])
-    same: Column = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")) & F.col("_name").eqNullSafe(F.col("source"))
-    full = keyed.join(texts, same)
+    named = lambda doc, name: (F.coalesce(F.col(doc).cast("long"), F.lit(-(2**63))).alias("_doc"), F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("_name"))
+    taken_of = rows.where("size > 0").select("_source", "_start", "_text", *named("doc_id", "source")).join(spans, ["_source", "_start"])
+    key = ["_doc", "_name", "_text"]
+    keyed = taken_of.groupBy(key).agg(F.collect_list(F.struct("copy", "spans")).alias("takes"), F.count_distinct("_start").alias("_rows"))
+    texts = docs.select("doc_id", "text", "lang", "source", *named("doc_id", "source"), F.xxhash64("text").alias("_text"))
+    joined = texts.join(keyed, key)
+    # what several equal rows take together goes to one of them
+    full = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
