@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statera.functions.maybe import known
-from statera.functions.vocabulary import RANKS
+from statera.functions.vocabulary import CHANGES, RANKS
+from statera.operators.changes import CHANGE
 
 #: Cards and their labels, currency signs, charted series.
 CARDS = {
@@ -53,7 +54,8 @@ def kpi_cards(rows: DataFrame) -> DataFrame:
     """document_id, position, name, label, period, value, delta, reads, status of the newest period; rows as in rules.flags."""
     cells = []
     for i, (name, label) in enumerate(CARDS.items()):
-        m, c = F.col(name), F.col(f"change_{name}")
+        m = F.col(name)
+        c = F.col(f"change_{name}") if name in CHANGES else F.lit(None).cast(CHANGE)
         live = known(m) & c.isNotNull() & c["na"].isNull()
         status = F.when(~known(m), "na").when(m["rank"] == RANKS.index("high"), "ok").otherwise("low")
         cells.append(F.struct(
@@ -94,10 +96,10 @@ def balance_series(rows: DataFrame) -> DataFrame:
 
 
 def cash_waterfall(rows: DataFrame) -> DataFrame:
-    """document_id, period, step, start, end, amount of the newest period: operating cash flow, capex, free cash flow."""
+    """document_id, period, step, from_amount, to_amount, amount of the newest period: operating cash flow, capex, free cash flow."""
     ocf, capex, fcf = F.col("operating_cash_flow"), F.col("capex"), F.col("free_cash_flow")
     spent = -F.abs(capex["value"])
-    step = lambda n, a, b, x: F.struct(F.lit(n).alias("step"), a.cast("double").alias("start"), b.cast("double").alias("end"), x.cast("double").alias("amount"))
+    step = lambda n, a, b, x: F.struct(F.lit(n).alias("step"), a.cast("double").alias("from_amount"), b.cast("double").alias("to_amount"), x.cast("double").alias("amount"))
     zero = F.lit(0)
     cells = F.array(step("operating_cash_flow", zero, ocf["value"], ocf["value"]), step("capex", ocf["value"], ocf["value"] + spent, spent), step("free_cash_flow", zero, fcf["value"], fcf["value"]))
     whole = known(ocf) & known(capex) & known(fcf)

@@ -266,7 +266,7 @@ ORACLE = {
     "chart_performance": "WITH " + _ROWS + " SELECT * FROM (" + _unpivot(views.PERFORMANCE, "rows", "document_id, y AS period, '{x}' AS series, round_even({x}, 2)::DOUBLE AS value") + ") WHERE value IS NOT NULL",
     "chart_balance": "WITH " + _ROWS + ", whole AS (SELECT * FROM rows WHERE total_assets + total_liabilities + equity IS NOT NULL) " + _unpivot(views.BALANCE_PARTS, "whole", "document_id, y AS period, '{x}' AS series, round_even({x}, 2)::DOUBLE AS value"),
     "chart_cash": "WITH " + _ROWS + """, newest AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY y DESC) = 1), c AS (SELECT * FROM newest WHERE free_cash_flow IS NOT NULL)
-        SELECT document_id, y AS period, 'operating_cash_flow' AS step, 0::DOUBLE AS start, operating_cash_flow::DOUBLE AS "end", operating_cash_flow::DOUBLE AS amount FROM c
+        SELECT document_id, y AS period, 'operating_cash_flow' AS step, 0::DOUBLE AS from_amount, operating_cash_flow::DOUBLE AS to_amount, operating_cash_flow::DOUBLE AS amount FROM c
         UNION ALL SELECT document_id, y, 'capex', operating_cash_flow::DOUBLE, (operating_cash_flow - abs(capex))::DOUBLE, -abs(capex)::DOUBLE FROM c
         UNION ALL SELECT document_id, y, 'free_cash_flow', 0, free_cash_flow::DOUBLE, free_cash_flow::DOUBLE FROM c""",
     "issuer_year_values": f"{_VALUES} SELECT document_id, concept, end_year, value::DOUBLE AS value, {CURRENCY} AS currency FROM facts WHERE value IS NOT NULL",

@@ -359,7 +359,7 @@ ORACLE = {
     "numeric_density": rf"""WITH w AS (SELECT doc_id, {_WORDS_SQL.replace("text", "coalesce(text, '')")} AS w FROM documents), c AS (SELECT doc_id, len(list_filter(w, lambda x: regexp_full_match(x, '\(?[0-9][0-9,]*(?:\.[0-9]+)?\)?'))) AS n_numeric, len(w) AS n_tokens FROM w)
         SELECT *, n_numeric >= 8 AND n_numeric * 4 >= n_tokens AS dense FROM c""",
     "heading_candidates": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) SELECT doc_id, count(*) FILTER (len({_WORDS_SQL}) <= 8) AS headings, count(*) AS n_lines FROM l GROUP BY ALL",
-    "page_clusters": """WITH e AS (SELECT user_id, (epoch(ts) // 3600)::BIGINT AS hour FROM events), g AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY user_id ORDER BY hour) <= 24 THEN 0 ELSE 1 END AS fresh FROM e),
+    "page_clusters": """WITH e AS (SELECT user_id, floor(epoch(ts) / 3600)::BIGINT AS hour FROM events), g AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY user_id ORDER BY hour) <= 24 THEN 0 ELSE 1 END AS fresh FROM e),
         c AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY hour RANGE UNBOUNDED PRECEDING) AS cluster FROM g) SELECT user_id, cluster::BIGINT AS cluster, min(hour) AS first, max(hour) AS last, count(*) AS n FROM c GROUP BY user_id, cluster""",
     "choose_statement_set": _CHOOSE_SQL,
     "split_assignment": "SELECT c_name, CASE WHEN list_reduce(list_transform(string_split(sha256(c_name), ''), lambda c: instr('0123456789abcdef', c) - 1), lambda a, x: (a * 16 + x) % 10) % 10 < 3 THEN 'holdout' ELSE 'dev' END AS split FROM customer",
