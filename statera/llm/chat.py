@@ -90,9 +90,11 @@ def canonical_turns(df: DataFrame, registry: dict[str, Layout] = REGISTRY) -> Da
         rows = df.select(F.col(layout.key).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     else:
         rows = df.select(F.col(layout.key).alias("conv_id"), F.explode(F.expr(layout.turns)).alias("_t")).select("conv_id", "_t.*")
-    alias = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     role = F.coalesce("role", F.lit(""))
-    return rows.select("conv_id", "turn", F.coalesce(F.try_element_at(alias, role), role).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    if layout.turns is not None:  # rows of turns name their roles themselves
+        alias = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        role = F.coalesce(F.try_element_at(alias, role), role)
+    return rows.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def escaped(text: Column) -> Column:

@@ -17,101 +17,92 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statera.llm.common import few, stored
-from statera.llm.similar import _WORDS, SLICES
+from statera.llm.words import batches, graded, hashed, sketch
 
-#: Jaccard similarity in percent; distinct words that a line needs to take part (shorter lines stay); log2 of the
-#: sketch's counters (executors are sent their array, 4 bytes each); documents whose decisions are sent to executors.
-PERCENT, LEAST_WORDS, SKETCH_BITS, BROADCAST_ROWS = 80, 5, 20, 400_000
+#: Jaccard similarity in percent; distinct words that a line needs to take part (shorter lines stay); the least and most
+#: log2 of the sketch's counters (executors are sent their array, a byte each); lines or documents whose decisions are
+#: sent to executors instead of being shuffled for.
+PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 80, 5, 16, 26, 400_000
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the line of each (counted over all texts), and each line's text and number."""
-    hashes: list[int] = []
-    sizes, text, number = [], [], []
-    for i, t in enumerate(texts):
-        for j, line in enumerate(t.encode().lower().split(b"\n")):
-            parts = line.split()
-            hashes.extend(map(_WORDS.__getitem__, parts))
-            sizes.append(len(parts))
-            text.append(i)
-            number.append(j)
-    x = np.array(hashes, np.uint64)
-    return x, np.repeat(np.arange(len(sizes)), sizes), np.array(text, np.int64), np.array(number, np.int64)
+def bits_for(keyed: DataFrame) -> int:
+    """Counters for about a word in eight of the corpus, within limits."""
+    chars = keyed.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, int(chars // 48).bit_length()))
 
 
-def sketch(docs: DataFrame, bits: int) -> np.ndarray:
-    """Words per hash bucket over all lines; each task sends its sums, slices are added apart."""
+def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
+    for _, part in batches(texts):
+        yield hashed(part)[0]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for i in range(0, len(b), 256):
-                x = words_of(b["text"].iloc[i : i + 256].tolist())[0]
-                at, n = np.unique(x >> np.uint64(64 - bits), return_counts=True)
-                sums[at.astype(np.int64)] += n
-        parts = np.minimum(sums, 2**32 - 1).astype("<u4").reshape(SLICES, -1)
-        yield pd.DataFrame({"slice": range(SLICES), "sums": [p.tobytes() for p in parts]})
-
-    def add(b: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in b["sums"])
-        return pd.DataFrame({"slice": [int(b["slice"].iloc[0])], "sums": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
-    kind = "slice int, sums binary"
-    rows = docs.select("text").mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).collect()
-    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["sums"], "<u4")
-    return out.reshape(-1)
-
-
-def ordered_sets(x: np.ndarray, line: np.ndarray, seen: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each line, line after line, rarest first (or by hash alone)."""
-    by = np.lexsort((x, line) if seen is None else (x, seen[(x >> np.uint64(64 - bits)).astype(np.int64)], line))
+
+def ordered_sets(x: np.ndarray, line: np.ndarray, lines: int, grade: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct words of each line, line after line, of smallest grade first, then by hash; with their grades."""
+    room = 56 - max(1, lines).bit_length()
+    key = (line.astype(np.uint64) << np.uint64(room + 8)) | (x >> np.uint64(64 - room))
+    if grade is not None:
+        key |= grade.astype(np.uint64) << np.uint64(room)
+    by = np.argsort(key)
     x, line = x[by], line[by]
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != x[:-1]) | (line[1:] != line[:-1])
-    return x[keep], line[keep]
+    return x[keep], line[keep], None if grade is None else grade[by][keep]
 
 
 def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
-    """A row for each line that takes part: _id, place, n, d1 and d2 (digest of its set), sigs (its first words by rarity)."""
-    counts = sketch(keyed, bits)
-    held = keyed.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
-                raw, at, text, number = words_of(part["text"].tolist())
-                x, line = ordered_sets(raw, at, held.value, bits)
-                n = np.bincount(line, minlength=len(text))
+    """A row for each line that takes part: _id, place, n, d1 and d2 (digest of its set), bits (parity of its words'
+    hashes), sigs (position and word of the first by rarity, but for words that the sketch shows to be nowhere else)."""
+    grades = sketch(keyed, word_hashes, bits, graded)
+    held = keyed.sparkSession.sparkContext.broadcast(grades)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grade = held.value
+        for b in parts:
+            ids, hashes = b["_id"].to_numpy(), b["_hash"].to_numpy()
+            for first, texts in batches(b["text"].tolist()):
+                x, line, lines = hashed(texts)
+                every = int(lines.sum())
+                x, line, own = ordered_sets(x, line, every, grade[(x >> np.uint64(64 - bits)).astype(np.int64)])
+                n = np.bincount(line, minlength=every)
                 rows = np.flatnonzero(n >= least_words)
                 if not len(rows):
                     continue
                 begin = np.cumsum(n) - n
-                mixed = (x ^ (x >> np.uint64(32))) * _Q
-                d1, d2 = _digests(mixed, n, rows)
-                first = n[rows] - -(-percent * n[rows] // 100) + 1
-                values = x.view(np.int64)
+                pos = np.arange(len(x)) - begin[line]
+                take = (n[line] >= least_words) & (pos < n[line] + -(percent * n[line]) // 100 + 1) & (own > 1)
+                sigs, at = x[take].view(np.int64), pos[take]
+                ends = np.cumsum(np.bincount(line[take], minlength=every))[rows]
+                starts = np.concatenate(([0], ends[:-1]))
+                d1, d2, parity = _digests(x, n, rows)
+                text = np.repeat(np.arange(len(texts)), lines) + first
+                number = np.arange(every) - np.repeat(np.cumsum(lines) - lines, lines)
                 yield pd.DataFrame({
-                    "_id": part["_id"].to_numpy()[text[rows]],
-                    "place": part["_hash"].to_numpy()[text[rows]] * (1 << 32) + number[rows],
+                    "_id": ids[text[rows]],
+                    "place": hashes[text[rows]] * (1 << 32) + number[rows],
                     "n": n[rows],
                     "d1": d1,
                     "d2": d2,
-                    "sigs": [values[s : s + k] for s, k in zip(begin[rows], first, strict=True)],
+                    "bits": parity,
+                    "pos": [at[s:e] for s, e in zip(starts, ends, strict=True)],
+                    "sigs": [sigs[s:e] for s, e in zip(starts, ends, strict=True)],
                 })
 
-    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, place long, n int, d1 long, d2 long, sigs array<long>")
+    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, place long, n int, d1 long, d2 long, bits long, pos array<int>, sigs array<long>")
 
 
-def _digests(mixed: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sums over each line's set that don't depend on order."""
-    ends = np.cumsum(n)
-    one, two = np.concatenate(([np.uint64(0)], np.cumsum(mixed, dtype=np.uint64))), np.concatenate(([np.uint64(0)], np.cumsum(mixed * (mixed | np.uint64(1)), dtype=np.uint64)))
-    last, first = ends[rows], ends[rows] - n[rows]
-    return (one[last] - one[first]).view(np.int64), (two[last] - two[first]).view(np.int64)
+def _digests(x: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sums over each line's set, and the xor of a bit for each of its words; none depends on order."""
+    mixed = (x ^ (x >> np.uint64(32))) * _Q
+    begin = (np.cumsum(n) - n)[rows]
+    last = begin + n[rows]
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
+        return (run[last] - run[begin]).view(np.int64)
+
+    run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (mixed >> np.uint64(58)))))
+    return sums(mixed), sums(mixed * (mixed | np.uint64(1))), (run[last] ^ run[begin]).view(np.int64)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -125,20 +116,22 @@ def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """_id, place, tokens: the whole sets of the lines wanted, from their texts."""
     per_doc = wanted.groupBy("_id", F.shiftright("place", 32).alias("_hash")).agg(F.collect_list(F.col("place").bitwiseAND(2**32 - 1)).alias("lines"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
-                x, at, text, number = words_of(part["text"].tolist())
-                x, line = ordered_sets(x, at, None, 0)
-                ends = np.cumsum(np.bincount(line, minlength=len(text)))
-                base = np.searchsorted(text, np.arange(len(part)))
-                rows = np.concatenate([base[k] + np.asarray(v, np.int64) for k, v in enumerate(part["lines"])])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            ids, hashes, wanted = b["_id"].to_numpy(), b["_hash"].to_numpy(), b["lines"].tolist()
+            for first, texts in batches(b["text"].tolist()):
+                x, line, lines = hashed(texts)
+                x, line, _ = ordered_sets(x, line, int(lines.sum()), None)
+                ends = np.cumsum(np.bincount(line, minlength=int(lines.sum())))
+                base = np.cumsum(lines) - lines
+                text = np.repeat(np.arange(len(texts)), [len(v) for v in wanted[first : first + len(texts)]])
+                number = np.concatenate([np.asarray(v, np.int64) for v in wanted[first : first + len(texts)]])
+                rows = base[text] + number
                 begin = np.where(rows > 0, ends[rows - 1], 0)
                 yield pd.DataFrame({
-                    "_id": part["_id"].to_numpy()[text[rows]],
-                    "place": part["_hash"].to_numpy()[text[rows]] * (1 << 32) + number[rows],
-                    "tokens": [x[s:e].tobytes() for s, e in zip(begin, ends[rows], strict=True)],
+                    "_id": ids[first + text],
+                    "place": hashes[first + text] * (1 << 32) + number,
+                    "tokens": [np.sort(x[s:e]).tobytes() for s, e in zip(begin, ends[rows], strict=True)],
                 })
 
     rows = keyed.join(few(stored(per_doc, "wanted"), BROADCAST_ROWS), ["_id", "_hash"]).select("_id", "_hash", "text", "lines")
@@ -163,35 +156,40 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(percent: int) -> Column:
-    """Length and position: sizes allow the similarity, and what follows a first common word is enough of both."""
+    """Length, position, parity: sizes allow the similarity, what follows a first common word is enough of both, and the
+    sets do not differ in more words than they may (each makes one bit of the parity differ at most)."""
     least = F.ceil((F.col("n") + F.col("e_n")) * percent / (100.0 + percent) - 1e-9)
     length = 100 * F.least("n", "e_n") >= percent * F.greatest("n", "e_n")
-    return length & (F.least(F.col("n") - F.col("pos"), F.col("e_n") - F.col("e_pos")) >= least)
+    position = F.least(F.col("n") - F.col("pos"), F.col("e_n") - F.col("e_pos")) >= least
+    return length & position & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= F.col("n") + F.col("e_n") - 2 * least)
 
 
-def later_matches(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
+def later_matches(keyed: DataFrame, percent: int, least_words: int, bits: int | None) -> DataFrame:
     """_id, place of every line that an earlier line matches."""
-    lines = stored(indexed(keyed, percent, least_words, bits), "lines")
-    sets = lines.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "place")).alias("k"), F.first("sigs").alias("sigs"))
-    firsts = stored(sets.select("d1", "d2", "n", "k._id", "k.place", "sigs"), "firsts")
+    lines = stored(indexed(keyed, percent, least_words, bits or bits_for(keyed)), "lines")
+    own = F.arrays_zip("pos", F.col("sigs").alias("sig"))
+    sets = lines.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "place")).alias("k"), F.first("bits").alias("bits"), F.first(own).alias("sigs"))
+    firsts = stored(sets.select("d1", "d2", "n", "bits", "k._id", "k.place", "sigs"), "firsts")
 
     entry = Window.partitionBy("sig")
-    rows = firsts.select("_id", "place", "n", F.posexplode("sigs").alias("pos", "sig"))
-    earliest = F.min(F.struct("_id", "place", "n", "pos")).over(entry)
-    rows = stored(rows.withColumn("_e", earliest).withColumn("_m", F.count("*").over(entry)).where("_m > 1").drop("_m"), "entries")
+    rows = firsts.select("_id", "place", "n", "bits", F.inline("sigs").alias("pos", "sig"))
+    earliest = F.min(F.struct("_id", "place", "n", "pos", "bits")).over(entry)
+    rows = stored(rows.withColumn("_e", earliest).withColumn("_m", F.count("*").over(entry)).where("_m > 1"), "entries")
     key = ["_id", "place", "e_id", "e_place"]
-    star = rows.select("_id", "place", "n", "pos", F.col("_e._id").alias("e_id"), F.col("_e.place").alias("e_place"), F.col("_e.n").alias("e_n"), F.col("_e.pos").alias("e_pos"))
+    star = rows.select("_id", "place", "n", "pos", "bits", F.col("_e._id").alias("e_id"), F.col("_e.place").alias("e_place"), F.col("_e.n").alias("e_n"), F.col("_e.pos").alias("e_pos"), F.col("_e.bits").alias("e_bits"))
     star = stored(star.where("_id <> e_id OR place <> e_place").where(_fits(percent)).select(key).distinct(), "star")
     gone = stored(similar_pairs(star, stored(sets_of(keyed, _lines(star)), "sets"), percent), "gone")
 
-    left = rows.drop("_e").join(gone, ["_id", "place"], "left_anti")
-    earlier = rows.select("sig", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"))
+    # lines that are not gone yet against all earlier ones of an entry, where there are others than its earliest
+    rows = rows.where("_m > 2").drop("_e", "_m")
+    left = rows.join(few(gone, BROADCAST_ROWS), ["_id", "place"], "left_anti")
+    earlier = rows.select("sig", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"), F.col("bits").alias("e_bits"))
     rest = left.join(earlier, "sig").where("e_id < _id OR e_id = _id AND e_place < place").where(_fits(percent)).select(key).distinct()
-    rest = stored(rest.join(star, key, "left_anti"), "rest")
+    rest = stored(rest.join(few(star, BROADCAST_ROWS), key, "left_anti"), "rest")
     more = similar_pairs(rest, stored(sets_of(keyed, _lines(rest)), "sets"), percent)
     gone = stored(gone.union(more), "gone")
 
-    marked = firsts.select("d1", "d2", "n", "_id", "place").join(gone.withColumn("_gone", F.lit(True)), ["_id", "place"], "left")
+    marked = firsts.select("d1", "d2", "n", "_id", "place").join(few(gone.withColumn("_gone", F.lit(True)), BROADCAST_ROWS), ["_id", "place"], "left")
     marked = marked.select("d1", "d2", "n", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), "_gone")
     repeated = F.col("_gone").isNotNull() | (F.col("_id") != F.col("e_id")) | (F.col("place") != F.col("e_place"))
     return lines.select("_id", "place", "n", "d1", "d2").join(marked, ["d1", "d2", "n"]).where(repeated).select("_id", "place")
@@ -201,7 +199,7 @@ def _lines(pairs: DataFrame) -> DataFrame:
     return pairs.select("_id", "place").union(pairs.select(F.col("e_id").alias("_id"), F.col("e_place").alias("place"))).distinct()
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
     """The rows of docs, their texts without lines that an earlier line matches; n_lines and n_removed are added.
 
     Lines end at line feeds. Earlier means a smaller doc_id (null first), or further up in the same text. Lines of fewer

@@ -63,7 +63,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     ``is_query`` selects queries among the rows; all rows but the query's own id are candidates, fewer than k if there are
     fewer. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-    repeated rows of an id are candidates each; no rows give no rows.
+    rows that repeat an id and its vector count once; no rows give no rows.
     """
     rows = stored(usable(vectors).withColumn("_size", F.size("v")), "vectors")
     sizes = rows.groupBy("_size").count().orderBy(F.desc("count"), "_size").limit(1).collect()

@@ -21,7 +21,13 @@ from statera.llm.common import buckets_for, running_start, shuffle_width, stored
 LENGTH, END_ID = 4096, 2
 #: Documents of all sources in a bucket; sources that one run may have (their totals pass the driver); words that a
 #: worker remembers; cells of the table of windows and sources that it holds at a time.
-BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 400_000, 4_000_000
+BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 1_000_000, 4_000_000
+
+
+#: Bytes to the characters that byte-level vocabularies write them as: printable ones stand for themselves, the rest for
+#: the characters from U+0100 on.
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip((b for b in range(256) if b not in _SAME), range(256, 512), strict=False))
 
 
 class WordEncoder:
@@ -37,17 +43,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {"": b""}
+        # letters up to U+024F are one piece each to the model once lower-cased and mapped to the byte alphabet, if the
+        # tokenizer is of that kind: probes tell
+        self.direct = all(self._piece(w) == self._ids([w])[0] for w in ("the", "Zebra", "quux", "été", "Öl", "ñandú", "straße"))
+
+    def _ids(self, some: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _piece(self, word: str) -> bytes:
+        found = self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTES))
+        return np.array([x.id for x in found], self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*parts).difference(self.known))
+        fresh = set().union(*parts).difference(self.known)
         if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known = {"": b""}
-            fresh = list(set().union(*parts) - {""})
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, self.kind).tobytes()
+            fresh = set().union(*parts) - {""}
+        whole = {}  # a word of letters and one stop are two tokens' texts; ASCII letters may be lower-cased here already
+        for word in fresh:
+            stop = word[-1] if word[-1] in ".," and word[:-1].isalpha() else ""
+            stem = word[: len(word) - len(stop)]
+            whole[word] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, stop)
+        todo = {x for pair in whole.values() for x in pair}.difference(self.known)
+        other = []
+        for word in todo:
+            if self.direct and word.isalpha() and max(word) < "\u0250" and "İ" not in word:
+                self.known[word] = self._piece(word)
+            else:
+                other.append(word)
+        for i in range(0, len(other), 10_000):
+            self.known.update(zip(other[i : i + 10_000], self._ids(other[i : i + 10_000]), strict=True))
+        for word, (stem, stop) in whole.items():
+            self.known[word] = self.known[stem] + self.known[stop]
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 

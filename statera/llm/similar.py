@@ -16,91 +16,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statera.llm.common import stored
 from statera.llm.components import components
+from statera.llm.words import batches, hashed
+from statera.llm.words import sketch as count_sketch
 
-#: log2 of the sketch's counters (their array, 4 bytes each, is what executors are sent); slices in which its parts are
-#: added; sizes below which all shingles count as rare; shingles of a class of frequent ones; nodes sent to executors.
-SKETCH_BITS, SLICES, SMALL, CLASS, BROADCAST_ROWS, KNOWN_WORDS = 20, 64, 64, 4, 500_000, 400_000
+#: log2 of the sketch's counters (their array, 4 bytes each, is what executors are sent); sizes below which all shingles
+#: count as rare; shingles of a class of frequent ones; nodes sent to executors instead of being shuffled for.
+SKETCH_BITS, SMALL, CLASS, BROADCAST_ROWS = 22, 64, 4, 500_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
+def shingles_of(texts: list[str], words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; fewer words than that are one shingle."""
+    for _, part in batches(texts):
+        x, line, lines = hashed(part)
+        ends = np.searchsorted(line, np.cumsum(lines))
+        for first, end in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+            own = x[first:end]
+            k = min(words, len(own))
+            h = np.full(max(0, len(own) - k + 1) if k else 0, k, np.uint64)
+            for i in range(k):
+                h = (h ^ (h >> np.uint64(29))) * _P + own[i : len(own) - k + 1 + i]
+            yield np.unique((h ^ (h >> np.uint64(32))) * _Q)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; ASCII letters lower-cased, words split at ASCII white space only."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    x = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
-    k = min(words, len(x))
-    h = np.full(len(x) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h ^ (h >> np.uint64(29))) * _P + x[i : len(x) - k + 1 + i]
-    return np.unique((h ^ (h >> np.uint64(32))) * _Q)
+    """One text's; ASCII letters lower-cased, words split at ASCII white space only."""
+    return next(shingles_of([text or ""], words))
 
 
 def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Documents per hash bucket of shingles, over the whole corpus; each task sends its sums, slices are added apart."""
+    """Documents per hash bucket of shingles, over the whole corpus."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for i in range(0, len(b), 256):
-                every = np.concatenate([shingles(t, words) for t in b["text"].iloc[i : i + 256]])
-                np.add.at(sums, (every >> np.uint64(64 - bits)).astype(np.int64), 1)
-        parts = np.minimum(sums, 2**32 - 1).astype("<u4").reshape(SLICES, -1)
-        yield pd.DataFrame({"slice": range(SLICES), "sums": [p.tobytes() for p in parts]})
-
-    def add(b: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // SLICES, np.int64)
-        for x in b["sums"]:
-            total += np.frombuffer(x, "<u4")
-        return pd.DataFrame({"slice": [int(b["slice"].iloc[0])], "sums": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
-    kind = "slice int, sums binary"
-    rows = docs.select("text").mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).collect()
-    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["sums"], "<u4")
-    return out.reshape(-1)
+    def hashes(part: list[str]) -> Iterator[np.ndarray]:
+        for i in range(0, len(part), 128):
+            yield np.concatenate(list(shingles_of(part[i : i + 128], words)))
+
+    return count_sketch(texts, hashes, bits)
 
 
 def least_common(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: float, percent: int) -> np.ndarray:
-    """What is indexed for a set: rare shingles of the prefix, and pairs within classes of its frequent ones.
+def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is indexed for a set: rare shingles of the prefix, and pairs within classes of its frequent ones; and of each
+    how many of the set's shingles can't be common to a partner with which it is the first to be shared.
 
     ``seen`` are the sketch's counts. Classes depend on the power of two below a set's size; a set whose partners can
-    lie beyond a power of two is indexed for both sides of it.
+    lie beyond a power of two is indexed for both sides of it. Before the first shared pair each earlier class can hold
+    one common shingle.
     """
     n = len(tokens)
     need = n - least_common(n, percent) + 1
     order = np.lexsort((tokens, seen))
     low, high = least_common(n, percent), 100 * n // percent
-    out = []
+    out, pos = [], []
     rare = int((seen <= frequent).sum())
     for level in range(max(1, low).bit_length() - 1, high.bit_length()):
-        if (1 << level) < SMALL or rare >= need:
-            out.append(tokens[order[:need]])
+        singles = need if (1 << level) < SMALL or rare >= need else rare
+        out.append(tokens[order[:singles]])
+        pos.append(np.arange(singles))
+        if singles == need:
             continue
-        out.append(tokens[order[:rare]])
         rest = tokens[order[rare:]]
         kinds = ((rest * _P) >> np.uint64(33)) % np.uint64((1 << level) // CLASS)
         by = np.lexsort((rest, kinds))
@@ -110,33 +94,38 @@ def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: float, percent: i
         end = int(np.searchsorted(counted, need - rare)) + 1
         rest, begin = rest[:end], np.flatnonzero(first[:end])
         salt = np.uint64(level * int(_Q) % 2**64)
-        for a, b in zip(begin, np.append(begin[1:], len(rest)), strict=True):
+        for q, (a, b) in enumerate(zip(begin, np.append(begin[1:], len(rest)), strict=True)):
             i, j = np.triu_indices(b - a, 1)
             h = (rest[a:b][i] ^ salt) * _P + rest[a:b][j]
             out.append((h ^ (h >> np.uint64(31))) * _Q)
-    return np.unique(np.concatenate(out))
+            pos.append(rare + a + i - q)
+    sigs, at = np.unique(np.concatenate(out), return_index=True)
+    return sigs, np.concatenate(pos)[at]
 
 
 def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """doc_id, n (size of its set), digest of the set, what is indexed."""
+    """doc_id, n (size of its set), core (its shingles that others seem to have), digest of the set, what is indexed."""
     counts = sketch(docs, words, bits)
-    frequent = 4.0 * float(counts.sum(dtype=np.float64)) / len(counts) + 64
+    mean = float(counts.sum(dtype=np.float64)) / len(counts)
+    frequent, shared = 4 * mean + 64, 2 * mean + 16
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = held.value
         for b in batches:
-            n, digests, kept = [], [], []
-            for t in b["text"]:
-                x = shingles(t, words)
+            n, digests, kept, places, core = [], [], [], [], []
+            for x in shingles_of(b["text"].tolist(), words):
                 n.append(len(x))
                 digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 at = seen[(x >> np.uint64(64 - bits)).astype(np.int64)]
-                kept.append(signatures(x, at, frequent, percent).view(np.int64) if len(x) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "digest": digests, "sigs": kept})
-
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = rows.mapInPandas(run, "doc_id string, n long, digest binary, sigs array<long>")
+                core.append(int((at > shared).sum()))
+                sigs, pos = signatures(x, at, frequent, percent) if len(x) else (x, np.zeros(0, np.int64))
+                kept.append(sigs.view(np.int64))
+                places.append(pos)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "core": core, "digest": digests, "sigs": kept, "pos": places})
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, n long, core long, digest binary, sigs array<long>, pos array<int>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -145,7 +134,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [shingles(t, words).tobytes() for t in b["text"]]
+            found = [x.tobytes() for x in shingles_of(b["text"].tolist(), words)]
             right = [hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(found, b["digest"], strict=True)]
             yield pd.DataFrame({"node": b["node"], "tokens": found})[right]
 
@@ -171,10 +160,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def _fits(percent: int) -> str:
+    """Sizes allow a link, and enough of both sets can be common where they first share an entry."""
+    return f"p <> q AND 100 * least(p_n, q_n) >= {percent} * greatest(p_n, q_n) AND {100 + percent} * least(p_n - p_pos, q_n - q_pos) >= {percent} * (p_n + q_n)"
+
+
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (smaller node, larger node) of rows p, p_n, q, q_n whose sizes allow a link."""
-    fit = f"p <> q AND 100 * least(p_n, q_n) >= {percent} * greatest(p_n, q_n)"
-    return rows.where(fit).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    """Distinct pairs a, b (smaller node, larger node) of rows with p, p_n, p_pos and q, q_n, q_pos that may be links."""
+    return rows.where(_fits(percent)).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def _named(prefix: str, source: str = "") -> list:
+    return [F.col(f"{source}node").alias(prefix), F.col(f"{source}n").alias(f"{prefix}_n"), F.col(f"{source}pos").alias(f"{prefix}_pos")]
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The sets of the nodes in pairs."""
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return stored(sets_of(docs, stored(involved.join(nodes.select("node", "label", "digest"), "node"), "involved"), words), "sets")
 
 
 def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,29 +186,31 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH
     The components are those of all links between sets that have percent of their union in common.
     """
     seen = stored(indexed(docs, words, percent, bits), "indexed")
-    groups = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    groups = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("core").alias("core"), F.first(F.arrays_zip(F.col("sigs").alias("sig"), "pos")).alias("sigs"))
     nodes = stored(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entry = Window.partitionBy("sig")
-    rows = nodes.select("node", "n", F.explode("sigs").alias("sig")).withColumn("_m", F.count("*").over(entry)).where("_m > 1").drop("_m")
+    rows = nodes.select("node", "n", "core", F.inline("sigs").alias("sig", "pos")).withColumn("_m", F.count("*").over(entry)).where("_m > 1").drop("_m")
     rows = stored(rows, "entries")
-    by_size = entry.orderBy("n", "node")
-    chain = rows.select(F.col("node").alias("p"), F.col("n").alias("p_n"), F.lag("node").over(by_size).alias("q"), F.lag("n").over(by_size).alias("q_n")).where("q IS NOT NULL")
-    near = stored(_pairs(chain, percent), "near")
-
-    involved = rows.select("node").distinct().join(nodes.select("node", "label", "digest"), "node")
-    sets = stored(sets_of(docs, stored(involved, "involved"), words), "sets")
-    first = stored(verified(near, sets, percent), "links")
+    # of a group of copies the one with most in common with others is closest to all; then along the sizes
+    beside = F.lag(F.struct("node", "n", "pos")).over(entry.orderBy("n", "node"))
+    centre = F.max(F.struct("core", "node", "n", "pos")).over(entry)
+    both = rows.withColumn("_b", beside).withColumn("_c", centre)
+    tried = both.select(*_named("p"), *_named("q", "_b.")).union(both.select(*_named("p"), *_named("q", "_c.")))
+    near = stored(_pairs(tried.where("q IS NOT NULL"), percent), "near")
+    first = stored(verified(near, _sets(docs, near, nodes, words), percent), "links")
     joined = components(first)
 
     # whatever shares an entry and is not joined yet
     placed = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.withColumn("_low", F.min("component").over(entry)).withColumn("_high", F.max("component").over(entry)).where("_low < _high").drop("_low", "_high")
     mixed = stored(mixed, "mixed")
-    other = mixed.select("sig", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("_c"))
-    rest = mixed.join(other, "sig").where("component <> _c AND node < q").select(F.col("node").alias("p"), F.col("n").alias("p_n"), "q", "q_n")
+    one = mixed.select("sig", *_named("p"), F.col("component").alias("_p"))
+    other = mixed.select("sig", *_named("q"), F.col("component").alias("_q"))
+    rest = one.join(other, "sig").where(f"p < q AND _p <> _q AND {_fits(percent)}")
     rest = _pairs(rest, percent).join(near, ["a", "b"], "left_anti")
-    second = stored(verified(stored(rest, "rest"), sets, percent), "links")
+    rest = stored(rest, "rest")
+    second = stored(verified(rest, _sets(docs, rest, nodes, words), percent), "links")
     return seen, nodes, components(first.union(second))
 
 
@@ -225,7 +230,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, bits: in
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest doc_id stays, its repeats go."""
+    """The documents without near duplicates: of each component the row with the smallest doc_id stays, its repeats go.
+
+    Rows that repeat a doc_id are one document; rows without a doc_id can't stand for a group and all stay.
+    """
     found = near_duplicates(docs, words, percent, bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
