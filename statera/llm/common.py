@@ -41,11 +41,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/statera/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are dropped at once: nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends at files that outlive executors."""
-    path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_folder(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    if files := df.inputFiles():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:

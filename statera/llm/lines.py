@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import few, stored
+from statera.llm.common import dropped, few, stored
 from statera.llm.words import batches, graded, hashed, sketch
 
 #: Jaccard similarity in percent; distinct words that a line needs to take part (shorter lines stay); the least and most
 #: log2 of the sketch's counters (executors are sent their array, a byte each); lines or documents whose decisions are
 #: sent to executors instead of being shuffled for.
 PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 80, 5, 16, 26, 400_000
+#: Entries of a word up to which all are compared while they stream by (of more, each with the earliest, then those left
+#: by a join); occurrences from which a word's entries are dealt over several tasks, and into how many at most.
+SMALL, SPREAD, MOST_BLOCKS = 32, 16_384, 511
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -50,9 +53,16 @@ def ordered_sets(x: np.ndarray, line: np.ndarray, lines: int, grade: np.ndarray
     return x[keep], line[keep], None if grade is None else grade[by][keep]
 
 
+def occurrences(grades: np.ndarray) -> np.ndarray:
+    """The least count of a grade."""
+    x = grades.astype(np.float64)
+    return np.where(x < 16, x, 2 ** (4 + np.maximum(0, x - 16) / 8)).astype(np.int64)
+
+
 def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
     """A row for each line that takes part: _id, place, n, d1 and d2 (digest of its set), bits (parity of its words'
-    hashes), sigs (position and word of the first by rarity, but for words that the sketch shows to be nowhere else)."""
+    hashes), sigs (the first words by rarity, but for those that the sketch shows to be nowhere else), at (their positions,
+    times 512, and from 1 on the block that a frequent word's entry goes to)."""
     grades = sketch(keyed, word_hashes, bits, graded)
     held = keyed.sparkSession.sparkContext.broadcast(grades)
 
@@ -71,7 +81,10 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
                 begin = np.cumsum(n) - n
                 pos = np.arange(len(x)) - begin[line]
                 take = (n[line] >= least_words) & (pos < n[line] + -(percent * n[line]) // 100 + 1) & (own > 1)
-                sigs, at = x[take].view(np.int64), pos[take]
+                sigs = x[take].view(np.int64)
+                blocks = np.minimum(MOST_BLOCKS, occurrences(own[take]) // SPREAD)
+                block = np.where(blocks > 0, 1 + (line[take] + ids[0]) % np.maximum(1, blocks), 0)
+                at = (pos[take] << 9) | block
                 ends = np.cumsum(np.bincount(line[take], minlength=every))[rows]
                 starts = np.concatenate(([0], ends[:-1]))
                 d1, d2, parity = _digests(x, n, rows)
@@ -84,11 +97,11 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
                     "d1": d1,
                     "d2": d2,
                     "bits": parity,
-                    "pos": [at[s:e] for s, e in zip(starts, ends, strict=True)],
+                    "at": [at[s:e] for s, e in zip(starts, ends, strict=True)],
                     "sigs": [sigs[s:e] for s, e in zip(starts, ends, strict=True)],
                 })
 
-    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, place long, n int, d1 long, d2 long, bits long, pos array<int>, sigs array<long>")
+    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, place long, n int, d1 long, d2 long, bits long, at array<long>, sigs array<long>")
 
 
 def _digests(x: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,35 +177,97 @@ def _fits(percent: int) -> Column:
     return length & position & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= F.col("n") + F.col("e_n") - 2 * least)
 
 
+def _fitting(late: np.ndarray, early: np.ndarray, percent: int) -> np.ndarray:
+    """The same of entries (rows: word, _id, place, bits, n * 2^35 + at), both of one word."""
+    n, m = late[4] >> 35, early[4] >> 35
+    least = -(-percent * (n + m) // (100 + percent))
+    rest = np.minimum(n - (late[4] >> 9 & 0x3FFFFFF), m - (early[4] >> 9 & 0x3FFFFFF))
+    keep = np.flatnonzero((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (rest >= least))
+    differ = np.bitwise_count((late[3, keep] ^ early[3, keep]).view(np.uint64))
+    return keep[differ <= (n + m - 2 * least)[keep]]
+
+
+def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """From entries sorted by word, block and place: pairs that fit (large false), and the words that have more (large true).
+
+    Of up to SMALL entries all pairs are tried, of more those with the earliest. Entries stream by: of a long run only
+    its earliest is kept.
+    """
+
+    def pairs(x: np.ndarray, big: bool) -> pd.DataFrame:
+        change = np.flatnonzero((x[0, 1:] != x[0, :-1]) | ((x[4, 1:] & 511) != (x[4, :-1] & 511))) + 1
+        begin = np.concatenate(([0], change))
+        size = np.diff(np.append(begin, x.shape[1]))
+        many = size > SMALL
+        many[0] |= big
+        head, more = np.repeat(begin, size), np.repeat(many, size)
+        place = np.arange(x.shape[1])
+        found = [(late := place[more & (head < place)], head[late])]
+        late = place[~more]
+        for k in range(1, SMALL):
+            late = late[late - k >= head[late]]
+            if not len(late):
+                break
+            found.append((late, late - k))
+        late, early = (np.concatenate(v) for v in zip(*found, strict=True))
+        fit = _fitting(x[:, late], x[:, early], percent)
+        late, early = late[fit], early[fit]
+        words = x[0, begin[many | (x[4, begin] & 511 > 0)]]
+        none = np.zeros(len(words), np.int64)
+        columns = {"sig": (0 * late, words), "_id": (x[1, late], none), "place": (x[2, late], none), "e_id": (x[1, early], none), "e_place": (x[2, early], none)}
+        out = {k: np.concatenate(v) for k, v in columns.items()}
+        return pd.DataFrame(out | {"large": np.arange(len(late) + len(words)) >= len(late)}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, big = np.zeros((5, 0), np.int64), False
+        for b in filter(len, batches):
+            x = np.concatenate((held, b.to_numpy(np.int64).T), axis=1)
+            same = (x[0] == x[0, -1]) & ((x[4] & 511) == (x[4, -1] & 511))
+            last = x.shape[1] - int(same.sum())
+            if last:
+                yield pairs(x[:, :last], big)
+                big = False
+            held = x[:, last:]
+            if held.shape[1] > SMALL:
+                yield pairs(held, True)
+                held, big = held[:, :1], True
+        if held.shape[1] > 1 or big or held.shape[1] and held[4, 0] & 511:
+            yield pairs(held, big)
+
+    return entries.mapInPandas(run, "sig long, _id long, place long, e_id long, e_place long, large boolean")
+
+
 def later_matches(keyed: DataFrame, percent: int, least_words: int, bits: int | None) -> DataFrame:
     """_id, place of every line that an earlier line matches."""
-    lines = stored(indexed(keyed, percent, least_words, bits or bits_for(keyed)), "lines")
-    own = F.arrays_zip("pos", F.col("sigs").alias("sig"))
-    sets = lines.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "place")).alias("k"), F.first("bits").alias("bits"), F.first(own).alias("sigs"))
-    firsts = stored(sets.select("d1", "d2", "n", "bits", "k._id", "k.place", "sigs"), "firsts")
-
-    entry = Window.partitionBy("sig")
-    rows = firsts.select("_id", "place", "n", "bits", F.inline("sigs").alias("pos", "sig"))
-    earliest = F.min(F.struct("_id", "place", "n", "pos", "bits")).over(entry)
-    rows = stored(rows.withColumn("_e", earliest).withColumn("_m", F.count("*").over(entry)).where("_m > 1"), "entries")
+    whole = stored(indexed(keyed, percent, least_words, bits or bits_for(keyed)), "indexed")
+    sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "place")).alias("k"), F.first(F.struct("bits", "sigs", "at")).alias("s"))
+    firsts = stored(sets.select("d1", "d2", "n", "k._id", "k.place", "s.*"), "firsts")
+    lines = stored(whole.select("_id", "place", "n", "d1", "d2"), "lines")
+    dropped(whole)
+
+    rows = firsts.select("_id", "place", "bits", "n", F.inline(F.arrays_zip("sigs", "at")).alias("sig", "at"))
+    packed = rows.select("sig", "_id", "place", "bits", (F.shiftleft(F.col("n").cast("long"), 35) + F.col("at")).alias("pack"))
+    block = F.col("pack").bitwiseAND(511)
+    dealt = packed.repartition("sig", block).sortWithinPartitions("sig", block, "_id", "place")
+    tried = stored(entry_pairs(dealt, percent), "tried")
     key = ["_id", "place", "e_id", "e_place"]
-    star = rows.select("_id", "place", "n", "pos", "bits", F.col("_e._id").alias("e_id"), F.col("_e.place").alias("e_place"), F.col("_e.n").alias("e_n"), F.col("_e.pos").alias("e_pos"), F.col("_e.bits").alias("e_bits"))
-    star = stored(star.where("_id <> e_id OR place <> e_place").where(_fits(percent)).select(key).distinct(), "star")
-    gone = stored(similar_pairs(star, stored(sets_of(keyed, _lines(star)), "sets"), percent), "gone")
+    near = stored(tried.where("NOT large").select(key).distinct(), "near")
+    gone = stored(similar_pairs(near, stored(sets_of(keyed, _lines(near)), "sets"), percent), "gone")
 
-    # lines that are not gone yet against all earlier ones of an entry, where there are others than its earliest
-    rows = rows.where("_m > 2").drop("_e", "_m")
+    # lines that are not gone yet against all earlier ones of a word that has more entries
+    large = few(stored(tried.where("large").select("sig").distinct(), "large"), BROADCAST_ROWS)
+    rows = rows.join(large, "sig").select("sig", "_id", "place", "n", F.shiftright("at", 9).alias("pos"), "bits")
     left = rows.join(few(gone, BROADCAST_ROWS), ["_id", "place"], "left_anti")
     earlier = rows.select("sig", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"), F.col("bits").alias("e_bits"))
     rest = left.join(earlier, "sig").where("e_id < _id OR e_id = _id AND e_place < place").where(_fits(percent)).select(key).distinct()
-    rest = stored(rest.join(few(star, BROADCAST_ROWS), key, "left_anti"), "rest")
+    rest = stored(rest.join(few(near, BROADCAST_ROWS), key, "left_anti"), "rest")
     more = similar_pairs(rest, stored(sets_of(keyed, _lines(rest)), "sets"), percent)
-    gone = stored(gone.union(more), "gone")
+    gone = stored(gone.union(more).distinct(), "gone")
 
     marked = firsts.select("d1", "d2", "n", "_id", "place").join(few(gone.withColumn("_gone", F.lit(True)), BROADCAST_ROWS), ["_id", "place"], "left")
     marked = marked.select("d1", "d2", "n", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), "_gone")
     repeated = F.col("_gone").isNotNull() | (F.col("_id") != F.col("e_id")) | (F.col("place") != F.col("e_place"))
-    return lines.select("_id", "place", "n", "d1", "d2").join(marked, ["d1", "d2", "n"]).where(repeated).select("_id", "place")
+    return lines.join(marked, ["d1", "d2", "n"]).where(repeated).select("_id", "place")
 
 
 def _lines(pairs: DataFrame) -> DataFrame:

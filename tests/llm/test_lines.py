@@ -44,8 +44,10 @@ def test_table(spark):
     assert all(r.n_chars == len(r.text) for r in found.collect())
 
 
-@pytest.mark.parametrize("bits", [6, 16])
-def test_many_similar_lines(spark, bits):
+@pytest.mark.parametrize(("bits", "small", "spread"), [(6, 32, 16_384), (16, 4, 16_384), (16, 3, 20)])
+def test_many_similar_lines(spark, monkeypatch, bits, small, spread):
+    monkeypatch.setattr(lines, "SMALL", small)
+    monkeypatch.setattr(lines, "SPREAD", spread)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
     bases = [rng.choices(words, k=rng.randrange(3, 30)) for _ in range(12)]
