@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 from statera.llm.common import dropped, few, stored
 from statera.llm.words import batches, graded, hashed, sketch
 
-#: Jaccard similarity in percent; distinct words that a line needs to take part (shorter lines stay); the least and most
+#: Jaccard similarity in percent; distinct words that a line needs to take part unless the caller says otherwise (the
+#: queries let every line with a word take part); the least and most
 #: log2 of the sketch's counters (executors are sent their array, a byte each); lines or documents whose decisions are
 #: sent to executors instead of being shuffled for.
 PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 80, 5, 16, 26, 400_000
@@ -61,7 +62,8 @@ def occurrences(grades: np.ndarray) -> np.ndarray:
 
 def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
     """A row for each line that takes part: _id, place, n, d1 and d2 (digest of its set), bits (parity of its words'
-    hashes), sigs (the first words by rarity, but for those that the sketch shows to be nowhere else), at (their positions,
+    hashes), sigs (the first words by rarity, but for those that the sketch shows to be nowhere else; none for a set that
+    only an equal one can match), at (their positions,
     times 512, and from 1 on the block that a frequent word's entry goes to)."""
     grades = sketch(keyed, word_hashes, bits, graded)
     held = keyed.sparkSession.sparkContext.broadcast(grades)
@@ -80,7 +82,7 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
                     continue
                 begin = np.cumsum(n) - n
                 pos = np.arange(len(x)) - begin[line]
-                take = (n[line] >= least_words) & (pos < n[line] + -(percent * n[line]) // 100 + 1) & (own > 1)
+                take = (n[line] >= least_words) & ~_alone(n[line], percent) & (pos < n[line] + -(percent * n[line]) // 100 + 1) & (own > 1)
                 sigs = x[take].view(np.int64)
                 blocks = np.minimum(MOST_BLOCKS, occurrences(own[take]) // SPREAD)
                 block = np.where(blocks > 0, 1 + (line[take] + ids[0]) % np.maximum(1, blocks), 0)
@@ -104,6 +106,12 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
     return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, place long, n int, d1 long, d2 long, bits long, at array<long>, sigs array<long>")
 
 
+def _alone(n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set of so many words can only match an equal one: not even one more word leaves enough in common.
+    Equal sets are joined by their digests, so these need no index entries."""
+    return 100 * n < percent * (n + 1)
+
+
 def _digests(x: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two sums over each line's set, and the xor of a bit for each of its words; none depends on order."""
     mixed = (x ^ (x >> np.uint64(32))) * _Q

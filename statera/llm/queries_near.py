@@ -9,7 +9,7 @@ from statera.llm.common import read_table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars"))
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars"), least_words=1)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
