@@ -3,7 +3,7 @@
 A line's set is its distinct words (ASCII letters lower-cased). Words are ordered by rarity: by their count in a sketch of
 the whole corpus, ties by hash. Two lines with enough in common share a word in the first few of both; those are indexed
 with position and length. Candidates that pass the length and positional filters are verified on whole sets, and a line
-goes if any earlier line, by doc_id and place, is as similar as the threshold. Equal sets are joined once.
+goes if any earlier line, by doc_id, hash of the text and place, is as similar as the threshold. Equal sets are joined once.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 80, 5, 16, 26, 400
 #: Entries of a word up to which all are compared while they stream by (of more, each with the earliest, then those left
 #: by a join); occurrences from which a word's entries are dealt over several tasks, and into how many at most.
 SMALL, SPREAD, MOST_BLOCKS = 32, 16_384, 511
+#: What names a line, and an earlier line of a pair.
+KEY, EARLIER = ["_id", "_hash", "place"], ["e_id", "e_hash", "e_place"]
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -61,7 +63,7 @@ def occurrences(grades: np.ndarray) -> np.ndarray:
 
 
 def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
-    """A row for each line that takes part: _id, place, n, d1 and d2 (digest of its set), bits (parity of its words'
+    """A row for each line that takes part: _id, _hash, place (its number), n, d1 and d2 (digest of its set), bits (parity of its words'
     hashes), sigs (the first words by rarity, but for those that the sketch shows to be nowhere else; none for a set that
     only an equal one can match), at (their positions,
     times 512, and from 1 on the block that a frequent word's entry goes to)."""
@@ -94,7 +96,8 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
                 number = np.arange(every) - np.repeat(np.cumsum(lines) - lines, lines)
                 yield pd.DataFrame({
                     "_id": ids[text[rows]],
-                    "place": hashes[text[rows]] * (1 << 32) + number[rows],
+                    "_hash": hashes[text[rows]],
+                    "place": number[rows],
                     "n": n[rows],
                     "d1": d1,
                     "d2": d2,
@@ -103,7 +106,7 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
                     "sigs": [sigs[s:e] for s, e in zip(starts, ends, strict=True)],
                 })
 
-    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, place long, n int, d1 long, d2 long, bits long, at array<long>, sigs array<long>")
+    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, _hash long, place long, n int, d1 long, d2 long, bits long, at array<long>, sigs array<long>")
 
 
 def _alone(n: np.ndarray, percent: int) -> np.ndarray:
@@ -127,15 +130,16 @@ def _digests(x: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """_id (the least number for a null id), _hash (16 bits that tell texts of a repeated id apart), text (null: empty)."""
+    """_id (the least number for a null id), _hash (of the text, 64 bits: tells texts of a repeated or null id apart), text
+    (null: empty)."""
     text = F.coalesce("text", F.lit(""))
     least = F.lit(-(2**63))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).alias("_hash"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
 
 
 def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_id, place, tokens: the whole sets of the lines wanted, from their texts."""
-    per_doc = wanted.groupBy("_id", F.shiftright("place", 32).alias("_hash")).agg(F.collect_list(F.col("place").bitwiseAND(2**32 - 1)).alias("lines"))
+    """_id, _hash, place, tokens: the whole sets of the lines wanted, from their texts."""
+    per_doc = wanted.groupBy("_id", "_hash").agg(F.collect_list("place").alias("lines"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
@@ -151,16 +155,17 @@ def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 begin = np.where(rows > 0, ends[rows - 1], 0)
                 yield pd.DataFrame({
                     "_id": ids[first + text],
-                    "place": hashes[first + text] * (1 << 32) + number,
+                    "_hash": hashes[first + text],
+                    "place": number,
                     "tokens": [np.sort(x[s:e]).tobytes() for s, e in zip(begin, ends[rows], strict=True)],
                 })
 
     rows = keyed.join(few(stored(per_doc, "wanted"), BROADCAST_ROWS), ["_id", "_hash"]).select("_id", "_hash", "text", "lines")
-    return rows.mapInPandas(run, "_id long, place long, tokens binary").dropDuplicates(["_id", "place"])
+    return rows.mapInPandas(run, "_id long, _hash long, place long, tokens binary").dropDuplicates(KEY)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Lines (_id, place) that are similar enough to the earlier line (e_id, e_place) of some pair."""
+    """Lines (_id, _hash, place) that are similar enough to the earlier line (e_id, e_hash, e_place) of some pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -169,11 +174,11 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield b.loc[keep, ["_id", "place"]]
+            yield b.loc[keep, KEY]
 
-    earlier = sets.select(F.col("_id").alias("e_id"), F.col("place").alias("e_place"), F.col("tokens").alias("e_tokens"))
-    rows = pairs.join(earlier, ["e_id", "e_place"]).join(sets, ["_id", "place"])
-    return rows.select("_id", "place", "tokens", "e_tokens").mapInPandas(run, "_id long, place long").distinct()
+    earlier = sets.select(*_earlier(), F.col("tokens").alias("e_tokens"))
+    rows = pairs.join(earlier, EARLIER).join(sets, KEY)
+    return rows.select(*KEY, "tokens", "e_tokens").mapInPandas(run, "_id long, _hash long, place long").distinct()
 
 
 def _fits(percent: int) -> Column:
@@ -186,12 +191,12 @@ def _fits(percent: int) -> Column:
 
 
 def _fitting(late: np.ndarray, early: np.ndarray, percent: int) -> np.ndarray:
-    """The same of entries (rows: word, _id, place, bits, n * 2^35 + at), both of one word."""
-    n, m = late[4] >> 35, early[4] >> 35
+    """The same of entries (rows: word, _id, _hash, place, bits, n * 2^35 + at), both of one word."""
+    n, m = late[5] >> 35, early[5] >> 35
     least = -(-percent * (n + m) // (100 + percent))
-    rest = np.minimum(n - (late[4] >> 9 & 0x3FFFFFF), m - (early[4] >> 9 & 0x3FFFFFF))
+    rest = np.minimum(n - (late[5] >> 9 & 0x3FFFFFF), m - (early[5] >> 9 & 0x3FFFFFF))
     keep = np.flatnonzero((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (rest >= least))
-    differ = np.bitwise_count((late[3, keep] ^ early[3, keep]).view(np.uint64))
+    differ = np.bitwise_count((late[4, keep] ^ early[4, keep]).view(np.uint64))
     return keep[differ <= (n + m - 2 * least)[keep]]
 
 
@@ -203,7 +208,7 @@ def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """
 
     def pairs(x: np.ndarray, big: bool) -> pd.DataFrame:
-        change = np.flatnonzero((x[0, 1:] != x[0, :-1]) | ((x[4, 1:] & 511) != (x[4, :-1] & 511))) + 1
+        change = np.flatnonzero((x[0, 1:] != x[0, :-1]) | ((x[5, 1:] & 511) != (x[5, :-1] & 511))) + 1
         begin = np.concatenate(([0], change))
         size = np.diff(np.append(begin, x.shape[1]))
         many = size > SMALL
@@ -220,17 +225,17 @@ def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
         late, early = (np.concatenate(v) for v in zip(*found, strict=True))
         fit = _fitting(x[:, late], x[:, early], percent)
         late, early = late[fit], early[fit]
-        words = x[0, begin[many | (x[4, begin] & 511 > 0)]]
+        words = x[0, begin[many | (x[5, begin] & 511 > 0)]]
         none = np.zeros(len(words), np.int64)
-        columns = {"sig": (0 * late, words), "_id": (x[1, late], none), "place": (x[2, late], none), "e_id": (x[1, early], none), "e_place": (x[2, early], none)}
+        columns = {"sig": (0 * late, words)} | {k: (x[i, at], none) for at, names in ((late, KEY), (early, EARLIER)) for i, k in enumerate(names, 1)}
         out = {k: np.concatenate(v) for k, v in columns.items()}
         return pd.DataFrame(out | {"large": np.arange(len(late) + len(words)) >= len(late)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, big = np.zeros((5, 0), np.int64), False
+        held, big = np.zeros((6, 0), np.int64), False
         for b in filter(len, batches):
             x = np.concatenate((held, b.to_numpy(np.int64).T), axis=1)
-            same = (x[0] == x[0, -1]) & ((x[4] & 511) == (x[4, -1] & 511))
+            same = (x[0] == x[0, -1]) & ((x[5] & 511) == (x[5, -1] & 511))
             last = x.shape[1] - int(same.sum())
             if last:
                 yield pairs(x[:, :last], big)
@@ -239,63 +244,67 @@ def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
             if held.shape[1] > SMALL:
                 yield pairs(held, True)
                 held, big = held[:, :1], True
-        if held.shape[1] > 1 or big or held.shape[1] and held[4, 0] & 511:
+        if held.shape[1] > 1 or big or held.shape[1] and held[5, 0] & 511:
             yield pairs(held, big)
 
-    return entries.mapInPandas(run, "sig long, _id long, place long, e_id long, e_place long, large boolean")
+    return entries.mapInPandas(run, "sig long, _id long, _hash long, place long, e_id long, e_hash long, e_place long, large boolean")
 
 
 def later_matches(keyed: DataFrame, percent: int, least_words: int, bits: int | None) -> DataFrame:
-    """_id, place of every line that an earlier line matches."""
+    """_id, _hash, place of every line that an earlier line matches."""
     whole = stored(indexed(keyed, percent, least_words, bits or bits_for(keyed)), "indexed")
-    sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "place")).alias("k"), F.first(F.struct("bits", "sigs", "at")).alias("s"))
-    firsts = stored(sets.select("d1", "d2", "n", "k._id", "k.place", "s.*"), "firsts")
-    lines = stored(whole.select("_id", "place", "n", "d1", "d2"), "lines")
+    sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct(*KEY)).alias("k"), F.first(F.struct("bits", "sigs", "at")).alias("s"))
+    firsts = stored(sets.select("d1", "d2", "n", "k.*", "s.*"), "firsts")
+    lines = stored(whole.select(*KEY, "n", "d1", "d2"), "lines")
     dropped(whole)
 
-    rows = firsts.select("_id", "place", "bits", "n", F.inline(F.arrays_zip("sigs", "at")).alias("sig", "at"))
-    packed = rows.select("sig", "_id", "place", "bits", (F.shiftleft(F.col("n").cast("long"), 35) + F.col("at")).alias("pack"))
+    rows = firsts.select(*KEY, "bits", "n", F.inline(F.arrays_zip("sigs", "at")).alias("sig", "at"))
+    packed = rows.select("sig", *KEY, "bits", (F.shiftleft(F.col("n").cast("long"), 35) + F.col("at")).alias("pack"))
     block = F.col("pack").bitwiseAND(511)
-    dealt = packed.repartition("sig", block).sortWithinPartitions("sig", block, "_id", "place")
+    dealt = packed.repartition("sig", block).sortWithinPartitions("sig", block, *KEY)
     tried = stored(entry_pairs(dealt, percent), "tried")
-    key = ["_id", "place", "e_id", "e_place"]
+    key = [*KEY, *EARLIER]
     near = stored(tried.where("NOT large").select(key).distinct(), "near")
     gone = stored(similar_pairs(near, stored(sets_of(keyed, _lines(near)), "sets"), percent), "gone")
 
     # lines that are not gone yet against all earlier ones of a word that has more entries
     large = few(stored(tried.where("large").select("sig").distinct(), "large"), BROADCAST_ROWS)
-    rows = rows.join(large, "sig").select("sig", "_id", "place", "n", F.shiftright("at", 9).alias("pos"), "bits")
-    left = rows.join(few(gone, BROADCAST_ROWS), ["_id", "place"], "left_anti")
-    earlier = rows.select("sig", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"), F.col("bits").alias("e_bits"))
-    rest = left.join(earlier, "sig").where("e_id < _id OR e_id = _id AND e_place < place").where(_fits(percent)).select(key).distinct()
+    rows = rows.join(large, "sig").select("sig", *KEY, "n", F.shiftright("at", 9).alias("pos"), "bits")
+    left = rows.join(few(gone, BROADCAST_ROWS), KEY, "left_anti")
+    earlier = rows.select("sig", *_earlier(), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"), F.col("bits").alias("e_bits"))
+    rest = left.join(earlier, "sig").where(F.struct(*EARLIER) < F.struct(*KEY)).where(_fits(percent)).select(key).distinct()
     rest = stored(rest.join(few(near, BROADCAST_ROWS), key, "left_anti"), "rest")
     more = similar_pairs(rest, stored(sets_of(keyed, _lines(rest)), "sets"), percent)
     gone = stored(gone.union(more).distinct(), "gone")
 
-    marked = firsts.select("d1", "d2", "n", "_id", "place").join(few(gone.withColumn("_gone", F.lit(True)), BROADCAST_ROWS), ["_id", "place"], "left")
-    marked = marked.select("d1", "d2", "n", F.col("_id").alias("e_id"), F.col("place").alias("e_place"), "_gone")
-    repeated = F.col("_gone").isNotNull() | (F.col("_id") != F.col("e_id")) | (F.col("place") != F.col("e_place"))
-    return lines.join(marked, ["d1", "d2", "n"]).where(repeated).select("_id", "place")
+    marked = firsts.select("d1", "d2", "n", *KEY).join(few(gone.withColumn("_gone", F.lit(True)), BROADCAST_ROWS), KEY, "left")
+    marked = marked.select("d1", "d2", "n", *_earlier(), "_gone")
+    repeated = F.col("_gone").isNotNull() | (F.struct(*KEY) != F.struct(*EARLIER))
+    return lines.join(marked, ["d1", "d2", "n"]).where(repeated).select(*KEY)
 
 
 def _lines(pairs: DataFrame) -> DataFrame:
-    return pairs.select("_id", "place").union(pairs.select(F.col("e_id").alias("_id"), F.col("e_place").alias("place"))).distinct()
+    return pairs.select(*KEY).union(pairs.select(*[F.col(e).alias(k) for k, e in zip(KEY, EARLIER, strict=True)])).distinct()
+
+
+def _earlier() -> list[Column]:
+    return [F.col(k).alias(e) for k, e in zip(KEY, EARLIER, strict=True)]
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
     """The rows of docs, their texts without lines that an earlier line matches; n_lines and n_removed are added.
 
     Lines end at line feeds. Earlier means a smaller doc_id (null first), or further up in the same text. Lines of fewer
-    than ``least_words`` distinct words stay. Rows that repeat both id and text are treated alike; texts of a repeated id
-    come in an order of their hashes. Null text stays null (0 lines), empty text has one line; an n_chars column is
+    than ``least_words`` distinct words stay. Rows that repeat both id and text are treated alike; texts of a repeated or
+    null id come in an order of their hashes (64 bits), each with its own lines. Null text stays null (0 lines), empty text has one line; an n_chars column is
     counted anew; no rows give no rows.
     """
     keyed = keyed_texts(docs)
     gone = later_matches(keyed, percent, least_words, bits)
-    per_doc = gone.groupBy("_id", F.shiftright("place", 32).alias("_hash")).agg(F.collect_set(F.col("place").bitwiseAND(2**32 - 1).cast("int")).alias("_lines"))
+    per_doc = gone.groupBy("_id", "_hash").agg(F.collect_set(F.col("place").cast("int")).alias("_lines"))
     decisions = few(stored(per_doc, "removed"), BROADCAST_ROWS)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_hash": F.pmod(F.xxhash64(text), F.lit(1 << 16))})
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_hash": F.xxhash64(text)})
     rows = rows.join(decisions, ["_id", "_hash"], "left").withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>")))
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_lines", i)), "\n")
