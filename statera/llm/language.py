@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 #: fewer; they are those with the smallest hashes of their ids); languages that one run may have.
 PROFILE, OWN, LEARNT_DOCS, MOST_LANGUAGES = 400, 300, 3_000, 1_000
 UNKNOWN = "und"
+#: A text is in none of the languages learnt below this share of the score that all but LOW of the learnt texts reach.
+LOW, SHARE = 0.1, 0.5
 
 
 @cache
@@ -50,15 +52,23 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
 
 
-def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
-    """The n-grams of each language by rank, learnt from texts and languages of the rows given."""
+def sample(docs: DataFrame, learnt_docs: int = LEARNT_DOCS) -> DataFrame | None:
+    """lang and text of the documents that profiles are learnt from; None if there are none."""
     known = learnable(docs).select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(2**30)).alias("_h"))
     counts = known.groupBy("lang").count().collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"{len(counts)} languages; profiles take {MOST_LANGUAGES}")
     if not counts:
-        return {}
+        return None
     share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, int(2**30 * min(1.0, learnt_docs / n)))])
+    return known.where(F.col("_h") < F.element_at(share, F.col("lang"))).select("lang", "text")
+
+
+def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
+    """The n-grams of each language by rank, learnt from texts and languages of the rows given."""
+    rows = sample(docs, learnt_docs)
+    if rows is None:
+        return {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -68,7 +78,6 @@ def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFIL
                 n = np.bincount(at, np.concatenate([c for _, c in found]), len(key)).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": key, "n": n})
 
-    rows = known.where(F.col("_h") < F.element_at(share, F.col("lang"))).select("lang", "text")
     sums = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     out: dict[str, list[int]] = {}
@@ -122,6 +131,16 @@ def predictions(docs: DataFrame, learnt: dict[str, list[int]], columns: list[str
     return out.withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
 
 
+def limit(docs: DataFrame, learnt: dict[str, list[int]], learnt_docs: int = LEARNT_DOCS) -> float:
+    """The least score of a text in one of the languages learnt, from the scores of the texts they were learnt from."""
+    rows = sample(docs, learnt_docs)
+    if rows is None:
+        return 0.0
+    scored = predictions(rows, learnt, ["lang"]).where("score > 0").select(F.floor(F.col("score") * 1000).alias("score"))
+    low = scored.agg(F.percentile("score", F.lit(LOW))).collect()[0][0]  # of 1,001 values at most
+    return SHARE * (low or 0.0) / 1000
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; a null id is not held out, and not learnt from either."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
