@@ -65,7 +65,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     fewer. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
     rows that repeat an id and its vector count once; no rows give no rows.
     """
-    rows = stored(usable(vectors).withColumn("_size", F.size("v")), "vectors")
+    # repeats go before blocks are dealt, so that they take no place in a tile's lists
+    rows = stored(usable(vectors).dropDuplicates(["vec_id", "v"]).withColumn("_size", F.size("v")), "vectors")
     sizes = rows.groupBy("_size").count().orderBy(F.desc("count"), "_size").limit(1).collect()
     rows = rows.where(F.col("_size") == (sizes[0][0] if sizes else 0)).drop("_size")
     queries = rows.where(is_query)
@@ -86,7 +87,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     found = q.groupBy("q_block", "c_block").cogroup(c.groupBy("q_block", "c_block")).applyInPandas(run, kind)
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, zip(b["score"].tolist(), b["vec_id"].tolist(), strict=True))
+        best = heapq.nsmallest(k, set(zip(b["score"].tolist(), b["vec_id"].tolist(), strict=True)))
         return pd.DataFrame({"query_id": b["query_id"].iloc[0], "vec_id": [v for _, v in best], "score": [s for s, _ in best], "c_block": b["c_block"].iloc[0] // FAN_IN})
 
     groups = n_c
