@@ -130,11 +130,15 @@ def served(totals: np.ndarray, first: int, last: int, length: int) -> np.ndarray
 
 
 def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Pieces of documents that stand at ``start`` of a queue: row, start, end, window and place in it."""
+    """Pieces of documents that stand at ``start`` of a queue: row, start, end, window and place in it.
+
+    When a token is due, each queue has been served its share to half a token, all of them to half their number: so many
+    tokens, in windows, a token may stand before or behind the plain pace.
+    """
     every, total = int(totals.sum()), int(totals[queue])
-    pace = every / (total * length)
-    low = max(0, int(start.min() * pace) - 2)
-    high = min(-(-every // length), int((start + size).max() * pace) + 3)
+    pace, reach = every / (total * length), -(-len(totals) // (2 * length)) + 1
+    low = max(0, int(start.min() * pace) - 2 - reach)
+    high = min(-(-every // length), int((start + size).max() * pace) + 3 + reach)
     step, out = max(1, CELLS // len(totals)), []
     for a in range(low, high, step):
         b = min(high, a + step)
@@ -154,7 +158,11 @@ def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, len
         row, w, begin, end = row[keep], w[keep], begin[keep], end[keep]
         own = start[rows][row]
         out.append((rows[row], begin - own, end - own, w + a, lead[w] + begin - edges[w]))
-    return dict(zip(("row", "start", "end", "window", "offset"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+    found = dict(zip(("row", "start", "end", "window", "offset"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {}
+    held = np.bincount(found["row"], found["end"] - found["start"], len(size)) if out else np.zeros(len(size))
+    if (held != size).any():
+        raise ValueError(f"pieces of {int((held != size).sum())} documents of queue {queue} do not hold all of their tokens")
+    return found
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
