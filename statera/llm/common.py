@@ -57,16 +57,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing will read again."""
-    if files := df.inputFiles():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast if it is counted to have no more than so many rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of stored tables that nothing will read again."""
+    for df in frames:
+        if files := df.inputFiles():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, rows: int, size: Column | None = None, most: int = 0) -> DataFrame:
+    """Broadcast if it is counted to have no more than so many rows, and no more than ``most`` of ``size`` (a sum) where rows
+    differ in size; a larger one is joined by a shuffle."""
+    n, total = df.agg(F.count("*"), F.coalesce(size if size is not None else F.lit(0), F.lit(0))).collect()[0]
+    return F.broadcast(df) if n <= rows and total <= most else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

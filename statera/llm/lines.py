@@ -1,9 +1,13 @@
 """Operator 2: line dedup by an exact set-similarity join.
 
 A line's set is its distinct words (ASCII letters lower-cased). Words are ordered by rarity: by their count in a sketch of
-the whole corpus, ties by hash. Two lines with enough in common share a word in the first few of both; those are indexed
-with position and length. Candidates that pass the length and positional filters are verified on whole sets, and a line
-goes if any earlier line, by doc_id, hash of the text and place, is as similar as the threshold. Equal sets are joined once.
+the whole corpus, ties by hash. Two lines with enough in common share a word in the first few of both. A rare one of these
+is indexed by itself; one that many lines hold is indexed with the next shared word, or the next two, of a prefix that is
+longer by as many: what shares an entry stays few while the corpus grows. Entries carry position, length and parity.
+
+Equal sets are joined once. Each line first meets the earliest line of an entry that the length, positional and parity
+filters let pass; verified matches go, and only lines that are still there meet all other earlier lines of their entries.
+A line goes if any earlier line, by doc_id, hash of the text and place, is as similar as the threshold.
 """
 
 from __future__ import annotations
@@ -12,30 +16,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from statera.llm.common import dropped, few, stored
 from statera.llm.words import batches, graded, hashed, sketch
 
-#: Jaccard similarity in percent; distinct words that a line needs to take part unless the caller says otherwise (the
-#: queries let every line with a word take part); the least and most
-#: log2 of the sketch's counters (executors are sent their array, a byte each); lines or documents whose decisions are
-#: sent to executors instead of being shuffled for.
-PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS = 80, 5, 16, 26, 400_000
-#: Entries of a word up to which all are compared while they stream by (of more, each with the earliest, then those left
-#: by a join); occurrences from which a word's entries are dealt over several tasks, and into how many at most.
-SMALL, SPREAD, MOST_BLOCKS = 32, 16_384, 511
+#: Jaccard similarity in percent; distinct words that a line needs to take part (1: every line with a word); the least and
+#: most log2 of the sketch's counters (executors are sent their array, a byte each); lines or documents whose decisions
+#: are sent to executors instead of being shuffled for, and bytes of these.
+PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS, BROADCAST_BYTES = 80, 1, 16, 24, 400_000, 64_000_000
+#: Occurrences up to which a word is indexed by itself, and entries that a pair of words may be expected to have (more: three
+#: words); words of the longest lines that are indexed by three words, and by two.
+RARE, THREE_WORDS, TWO_WORDS = 512, 24, 128
+#: First lines of an entry that later ones are tried with while they stream by; rows that are tried at a time; occurrences
+#: from which a word's entries are dealt over several tasks, and into how many at most; blocks that an entry's lines are
+#: dealt into when lines that are left meet all others.
+SMALL, STREAM, SPREAD, MOST_BLOCKS, SALTS = 1_024, 100_000, 1 << 20, 511, 32
 #: What names a line, and an earlier line of a pair.
 KEY, EARLIER = ["_id", "_hash", "place"], ["e_id", "e_hash", "e_place"]
-_Q = np.uint64(0xBF58476D1CE4E5B9)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def bits_for(keyed: DataFrame) -> int:
-    """Counters for about a word in eight of the corpus, within limits."""
-    chars = keyed.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    return min(MOST_BITS, max(LEAST_BITS, int(chars // 48).bit_length()))
+def sizes(keyed: DataFrame) -> tuple[int, int]:
+    """(log2 of counters for about a word in eight of the corpus, within limits; lines of the corpus)."""
+    feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    chars, lines = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(feeds), F.lit(0))).collect()[0]
+    return min(MOST_BITS, max(LEAST_BITS, int(chars // 48).bit_length())), lines
 
 
 def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
@@ -62,51 +70,89 @@ def occurrences(grades: np.ndarray) -> np.ndarray:
     return np.where(x < 16, x, 2 ** (4 + np.maximum(0, x - 16) / 8)).astype(np.int64)
 
 
-def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
-    """A row for each line that takes part: _id, _hash, place (its number), n, d1 and d2 (digest of its set), bits (parity of its words'
-    hashes), sigs (the first words by rarity, but for those that the sketch shows to be nowhere else; none for a set that
-    only an equal one can match), at (their positions,
-    times 512, and from 1 on the block that a frequent word's entry goes to)."""
-    grades = sketch(keyed, word_hashes, bits, graded)
-    held = keyed.sparkSession.sparkContext.broadcast(grades)
+def entries(x: np.ndarray, line: np.ndarray, n: np.ndarray, count: np.ndarray, percent: int, often: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, entry, position of its first word, occurrences of that word) of all lines, line after line; x are the ordered sets.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Of words that similar lines share, the first stands in the prefix of both, and the k-th in a prefix longer by k - 1.
+    Words after the first are no rarer. So an entry of k words, the first of them in the prefix, is found if both lines
+    index the first word with k words. k depends on how often the word occurs and, so that long lines have few entries,
+    on a line's length; a line whose partners may be of another class of length is indexed for both classes. A word that
+    occurs once is in no other line, and a set that only an equal one matches needs no entry.
+    """
+    least = -(-percent * n // 100)
+    begin = np.cumsum(n) - n
+    pos = np.arange(len(x)) - begin[line]
+    first = (pos < (n - least + 1)[line]) & ~_alone(n, percent)[line] & (count > 1)
+    words = np.where(count <= RARE, 1, np.where(count <= often, 2, 3))
+    most = [np.where(m <= THREE_WORDS, 3, np.where(m <= TWO_WORDS, 2, 1)) for m in (least, 100 * n // percent)]
+    out = []
+    for k in (1, 2, 3):
+        wanted = np.minimum(words, most[0][line]) == k
+        for t in (1, 2, 3):
+            wanted |= (np.minimum(words, t) == k) & (most[1][line] <= t) & (t <= most[0][line])
+        start = np.flatnonzero(first & wanted)
+        last = begin[line[start]] + np.minimum(n, n - least + k)[line[start]]
+        found = [(start, x[start])] if k == 1 else list(_combined(x, start, start, x[start], last, k - 1))
+        out += [(i, h if k == 1 else (h ^ (h >> np.uint64(31))) * _Q) for i, h in found]
+    start, sigs = np.concatenate([i for i, _ in out]), np.concatenate([h for _, h in out])
+    by = np.argsort(line[start], kind="stable")
+    start = start[by]
+    return line[start], sigs[by].view(np.int64), pos[start], count[start]
+
+
+def _combined(x: np.ndarray, start: np.ndarray, at: np.ndarray, h: np.ndarray, last: np.ndarray, more: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and hashes of the words at ``at`` with each choice of ``more`` later ones before ``last``."""
+    step = 1
+    while len(rows := np.flatnonzero(at + step < last)):
+        start, at, h, last = start[rows], at[rows], h[rows], last[rows]
+        both = (h ^ (h >> np.uint64(29))) * _P + x[at + step]
+        if more == 1:
+            yield start, both
+        else:
+            yield from _combined(x, start, at + step, both, last, more - 1)
+        step += 1
+
+
+def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int, lines: int) -> DataFrame:
+    """A row for each line that takes part, but for those that equal an earlier one of the same batch: _id, _hash, place
+    (its number), n, d1 and d2 (digest of its set), bits (parity of its words' hashes), sigs (entries), at (positions of
+    their first words, times 512, and from 1 on the block that a very frequent word's entry goes to)."""
+    held = keyed.sparkSession.sparkContext.broadcast(sketch(keyed, word_hashes, bits, graded))
+    often = max(float(RARE), (RARE * float(lines)) ** 0.5)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grade = held.value
         for b in parts:
             ids, hashes = b["_id"].to_numpy(), b["_hash"].to_numpy()
-            for first, texts in batches(b["text"].tolist()):
+            for first, texts in batches(b["text"].to_pylist()):
                 x, line, lines = hashed(texts)
                 every = int(lines.sum())
                 x, line, own = ordered_sets(x, line, every, grade[(x >> np.uint64(64 - bits)).astype(np.int64)])
                 n = np.bincount(line, minlength=every)
-                rows = np.flatnonzero(n >= least_words)
-                if not len(rows):
-                    continue
-                begin = np.cumsum(n) - n
-                pos = np.arange(len(x)) - begin[line]
-                take = (n[line] >= least_words) & ~_alone(n[line], percent) & (pos < n[line] + -(percent * n[line]) // 100 + 1) & (own > 1)
-                sigs = x[take].view(np.int64)
-                blocks = np.minimum(MOST_BLOCKS, occurrences(own[take]) // SPREAD)
-                block = np.where(blocks > 0, 1 + (line[take] + ids[0]) % np.maximum(1, blocks), 0)
-                at = (pos[take] << 9) | block
-                ends = np.cumsum(np.bincount(line[take], minlength=every))[rows]
-                starts = np.concatenate(([0], ends[:-1]))
-                d1, d2, parity = _digests(x, n, rows)
+                d1, d2, parity = _digests(x, n)
                 text = np.repeat(np.arange(len(texts)), lines) + first
                 number = np.arange(every) - np.repeat(np.cumsum(lines) - lines, lines)
-                yield pd.DataFrame({
-                    "_id": ids[text[rows]],
-                    "_hash": hashes[text[rows]],
-                    "place": number[rows],
-                    "n": n[rows],
-                    "d1": d1,
-                    "d2": d2,
-                    "bits": parity,
-                    "at": [at[s:e] for s, e in zip(starts, ends, strict=True)],
-                    "sigs": [sigs[s:e] for s, e in zip(starts, ends, strict=True)],
-                })
-
-    return keyed.select("_id", "_hash", "text").mapInPandas(run, "_id long, _hash long, place long, n int, d1 long, d2 long, bits long, at array<long>, sigs array<long>")
+                by = np.lexsort((number, hashes[text], ids[text], d2, d1, n))
+                by = by[n[by] >= least_words]
+                new = np.ones(len(by), bool)
+                new[1:] = (d1[by[1:]] != d1[by[:-1]]) | (d2[by[1:]] != d2[by[:-1]]) | (n[by[1:]] != n[by[:-1]])
+                rows = np.sort(by[new])
+                if not len(rows):
+                    continue
+                wanted = np.zeros(every, bool)
+                wanted[rows] = True
+                row = np.cumsum(wanted) - 1
+                keep = wanted[line]
+                at, sigs, pos, count = entries(x[keep], row[line[keep]], n[rows], occurrences(own[keep]), percent, often)
+                blocks = np.minimum(MOST_BLOCKS, count // SPREAD)
+                block = np.where(blocks > 0, 1 + d1[rows][at].view(np.uint64) % np.maximum(1, blocks).astype(np.uint64), 0).astype(np.int64)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(rows))))).astype(np.int32)
+                columns = [ids[text[rows]], hashes[text[rows]], number[rows], n[rows], d1[rows], d2[rows], parity[rows]]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((pos << 9) | block, sigs)]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)) for v in columns], [*KEY, "n", "d1", "d2", "bits", "at", "sigs"])
+
+    kind = "_id long, _hash long, place long, n long, d1 long, d2 long, bits long, at array<long>, sigs array<long>"
+    return keyed.select("_id", "_hash", "text").mapInArrow(run, kind)
 
 
 def _alone(n: np.ndarray, percent: int) -> np.ndarray:
@@ -115,11 +161,11 @@ def _alone(n: np.ndarray, percent: int) -> np.ndarray:
     return 100 * n < percent * (n + 1)
 
 
-def _digests(x: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _digests(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two sums over each line's set, and the xor of a bit for each of its words; none depends on order."""
     mixed = (x ^ (x >> np.uint64(32))) * _Q
-    begin = (np.cumsum(n) - n)[rows]
-    last = begin + n[rows]
+    last = np.cumsum(n)
+    begin = last - n
 
     def sums(v: np.ndarray) -> np.ndarray:
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
@@ -130,11 +176,14 @@ def _digests(x: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """_id (the least number for a null id), _hash (of the text, 64 bits: tells texts of a repeated or null id apart), text
-    (null: empty)."""
-    text = F.coalesce("text", F.lit(""))
-    least = F.lit(-(2**63))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    """_id (the least number for a null id), _hash (64 bits of the text and of whether the id is null: tells texts of a
+    repeated or null id apart), text (null: empty)."""
+    return docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _keys() -> list[Column]:
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return [least.alias("_id"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("_hash")]
 
 
 def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -160,7 +209,7 @@ def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                     "tokens": [np.sort(x[s:e]).tobytes() for s, e in zip(begin, ends[rows], strict=True)],
                 })
 
-    rows = keyed.join(few(stored(per_doc, "wanted"), BROADCAST_ROWS), ["_id", "_hash"]).select("_id", "_hash", "text", "lines")
+    rows = keyed.join(few(stored(per_doc, "wanted"), BROADCAST_ROWS, F.sum(8 * F.size("lines")), BROADCAST_BYTES), ["_id", "_hash"]).select("_id", "_hash", "text", "lines")
     return rows.mapInPandas(run, "_id long, _hash long, place long, tokens binary").dropDuplicates(KEY)
 
 
@@ -190,97 +239,107 @@ def _fits(percent: int) -> Column:
     return length & position & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= F.col("n") + F.col("e_n") - 2 * least)
 
 
-def _fitting(late: np.ndarray, early: np.ndarray, percent: int) -> np.ndarray:
-    """The same of entries (rows: word, _id, _hash, place, bits, n * 2^35 + at), both of one word."""
-    n, m = late[5] >> 35, early[5] >> 35
-    least = -(-percent * (n + m) // (100 + percent))
-    rest = np.minimum(n - (late[5] >> 9 & 0x3FFFFFF), m - (early[5] >> 9 & 0x3FFFFFF))
-    keep = np.flatnonzero((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (rest >= least))
-    differ = np.bitwise_count((late[4, keep] ^ early[4, keep]).view(np.uint64))
-    return keep[differ <= (n + m - 2 * least)[keep]]
+def _fitting(late: np.ndarray, early: np.ndarray, bits: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """The same of places in the columns of entries."""
+    a, b = n[late], n[early]
+    least = -(-percent * (a + b) // (100 + percent))
+    near = np.bitwise_count(bits[late] ^ bits[early]) <= a + b - 2 * least
+    keep = np.flatnonzero(near)
+    if len(keep):
+        late, early, a, b = late[keep], early[keep], a[keep], b[keep]
+        rest = np.minimum(a - pos[late], b - pos[early])
+        near[keep] = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (rest >= least[keep])
+    return near
 
 
-def entry_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """From entries sorted by word, block and place: pairs that fit (large false), and the words that have more (large true).
+def first_fits(dealt: DataFrame, percent: int) -> DataFrame:
+    """From entries sorted by word, block and line: each line with the earliest of its entry that fits (open false), or
+    open true where none of the first SMALL fits and the entry has more, or has other blocks.
 
-    Of up to SMALL entries all pairs are tried, of more those with the earliest. Entries stream by: of a long run only
-    its earliest is kept.
+    Entries stream by: of a long run only its first SMALL are kept.
     """
+    names = ["sig", *KEY, "bits", "pack"]
 
-    def pairs(x: np.ndarray, big: bool) -> pd.DataFrame:
-        change = np.flatnonzero((x[0, 1:] != x[0, :-1]) | ((x[5, 1:] & 511) != (x[5, :-1] & 511))) + 1
+    def tried(x: np.ndarray, old: int, going: bool) -> pd.DataFrame:
+        block, n, pos, bits = x[5] & 511, x[5] >> 35, x[5] >> 9 & 0x3FFFFFF, x[4].view(np.uint64)
+        change = np.flatnonzero((x[0, 1:] != x[0, :-1]) | (block[1:] != block[:-1])) + 1
         begin = np.concatenate(([0], change))
-        size = np.diff(np.append(begin, x.shape[1]))
-        many = size > SMALL
-        many[0] |= big
-        head, more = np.repeat(begin, size), np.repeat(many, size)
+        head = np.repeat(begin, np.diff(np.append(begin, x.shape[1])))
         place = np.arange(x.shape[1])
-        found = [(late := place[more & (head < place)], head[late])]
-        late = place[~more]
-        for k in range(1, SMALL):
-            late = late[late - k >= head[late]]
+        fit = np.full(x.shape[1], -1)
+        late = np.flatnonzero((place > head) & (place >= old))
+        for k in range(SMALL):
+            late = late[place[late] - head[late] > k]
             if not len(late):
                 break
-            found.append((late, late - k))
-        late, early = (np.concatenate(v) for v in zip(*found, strict=True))
-        fit = _fitting(x[:, late], x[:, early], percent)
-        late, early = late[fit], early[fit]
-        words = x[0, begin[many | (x[5, begin] & 511 > 0)]]
-        none = np.zeros(len(words), np.int64)
-        columns = {"sig": (0 * late, words)} | {k: (x[i, at], none) for at, names in ((late, KEY), (early, EARLIER)) for i, k in enumerate(names, 1)}
-        out = {k: np.concatenate(v) for k, v in columns.items()}
-        return pd.DataFrame(out | {"large": np.arange(len(late) + len(words)) >= len(late)}).drop_duplicates()
+            near = _fitting(late, head[late] + k, bits, n, pos, percent)
+            fit[late[near]] = head[late[near]] + k
+            late = late[~near]
+        over = (fit < 0) & (place >= old) & ((block > 0) | (place - head > SMALL))
+        rows = np.flatnonzero((fit >= 0) | over)
+        early = x[1:4, np.maximum(fit[rows], 0)]
+        return pd.DataFrame(dict(zip(names, x[:, rows], strict=True)) | dict(zip(EARLIER, early, strict=True)) | {"open": over[rows]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, big = np.zeros((6, 0), np.int64), False
-        for b in filter(len, batches):
-            x = np.concatenate((held, b.to_numpy(np.int64).T), axis=1)
-            same = (x[0] == x[0, -1]) & ((x[5] & 511) == (x[5, -1] & 511))
-            last = x.shape[1] - int(same.sum())
-            if last:
-                yield pairs(x[:, :last], big)
-                big = False
-            held = x[:, last:]
-            if held.shape[1] > SMALL:
-                yield pairs(held, True)
-                held, big = held[:, :1], True
-        if held.shape[1] > 1 or big or held.shape[1] and held[5, 0] & 511:
-            yield pairs(held, big)
-
-    return entries.mapInPandas(run, "sig long, _id long, _hash long, place long, e_id long, e_hash long, e_place long, large boolean")
-
-
-def later_matches(keyed: DataFrame, percent: int, least_words: int, bits: int | None) -> DataFrame:
-    """_id, _hash, place of every line that an earlier line matches."""
-    whole = stored(indexed(keyed, percent, least_words, bits or bits_for(keyed)), "indexed")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, old, waiting = np.zeros((6, 0), np.int64), 0, []
+        for b in parts:
+            waiting.append(b.to_numpy(np.int64).T)
+            if sum(v.shape[1] for v in waiting) >= STREAM:
+                held, old, out = step(np.concatenate((held, *waiting), axis=1), old)
+                waiting = []
+                yield out
+        x = np.concatenate((held, *waiting), axis=1)
+        if x.shape[1] > old:
+            yield tried(x, old, False)
+
+    def step(x: np.ndarray, old: int) -> tuple[np.ndarray, int, pd.DataFrame]:
+        out = tried(x, old, True)
+        same = np.flatnonzero((x[0] == x[0, -1]) & ((x[5] & 511) == (x[5, -1] & 511)))[:SMALL]
+        return x[:, same].copy(), len(same), out
+
+    kind = ", ".join(f"{c} long" for c in [*names, *EARLIER]) + ", open boolean"
+    return dealt.mapInPandas(run, kind)
+
+
+def kept_lines(keyed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
+    """_id, _hash, place of every line that takes part and that no earlier line matches."""
+    own, count = sizes(keyed)
+    whole = indexed(keyed, percent, least_words, bits or own, count)
     sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct(*KEY)).alias("k"), F.first(F.struct("bits", "sigs", "at")).alias("s"))
-    firsts = stored(sets.select("d1", "d2", "n", "k.*", "s.*"), "firsts")
-    lines = stored(whole.select(*KEY, "n", "d1", "d2"), "lines")
-    dropped(whole)
+    firsts = stored(sets.select("n", "k.*", "s.*"), "firsts")
 
     rows = firsts.select(*KEY, "bits", "n", F.inline(F.arrays_zip("sigs", "at")).alias("sig", "at"))
-    packed = rows.select("sig", *KEY, "bits", (F.shiftleft(F.col("n").cast("long"), 35) + F.col("at")).alias("pack"))
+    packed = rows.select("sig", *KEY, "bits", (F.shiftleft("n", 35) + F.col("at")).alias("pack"))
     block = F.col("pack").bitwiseAND(511)
     dealt = packed.repartition("sig", block).sortWithinPartitions("sig", block, *KEY)
-    tried = stored(entry_pairs(dealt, percent), "tried")
+    tried = stored(first_fits(dealt, percent), "tried")
     key = [*KEY, *EARLIER]
-    near = stored(tried.where("NOT large").select(key).distinct(), "near")
-    gone = stored(similar_pairs(near, stored(sets_of(keyed, _lines(near)), "sets"), percent), "gone")
-
-    # lines that are not gone yet against all earlier ones of a word that has more entries
-    large = few(stored(tried.where("large").select("sig").distinct(), "large"), BROADCAST_ROWS)
-    rows = rows.join(large, "sig").select("sig", *KEY, "n", F.shiftright("at", 9).alias("pos"), "bits")
-    left = rows.join(few(gone, BROADCAST_ROWS), KEY, "left_anti")
-    earlier = rows.select("sig", *_earlier(), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"), F.col("bits").alias("e_bits"))
-    rest = left.join(earlier, "sig").where(F.struct(*EARLIER) < F.struct(*KEY)).where(_fits(percent)).select(key).distinct()
-    rest = stored(rest.join(few(near, BROADCAST_ROWS), key, "left_anti"), "rest")
-    more = similar_pairs(rest, stored(sets_of(keyed, _lines(rest)), "sets"), percent)
-    gone = stored(gone.union(more).distinct(), "gone")
-
-    marked = firsts.select("d1", "d2", "n", *KEY).join(few(gone.withColumn("_gone", F.lit(True)), BROADCAST_ROWS), KEY, "left")
-    marked = marked.select("d1", "d2", "n", *_earlier(), "_gone")
-    repeated = F.col("_gone").isNotNull() | (F.struct(*KEY) != F.struct(*EARLIER))
-    return lines.join(marked, ["d1", "d2", "n"]).where(repeated).select(*KEY)
+    near = stored(tried.where("NOT open").select(key).distinct(), "near")
+    gone = stored(similar_pairs(near, sets_of(keyed, _lines(near)), percent), "gone")
+
+    # lines that are still there against all earlier ones of the entries that they were tried in
+    left = tried.join(few(gone, BROADCAST_ROWS), KEY, "left_anti")
+    left = stored(left.select("sig", *KEY, *_unpacked("")), "left")
+    every = packed.select("sig", *_earlier(), F.col("bits").alias("e_bits"), *_unpacked("e_")[1:])
+    if (n := left.count()) > BROADCAST_ROWS:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        left, every = left.select("*", salts), every.withColumn("_salt", F.pmod(F.xxhash64(*EARLIER), F.lit(SALTS)).cast("int"))
+        both = every.join(left, ["sig", "_salt"])
+    else:
+        both = every.join(F.broadcast(left), "sig")
+    rest = both.where(F.struct(*EARLIER) < F.struct(*KEY)).where(_fits(percent)).select(key).distinct()
+    if n:
+        rest = stored(rest.join(near, key, "left_anti"), "rest")
+        more = similar_pairs(rest, sets_of(keyed, _lines(rest)), percent)
+        gone = stored(gone.union(more).distinct(), "gone")
+    kept = stored(firsts.select(*KEY).join(few(gone, BROADCAST_ROWS), KEY, "left_anti"), "kept")
+    dropped(firsts, tried, near)
+    return kept
+
+
+def _unpacked(prefix: str) -> list[Column]:
+    n, pos = F.shiftright("pack", 35), F.shiftright("pack", 9).bitwiseAND(0x3FFFFFF)
+    return [F.col("bits"), n.alias(f"{prefix}n"), pos.alias(f"{prefix}pos")]
 
 
 def _lines(pairs: DataFrame) -> DataFrame:
@@ -292,23 +351,37 @@ def _earlier() -> list[Column]:
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
-    """The rows of docs, their texts without lines that an earlier line matches; n_lines and n_removed are added.
-
-    Lines end at line feeds. Earlier means a smaller doc_id (null first), or further up in the same text. Lines of fewer
-    than ``least_words`` distinct words stay. Rows that repeat both id and text are treated alike; texts of a repeated or
-    null id come in an order of their hashes (64 bits), each with its own lines. Null text stays null (0 lines), empty text has one line; an n_chars column is
-    counted anew; no rows give no rows.
+    """The rows of docs, their texts without lines that an earlier line matches; n_lines and n_removed are added, in place
+    of columns of these names.
+
+    Lines end at line feeds. Earlier means a smaller doc_id (null and the least number first), or further up in the same
+    text. Lines without a word stay, as do lines of fewer than ``least_words`` distinct words, if more than 1. Rows that
+    repeat both id and text are treated alike; texts of a repeated or null id come in an order of their hashes (64 bits),
+    each with its own lines. Null text stays null (0 lines), empty text has one line; an n_chars column is counted anew;
+    all other columns, whatever their names, stay as they are; no rows give no rows.
     """
     keyed = keyed_texts(docs)
-    gone = later_matches(keyed, percent, least_words, bits)
-    per_doc = gone.groupBy("_id", "_hash").agg(F.collect_set(F.col("place").cast("int")).alias("_lines"))
-    decisions = few(stored(per_doc, "removed"), BROADCAST_ROWS)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_hash": F.xxhash64(text)})
-    rows = rows.join(decisions, ["_id", "_hash"], "left").withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>")))
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_lines", i)), "\n")
-    new = F.when(F.size("_lines") > 0, kept).otherwise(F.col("text"))
-    columns = [new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return rows.select(*columns, n_lines.alias("n_lines"), F.size("_lines").cast("long").alias("n_removed"))
+    kept = kept_lines(keyed, percent, least_words, bits)
+    # a mask of a document's lines, 1 where one is kept: as long as the place of the last one
+    places = F.sort_array(F.collect_set("place"))
+    gap = F.transform("p", lambda p, i: F.concat(F.repeat(F.lit("0"), (p - F.coalesce(F.get("p", i - 1), F.lit(-1)) - 1).cast("int")), F.lit("1")))
+    masks = kept.groupBy("_id", "_hash").agg(places.alias("p")).select("_id", "_hash", F.array_join(gap, "").cast("binary").alias("mask"))
+    masks = few(stored(masks, "masks"), BROADCAST_ROWS, F.sum(F.length("mask")), BROADCAST_BYTES)
+    rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(masks, ["_id", "_hash"], "left")
+    parts = F.split("_row.text", "\n", -1)
+    stay = F.filter(parts, lambda line, i: (F.substring(F.coalesce("mask", F.lit(b"")), i + 1, 1) == F.lit(b"1")) | ~_takes_part(line, least_words))
+    rows = rows.select("_row", F.size(parts).alias("_n"), stay.alias("_stay"))
+    new = F.when(F.size("_stay") < F.col("_n"), F.array_join("_stay", "\n")).otherwise(F.col("_row.text"))
+    columns = [new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    none = F.col("_row.text").isNull()
+    n_lines = F.when(none, 0).otherwise(F.col("_n")).cast("long")
+    n_removed = F.when(none, 0).otherwise(F.col("_n") - F.size("_stay")).cast("long")
+    return rows.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def _takes_part(line: Column, least_words: int) -> Column:
+    """Whether a line has so many distinct words."""
+    if least_words == 1:
+        return line.rlike(r"[^\x20\x09-\x0D]")
+    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.size(F.array_distinct(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""))) >= least_words

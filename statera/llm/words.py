@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _VALUE = np.random.default_rng(20_240_101).integers(1, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes of text that are taken at a time (a longer text is taken alone), and slices in which counts are added.
-BATCH, SLICES = 1 << 20, 64
+#: Bytes of text that are taken at a time (a longer text is taken alone), log2 of the counters of a slice of a sketch, and
+#: buckets or words that a task counts before it sends sums.
+BATCH, SLICE_BITS, HELD = 1 << 20, 18, 1 << 21
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -60,36 +62,58 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]], bits: int, finish: Callable[[np.ndarray], np.ndarray] = np.asarray) -> np.ndarray:
-    """Counts per bucket (the first bits of a hash) over all texts; tasks send sums, slices are added apart.
+    """Counts per bucket (the first bits of a hash) over all texts.
 
-    ``finish`` turns counts (4 bytes each) into what is kept of them, slice by slice.
+    A task sends the buckets that it has seen, with counts, and holds no more than HELD of them: nothing is as large as all
+    counters before they are added up. ``finish`` turns counts (4 bytes each) into what is kept of them, slice by slice;
+    the driver gets slices only.
     """
+    room = bits - SLICE_BITS if bits > SLICE_BITS else 0
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(1 << bits, np.uint32)
+        fresh, size = [], 0
+        at, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for b in parts:
             for x in hashes(b["text"].tolist()):
-                at = np.sort(x >> np.uint64(64 - bits))
-                first = np.flatnonzero(np.diff(at, prepend=np.uint64(2**63)) != 0)
-                sums[at[first].astype(np.int64)] += np.diff(first, append=len(at)).astype(np.uint32)
-        kind = "u1" if sums.max(initial=0) < 2**8 else "<u2" if sums.max() < 2**16 else "<u4"
-        for i, part in enumerate(sums.reshape(SLICES, -1)):
-            yield pd.DataFrame({"slice": [i], "width": [np.dtype(kind).itemsize], "sums": [part.astype(kind).tobytes()]})
-
-    def add(b: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // SLICES, np.int64)
-        for width, x in zip(b["width"], b["sums"], strict=True):
-            total += np.frombuffer(x, f"<u{width}")
-        return pd.DataFrame({"slice": [int(b["slice"].iloc[0])], "width": [4], "sums": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
-    kind = "slice int, width int, sums binary"
-    rows = docs.select("text").mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).toLocalIterator()
-    out = np.zeros((SLICES, (1 << bits) // SLICES), finish(np.zeros(1, np.uint32)).dtype)
-    for r in rows:
-        out[r["slice"]] = finish(np.frombuffer(r["sums"], "<u4"))
+                fresh.append((x >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(x)
+                if size > HELD:
+                    at, n = _added(at, n, fresh)
+                    fresh, size = [], 0
+                    if len(at) > HELD:
+                        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": n})
+                        at, n = at[:0], n[:0]
+        at, n = _added(at, n, fresh)
+        for i in range(0, len(at), HELD // 8):
+            yield pd.DataFrame({"bucket": at[i : i + HELD // 8].astype(np.int32), "n": n[i : i + HELD // 8]})
+
+    def dense(b: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << (bits - room), np.uint32)
+        total[b["bucket"].to_numpy() & (len(total) - 1)] = np.minimum(b["n"].to_numpy(), 2**32 - 1)
+        return pd.DataFrame({"slice": [int(b["slice"].iloc[0])], "sums": [finish(total).tobytes()]})
+
+    sums = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = sums.withColumn("slice", F.shiftright("bucket", bits - room)).groupBy("slice").applyInPandas(dense, "slice int, sums binary")
+    kind = finish(np.zeros(1, np.uint32)).dtype
+    out = np.zeros((1 << room, 1 << (bits - room)), kind)
+    for r in rows.toLocalIterator():
+        out[r["slice"]] = np.frombuffer(r["sums"], kind)
     return out.reshape(-1)
 
 
+def _added(at: np.ndarray, n: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted buckets and their counts, with those of fresh ones added."""
+    if not fresh:
+        return at, n
+    new = np.sort(np.concatenate(fresh))
+    first = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1])))[: len(new)]
+    both, counts = np.concatenate((at, new[first])), np.concatenate((n, np.diff(first, append=len(new))))
+    by = np.argsort(both, kind="stable")
+    both, counts = both[by], counts[by]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))[: len(both)]
+    return both[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def graded(counts: np.ndarray) -> np.ndarray:
     """Counts in one byte that keeps their order: exact up to 15, then eight grades for each power of two."""
     x = np.maximum(counts, 1).astype(np.float64)
