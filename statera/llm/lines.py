@@ -34,16 +34,17 @@ RARE, THREE_WORDS, TWO_WORDS = 512, 24, 128
 #: from which a word's entries are dealt over several tasks, and into how many at most; blocks that an entry's lines are
 #: dealt into when lines that are left meet all others.
 SMALL, STREAM, SPREAD, MOST_BLOCKS, SALTS = 1_024, 100_000, 1 << 20, 511, 32
+#: Words of a line from which its parity has 128 bits instead of 64; words of a usual line; what tells the blocks of an entry apart.
+WIDE, USUAL, BLOCK = 24, 16, 0x9E3779B97F4A7
 #: What names a line, and an earlier line of a pair.
 KEY, EARLIER = ["_id", "_hash", "place"], ["e_id", "e_hash", "e_place"]
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def sizes(keyed: DataFrame) -> tuple[int, int]:
-    """(log2 of counters for about a word in eight of the corpus, within limits; lines of the corpus)."""
-    feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    chars, lines = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(feeds), F.lit(0))).collect()[0]
-    return min(MOST_BITS, max(LEAST_BITS, int(chars // 48).bit_length())), lines
+def bits_for(keyed: DataFrame) -> int:
+    """log2 of counters for about a word in eight of the corpus, within limits."""
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    return min(MOST_BITS, max(LEAST_BITS, int(size // 48).bit_length()))
 
 
 def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
@@ -113,12 +114,14 @@ def _combined(x: np.ndarray, start: np.ndarray, at: np.ndarray, h: np.ndarray, l
         step += 1
 
 
-def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int, lines: int) -> DataFrame:
+def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
     """A row for each line that takes part, but for those that equal an earlier one of the same batch: _id, _hash, place
-    (its number), n, d1 and d2 (digest of its set), bits (parity of its words' hashes), sigs (entries), at (positions of
-    their first words, times 512, and from 1 on the block that a very frequent word's entry goes to)."""
-    held = keyed.sparkSession.sparkContext.broadcast(sketch(keyed, word_hashes, bits, graded))
-    often = max(float(RARE), (RARE * float(lines)) ** 0.5)
+    (its number), n, d1 and d2 (digest of its set), bits and wide (parity of its words' hashes), sigs (entries), at (positions
+    of their first words, times 512, and from 1 on the block that a very frequent word's entry goes to)."""
+    grades = sketch(keyed, word_hashes, bits, graded)
+    held = keyed.sparkSession.sparkContext.broadcast(grades)
+    seen = float((np.bincount(grades, minlength=256) * occurrences(np.arange(256))).sum())
+    often = max(float(RARE), (RARE * seen / USUAL) ** 0.5)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grade = held.value
@@ -129,7 +132,7 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int, lines:
                 every = int(lines.sum())
                 x, line, own = ordered_sets(x, line, every, grade[(x >> np.uint64(64 - bits)).astype(np.int64)])
                 n = np.bincount(line, minlength=every)
-                d1, d2, parity = _digests(x, n)
+                d1, d2, parity, wide = _digests(x, n)
                 text = np.repeat(np.arange(len(texts)), lines) + first
                 number = np.arange(every) - np.repeat(np.cumsum(lines) - lines, lines)
                 by = np.lexsort((number, hashes[text], ids[text], d2, d1, n))
@@ -147,11 +150,11 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int, lines:
                 blocks = np.minimum(MOST_BLOCKS, count // SPREAD)
                 block = np.where(blocks > 0, 1 + d1[rows][at].view(np.uint64) % np.maximum(1, blocks).astype(np.uint64), 0).astype(np.int64)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(rows))))).astype(np.int32)
-                columns = [ids[text[rows]], hashes[text[rows]], number[rows], n[rows], d1[rows], d2[rows], parity[rows]]
-                columns += [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((pos << 9) | block, sigs)]
-                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)) for v in columns], [*KEY, "n", "d1", "d2", "bits", "at", "sigs"])
+                columns = [ids[text[rows]], hashes[text[rows]], number[rows], n[rows], d1[rows], d2[rows], parity[rows], wide[rows]]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((pos << 9) | block, sigs ^ (block * BLOCK))]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)) for v in columns], [*KEY, "n", "d1", "d2", "bits", "wide", "at", "sigs"])
 
-    kind = "_id long, _hash long, place long, n long, d1 long, d2 long, bits long, at array<long>, sigs array<long>"
+    kind = "_id long, _hash long, place long, n long, d1 long, d2 long, bits long, wide long, at array<long>, sigs array<long>"
     return keyed.select("_id", "_hash", "text").mapInArrow(run, kind)
 
 
@@ -161,8 +164,9 @@ def _alone(n: np.ndarray, percent: int) -> np.ndarray:
     return 100 * n < percent * (n + 1)
 
 
-def _digests(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two sums over each line's set, and the xor of a bit for each of its words; none depends on order."""
+def _digests(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two sums over each line's set, and the xor of a bit of 64, or of 128 for lines from WIDE words on, for each of its
+    words; none depends on order."""
     mixed = (x ^ (x >> np.uint64(32))) * _Q
     last = np.cumsum(n)
     begin = last - n
@@ -171,46 +175,65 @@ def _digests(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
         return (run[last] - run[begin]).view(np.int64)
 
-    run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (mixed >> np.uint64(58)))))
-    return sums(mixed), sums(mixed * (mixed | np.uint64(1))), (run[last] ^ run[begin]).view(np.int64)
+    def parity(v: np.ndarray) -> np.ndarray:
+        run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(v)))
+        return run[last] ^ run[begin]
 
+    bit = np.uint64(1) << (mixed >> np.uint64(58))
+    second = np.where(mixed & np.uint64(1 << 57) != 0, bit, np.uint64(0))
+    every, second = parity(bit), parity(second)
+    second[n < WIDE] = 0
+    # of two words of the parity, the first holds the bits that are not in the second
+    return sums(mixed), sums(mixed * (mixed | np.uint64(1))), (every ^ second).view(np.int64), second.view(np.int64)
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """_id (the least number for a null id), _hash (64 bits of the text and of whether the id is null: tells texts of a
-    repeated or null id apart), text (null: empty)."""
-    return docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs with _id (the least number for a null id), _hash and _text (null: empty).
 
-def _keys() -> list[Column]:
+    _hash tells texts of one id apart by 64 bits of the text and of whether the id is null; it is 0 for an id that all have
+    the same text, as most have, unless too many have several to be sent to executors.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
     least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return [least.alias("_id"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("_hash")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), least.alias("_id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("_hash"), text.alias("_text"))
+    several = rows.groupBy("_id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).where("a <> b").select("_id", F.lit(True).alias("_several"))
+    several = stored(several, "several")
+    if (n := several.count()) > BROADCAST_ROWS:
+        return rows
+    if not n:
+        return rows.withColumn("_hash", F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(several), "_id", "left")
+    return marked.withColumn("_hash", F.when(F.col("_several"), F.col("_hash")).otherwise(F.lit(0).cast("long"))).drop("_several")
+
+
+def masked(lines: DataFrame) -> DataFrame:
+    """_id, _hash, mask: a text's lines (place) as bytes 0 and 1, as many as up to the last 1."""
+    places = F.sort_array(F.collect_set("place"))
+    gap = F.transform("p", lambda p, i: F.concat(F.repeat(F.lit("0"), (p - F.coalesce(F.get("p", i - 1), F.lit(-1)) - 1).cast("int")), F.lit("1")))
+    masks = lines.groupBy("_id", "_hash").agg(places.alias("p")).select("_id", "_hash", F.array_join(gap, "").cast("binary").alias("mask"))
+    return few(stored(masks, "masks"), BROADCAST_ROWS, F.sum(F.length("mask")), BROADCAST_BYTES)
+
+
+def _set(i: Column) -> Column:
+    return F.substring("mask", i + 1, 1) == F.lit(b"1")
 
 
 def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """_id, _hash, place, tokens: the whole sets of the lines wanted, from their texts."""
-    per_doc = wanted.groupBy("_id", "_hash").agg(F.collect_list("place").alias("lines"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
-            ids, hashes, wanted = b["_id"].to_numpy(), b["_hash"].to_numpy(), b["lines"].tolist()
-            for first, texts in batches(b["text"].tolist()):
+            for first, texts in batches(b["line"].tolist()):
                 x, line, lines = hashed(texts)
-                x, line, _ = ordered_sets(x, line, int(lines.sum()), None)
-                ends = np.cumsum(np.bincount(line, minlength=int(lines.sum())))
-                base = np.cumsum(lines) - lines
-                text = np.repeat(np.arange(len(texts)), [len(v) for v in wanted[first : first + len(texts)]])
-                number = np.concatenate([np.asarray(v, np.int64) for v in wanted[first : first + len(texts)]])
-                rows = base[text] + number
-                begin = np.where(rows > 0, ends[rows - 1], 0)
-                yield pd.DataFrame({
-                    "_id": ids[first + text],
-                    "_hash": hashes[first + text],
-                    "place": number,
-                    "tokens": [np.sort(x[s:e]).tobytes() for s, e in zip(begin, ends[rows], strict=True)],
-                })
-
-    rows = keyed.join(few(stored(per_doc, "wanted"), BROADCAST_ROWS, F.sum(8 * F.size("lines")), BROADCAST_BYTES), ["_id", "_hash"]).select("_id", "_hash", "text", "lines")
-    return rows.mapInPandas(run, "_id long, _hash long, place long, tokens binary").dropDuplicates(KEY)
+                x, line, _ = ordered_sets(x, line, len(lines), None)
+                ends = np.cumsum(np.bincount(line, minlength=len(lines)))
+                sets = [np.sort(v).tobytes() for v in np.split(x, ends[:-1])]
+                yield b.iloc[first : first + len(texts)][KEY].assign(tokens=sets)
+
+    rows = keyed.select("_id", "_hash", "_text").join(masked(wanted), ["_id", "_hash"])
+    every = F.transform(F.split("_text", "\n", -1), lambda line, i: F.struct(i.cast("long").alias("place"), line.alias("line")))
+    lines = rows.select("_id", "_hash", F.inline(F.filter(every, lambda x: _set(x["place"].cast("int")))))
+    return lines.mapInPandas(run, "_id long, _hash long, place long, tokens binary").dropDuplicates(KEY)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,91 +259,117 @@ def _fits(percent: int) -> Column:
     least = F.ceil((F.col("n") + F.col("e_n")) * percent / (100.0 + percent) - 1e-9)
     length = 100 * F.least("n", "e_n") >= percent * F.greatest("n", "e_n")
     position = F.least(F.col("n") - F.col("pos"), F.col("e_n") - F.col("e_pos")) >= least
-    return length & position & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= F.col("n") + F.col("e_n") - 2 * least)
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) + F.bit_count(F.col("wide").bitwiseXOR(F.col("e_wide")))
+    both = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits")).bitwiseXOR(F.col("wide")).bitwiseXOR(F.col("e_wide")))
+    narrow = (F.col("n") < WIDE) | (F.col("e_n") < WIDE)
+    return length & position & (F.when(narrow, both).otherwise(differ) <= F.col("n") + F.col("e_n") - 2 * least)
 
 
-def _fitting(late: np.ndarray, early: np.ndarray, bits: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+def _fitting(late: np.ndarray, early: np.ndarray, x: dict[str, np.ndarray], percent: int) -> np.ndarray:
     """The same of places in the columns of entries."""
-    a, b = n[late], n[early]
+    a, b = x["n"][late], x["n"][early]
     least = -(-percent * (a + b) // (100 + percent))
-    near = np.bitwise_count(bits[late] ^ bits[early]) <= a + b - 2 * least
+    bits, wide = x["bits"][late] ^ x["bits"][early], x["wide"][late] ^ x["wide"][early]
+    narrow = (a < WIDE) | (b < WIDE)
+    bits[narrow] ^= wide[narrow]
+    wide[narrow] = 0
+    near = np.bitwise_count(bits).astype(np.int64) + np.bitwise_count(wide) <= a + b - 2 * least
     keep = np.flatnonzero(near)
     if len(keep):
         late, early, a, b = late[keep], early[keep], a[keep], b[keep]
-        rest = np.minimum(a - pos[late], b - pos[early])
+        rest = np.minimum(a - x["pos"][late], b - x["pos"][early])
         near[keep] = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (rest >= least[keep])
     return near
 
 
 def first_fits(dealt: DataFrame, percent: int) -> DataFrame:
-    """From entries sorted by word, block and line: each line with the earliest of its entry that fits (open false), or
-    open true where none of the first SMALL fits and the entry has more, or has other blocks.
+    """From entries sorted by sig: each line with the earliest of its entry that fits (open false), or open true where none
+    of the first SMALL fits and the entry has more, or has other blocks.
 
-    Entries stream by: of a long run only its first SMALL are kept.
+    Whole entries are tried at a time; of one that fills more than a stream's chunk, only the first SMALL lines so far are
+    kept, and all its lines that nothing fits are open.
     """
-    names = ["sig", *KEY, "bits", "pack"]
-
-    def tried(x: np.ndarray, old: int, going: bool) -> pd.DataFrame:
-        block, n, pos, bits = x[5] & 511, x[5] >> 35, x[5] >> 9 & 0x3FFFFFF, x[4].view(np.uint64)
-        change = np.flatnonzero((x[0, 1:] != x[0, :-1]) | (block[1:] != block[:-1])) + 1
-        begin = np.concatenate(([0], change))
+    names = ["sig", *KEY, "bits", "wide", "pack"]
+
+    def tried(x: np.ndarray, old: int, cut: bool) -> pd.DataFrame:
+        by = np.lexsort((x[3], x[2], x[1], x[0]))
+        fresh = by >= old
+        x = x[:, by]
+        own = {"n": x[6] >> 35, "pos": x[6] >> 9 & 0x3FFFFFF, "bits": x[4].view(np.uint64), "wide": x[5].view(np.uint64)}
+        begin = np.concatenate(([0], np.flatnonzero(x[0, 1:] != x[0, :-1]) + 1))
         head = np.repeat(begin, np.diff(np.append(begin, x.shape[1])))
         place = np.arange(x.shape[1])
         fit = np.full(x.shape[1], -1)
-        late = np.flatnonzero((place > head) & (place >= old))
+        late = np.flatnonzero((place > head) & fresh)
         for k in range(SMALL):
             late = late[place[late] - head[late] > k]
             if not len(late):
                 break
-            near = _fitting(late, head[late] + k, bits, n, pos, percent)
+            near = _fitting(late, head[late] + k, own, percent)
             fit[late[near]] = head[late[near]] + k
             late = late[~near]
-        over = (fit < 0) & (place >= old) & ((block > 0) | (place - head > SMALL))
-        rows = np.flatnonzero((fit >= 0) | over)
+        rows = np.flatnonzero(fresh & ((fit >= 0) | cut | (x[6] & 511 > 0) | (place - head > SMALL)))
         early = x[1:4, np.maximum(fit[rows], 0)]
-        return pd.DataFrame(dict(zip(names, x[:, rows], strict=True)) | dict(zip(EARLIER, early, strict=True)) | {"open": over[rows]})
+        return pd.DataFrame(dict(zip(names, x[:, rows], strict=True)) | dict(zip(EARLIER, early, strict=True)) | {"open": fit[rows] < 0})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, old, waiting = np.zeros((6, 0), np.int64), 0, []
+        none = np.zeros((7, 0), np.int64)
+        held, old, waiting = none, 0, [none]
+
+        def step(last: bool) -> Iterator[pd.DataFrame]:
+            nonlocal held, old, waiting
+            x = np.concatenate((held, *waiting), axis=1)
+            waiting = [none]
+            end = x.shape[1]
+            if not last:
+                end = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1 if (x[0] != x[0, -1]).any() else 0
+            if old:  # the rest of a long entry, with its first lines
+                rest = int((x[0] == x[0, 0]).sum())
+                yield tried(x[:, :rest], old, True)
+                if rest < x.shape[1] or last:
+                    x, end, old = x[:, rest:], max(0, end - rest), 0
+                else:
+                    held = first(x)
+                    old = held.shape[1]
+                    return
+            if end:
+                yield tried(x[:, :end], 0, False)
+            held = x[:, end:]
+            if held.shape[1] > STREAM:
+                yield tried(held, 0, True)
+                held = first(held)
+                old = held.shape[1]
+
+        def first(x: np.ndarray) -> np.ndarray:
+            return x[:, np.lexsort((x[3], x[2], x[1]))[:SMALL]].copy()
+
         for b in parts:
             waiting.append(b.to_numpy(np.int64).T)
             if sum(v.shape[1] for v in waiting) >= STREAM:
-                held, old, out = step(np.concatenate((held, *waiting), axis=1), old)
-                waiting = []
-                yield out
-        x = np.concatenate((held, *waiting), axis=1)
-        if x.shape[1] > old:
-            yield tried(x, old, False)
-
-    def step(x: np.ndarray, old: int) -> tuple[np.ndarray, int, pd.DataFrame]:
-        out = tried(x, old, True)
-        same = np.flatnonzero((x[0] == x[0, -1]) & ((x[5] & 511) == (x[5, -1] & 511)))[:SMALL]
-        return x[:, same].copy(), len(same), out
+                yield from step(False)
+        if held.shape[1] > old or any(v.shape[1] for v in waiting):
+            yield from step(True)
 
     kind = ", ".join(f"{c} long" for c in [*names, *EARLIER]) + ", open boolean"
     return dealt.mapInPandas(run, kind)
 
 
 def kept_lines(keyed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
-    """_id, _hash, place of every line that takes part and that no earlier line matches."""
-    own, count = sizes(keyed)
-    whole = indexed(keyed, percent, least_words, bits or own, count)
-    sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct(*KEY)).alias("k"), F.first(F.struct("bits", "sigs", "at")).alias("s"))
+    """_id, _hash, place of every line that takes part and that no earlier line matches; keyed: _id, _hash, _text."""
+    whole = indexed(keyed.select("_id", "_hash", F.col("_text").alias("text")), percent, least_words, bits or bits_for(keyed.select(F.col("_text").alias("text"))))
+    sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct(*KEY)).alias("k"), F.first(F.struct("bits", "wide", "sigs", "at")).alias("s"))
     firsts = stored(sets.select("n", "k.*", "s.*"), "firsts")
 
-    rows = firsts.select(*KEY, "bits", "n", F.inline(F.arrays_zip("sigs", "at")).alias("sig", "at"))
-    packed = rows.select("sig", *KEY, "bits", (F.shiftleft("n", 35) + F.col("at")).alias("pack"))
-    block = F.col("pack").bitwiseAND(511)
-    dealt = packed.repartition("sig", block).sortWithinPartitions("sig", block, *KEY)
-    tried = stored(first_fits(dealt, percent), "tried")
+    rows = firsts.select(*KEY, "bits", "wide", "n", F.inline(F.arrays_zip("sigs", "at")).alias("sig", "at"))
+    packed = rows.select("sig", *KEY, "bits", "wide", (F.shiftleft("n", 35) + F.col("at")).alias("pack"))
+    tried = stored(first_fits(packed.repartition("sig").sortWithinPartitions("sig"), percent), "tried")
     key = [*KEY, *EARLIER]
     near = stored(tried.where("NOT open").select(key).distinct(), "near")
     gone = stored(similar_pairs(near, sets_of(keyed, _lines(near)), percent), "gone")
 
     # lines that are still there against all earlier ones of the entries that they were tried in
-    left = tried.join(few(gone, BROADCAST_ROWS), KEY, "left_anti")
-    left = stored(left.select("sig", *KEY, *_unpacked("")), "left")
-    every = packed.select("sig", *_earlier(), F.col("bits").alias("e_bits"), *_unpacked("e_")[1:])
+    left = stored(_unpacked(tried.join(few(gone, BROADCAST_ROWS), KEY, "left_anti")), "left")
+    every = _unpacked(packed).select("sig", *[F.col(c).alias(f"e_{c.strip('_')}") for c in [*KEY, "bits", "wide", "n", "pos"]])
     if (n := left.count()) > BROADCAST_ROWS:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
         left, every = left.select("*", salts), every.withColumn("_salt", F.pmod(F.xxhash64(*EARLIER), F.lit(SALTS)).cast("int"))
@@ -337,9 +386,10 @@ def kept_lines(keyed: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     return kept
 
 
-def _unpacked(prefix: str) -> list[Column]:
-    n, pos = F.shiftright("pack", 35), F.shiftright("pack", 9).bitwiseAND(0x3FFFFFF)
-    return [F.col("bits"), n.alias(f"{prefix}n"), pos.alias(f"{prefix}pos")]
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Entries with n and pos, under the sig that all blocks of an entry have."""
+    n, pos, block = F.shiftright("pack", 35), F.shiftright("pack", 9).bitwiseAND(0x3FFFFFF), F.col("pack").bitwiseAND(511)
+    return rows.select(F.col("sig").bitwiseXOR(block * F.lit(BLOCK)).alias("sig"), *KEY, "bits", "wide", n.alias("n"), pos.alias("pos"))
 
 
 def _lines(pairs: DataFrame) -> DataFrame:
@@ -361,15 +411,10 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     all other columns, whatever their names, stay as they are; no rows give no rows.
     """
     keyed = keyed_texts(docs)
-    kept = kept_lines(keyed, percent, least_words, bits)
-    # a mask of a document's lines, 1 where one is kept: as long as the place of the last one
-    places = F.sort_array(F.collect_set("place"))
-    gap = F.transform("p", lambda p, i: F.concat(F.repeat(F.lit("0"), (p - F.coalesce(F.get("p", i - 1), F.lit(-1)) - 1).cast("int")), F.lit("1")))
-    masks = kept.groupBy("_id", "_hash").agg(places.alias("p")).select("_id", "_hash", F.array_join(gap, "").cast("binary").alias("mask"))
-    masks = few(stored(masks, "masks"), BROADCAST_ROWS, F.sum(F.length("mask")), BROADCAST_BYTES)
-    rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(masks, ["_id", "_hash"], "left")
+    masks = masked(kept_lines(keyed, percent, least_words, bits))
+    rows = keyed.select("_row", "_id", "_hash").join(masks, ["_id", "_hash"], "left").withColumn("mask", F.coalesce("mask", F.lit(b"")))
     parts = F.split("_row.text", "\n", -1)
-    stay = F.filter(parts, lambda line, i: (F.substring(F.coalesce("mask", F.lit(b"")), i + 1, 1) == F.lit(b"1")) | ~_takes_part(line, least_words))
+    stay = F.filter(parts, lambda line, i: _set(i) | ~_takes_part(line, least_words))
     rows = rows.select("_row", F.size(parts).alias("_n"), stay.alias("_stay"))
     new = F.when(F.size("_stay") < F.col("_n"), F.array_join("_stay", "\n")).otherwise(F.col("_row.text"))
     columns = [new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]

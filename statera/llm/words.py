@@ -16,7 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are taken at a time (a longer text is taken alone), log2 of the counters of a slice of a sketch, and
 #: buckets or words that a task counts before it sends sums.
-BATCH, SLICE_BITS, HELD = 1 << 20, 18, 1 << 21
+BATCH, SLICE_BITS, HELD = 1 << 18, 18, 1 << 21
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
