@@ -83,15 +83,15 @@ def entries(x: np.ndarray, line: np.ndarray, n: np.ndarray, count: np.ndarray, p
     least = -(-percent * n // 100)
     begin = np.cumsum(n) - n
     pos = np.arange(len(x)) - begin[line]
-    first = (pos < (n - least + 1)[line]) & ~_alone(n, percent)[line] & (count > 1)
-    words = np.where(count <= RARE, 1, np.where(count <= often, 2, 3))
-    most = [np.where(m <= THREE_WORDS, 3, np.where(m <= TWO_WORDS, 2, 1)) for m in (least, 100 * n // percent)]
+    first = np.flatnonzero((pos < np.where(_alone(n, percent), 0, n - least + 1)[line]) & (count > 1))
+    own, often_seen = line[first], count[first]
+    words = 1 + (often_seen > RARE) + (often_seen > often)
+    most, fewest = (np.where(m <= THREE_WORDS, 3, np.where(m <= TWO_WORDS, 2, 1))[own] for m in (least, 100 * n // percent))
     out = []
     for k in (1, 2, 3):
-        wanted = np.minimum(words, most[0][line]) == k
-        for t in (1, 2, 3):
-            wanted |= (np.minimum(words, t) == k) & (most[1][line] <= t) & (t <= most[0][line])
-        start = np.flatnonzero(first & wanted)
+        # a line's partners are indexed with ``fewest`` to ``most`` words, each with no more than the first word needs
+        wanted = (np.minimum(words, most) >= k) & (np.minimum(words, fewest) <= k)
+        start = first[wanted]
         last = begin[line[start]] + np.minimum(n, n - least + k)[line[start]]
         found = [(start, x[start])] if k == 1 else list(_combined(x, start, start, x[start], last, k - 1))
         out += [(i, h if k == 1 else (h ^ (h >> np.uint64(31))) * _Q) for i, h in found]
@@ -183,8 +183,8 @@ def _digests(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     second = np.where(mixed & np.uint64(1 << 57) != 0, bit, np.uint64(0))
     every, second = parity(bit), parity(second)
     second[n < WIDE] = 0
-    # of two words of the parity, the first holds the bits that are not in the second
-    return sums(mixed), sums(mixed * (mixed | np.uint64(1))), (every ^ second).view(np.int64), second.view(np.int64)
+    # 64 bits of all words; those of half of them stand beside, for 128
+    return sums(mixed), sums(mixed * (mixed | np.uint64(1))), every.view(np.int64), second.view(np.int64)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -259,26 +259,24 @@ def _fits(percent: int) -> Column:
     least = F.ceil((F.col("n") + F.col("e_n")) * percent / (100.0 + percent) - 1e-9)
     length = 100 * F.least("n", "e_n") >= percent * F.greatest("n", "e_n")
     position = F.least(F.col("n") - F.col("pos"), F.col("e_n") - F.col("e_pos")) >= least
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) + F.bit_count(F.col("wide").bitwiseXOR(F.col("e_wide")))
-    both = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits")).bitwiseXOR(F.col("wide")).bitwiseXOR(F.col("e_wide")))
-    narrow = (F.col("n") < WIDE) | (F.col("e_n") < WIDE)
-    return length & position & (F.when(narrow, both).otherwise(differ) <= F.col("n") + F.col("e_n") - 2 * least)
+    every, half = F.col("bits").bitwiseXOR(F.col("e_bits")), F.col("wide").bitwiseXOR(F.col("e_wide"))
+    differ = F.when((F.col("n") < WIDE) | (F.col("e_n") < WIDE), F.bit_count(every)).otherwise(F.bit_count(every.bitwiseXOR(half)) + F.bit_count(half))
+    return length & position & (differ <= F.col("n") + F.col("e_n") - 2 * least)
 
 
 def _fitting(late: np.ndarray, early: np.ndarray, x: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """The same of places in the columns of entries."""
-    a, b = x["n"][late], x["n"][early]
-    least = -(-percent * (a + b) // (100 + percent))
-    bits, wide = x["bits"][late] ^ x["bits"][early], x["wide"][late] ^ x["wide"][early]
-    narrow = (a < WIDE) | (b < WIDE)
-    bits[narrow] ^= wide[narrow]
-    wide[narrow] = 0
-    near = np.bitwise_count(bits).astype(np.int64) + np.bitwise_count(wide) <= a + b - 2 * least
+    """The same of places in the columns of entries; 64 bits of parity settle most."""
+    near = np.bitwise_count(x["bits"].take(late) ^ x["bits"].take(early)) <= x["share"].take(late) + x["share"].take(early)
     keep = np.flatnonzero(near)
     if len(keep):
-        late, early, a, b = late[keep], early[keep], a[keep], b[keep]
+        late, early = late[keep], early[keep]
+        a, b = x["n"][late], x["n"][early]
+        least = -(-percent * (a + b) // (100 + percent))
+        every, half = x["bits"][late] ^ x["bits"][early], x["wide"][late] ^ x["wide"][early]
+        half[(a < WIDE) | (b < WIDE)] = 0
+        differ = np.bitwise_count(every ^ half).astype(np.int64) + np.bitwise_count(half)
         rest = np.minimum(a - x["pos"][late], b - x["pos"][early])
-        near[keep] = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (rest >= least[keep])
+        near[keep] = (differ <= a + b - 2 * least) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (rest >= least)
     return near
 
 
@@ -295,7 +293,9 @@ def first_fits(dealt: DataFrame, percent: int) -> DataFrame:
         by = np.lexsort((x[3], x[2], x[1], x[0]))
         fresh = by >= old
         x = x[:, by]
-        own = {"n": x[6] >> 35, "pos": x[6] >> 9 & 0x3FFFFFF, "bits": x[4].view(np.uint64), "wide": x[5].view(np.uint64)}
+        # of a pair's words so many may differ
+        share = ((x[6] >> 35) * ((100 - percent) / (100 + percent)) + 0.001).astype(np.float32)
+        own = {"share": share, "n": x[6] >> 35, "pos": x[6] >> 9 & 0x3FFFFFF, "bits": x[4].view(np.uint64), "wide": x[5].view(np.uint64)}
         begin = np.concatenate(([0], np.flatnonzero(x[0, 1:] != x[0, :-1]) + 1))
         head = np.repeat(begin, np.diff(np.append(begin, x.shape[1])))
         place = np.arange(x.shape[1])

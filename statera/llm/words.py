@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_VALUE = np.random.default_rng(20_240_101).integers(1, 2**64, 256, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes of text that are taken at a time (a longer text is taken alone), log2 of the counters of a slice of a sketch, and
-#: buckets or words that a task counts before it sends sums.
-BATCH, SLICE_BITS, HELD = 1 << 18, 18, 1 << 21
+#: Bytes of text that are taken at a time (a longer text is taken alone), log2 of the counters of a slice of a sketch,
+#: buckets or words that a task counts before it sends sums, and tasks whose slices are added up together.
+BATCH, SLICE_BITS, HELD, FAN_IN = 1 << 18, 17, 1 << 21, 512
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -48,27 +45,27 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A word's hash is a polynomial over its bytes, from differences of running sums: no word is handled by itself.
     """
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[joined]
+    space = (joined == 32) | (joined - np.uint8(9) < 5)
     edge = np.flatnonzero(np.diff(space, prepend=True))
     start, end = edge[0::2], edge[1::2]
     sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_VALUE[joined] * _power("up", _BASE, len(joined))[: len(joined)], out=sums[1:])
+    np.cumsum(joined * _power("up", _BASE, len(joined))[: len(joined)], out=sums[1:])
     h = (sums[end] - sums[start]) * _power("down", _INVERSE, len(joined))[start]
     h = (h ^ (h >> np.uint64(32))) * _MIX
     h ^= h >> np.uint64(29)
     feeds = np.flatnonzero(joined == 10)
-    line = np.searchsorted(feeds, start)
+    line = np.repeat(np.arange(len(feeds)), np.diff(np.searchsorted(start, feeds), prepend=0))
     return h, line, np.array([t.count(b"\n") + 1 for t in texts], np.int64)
 
 
 def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]], bits: int, finish: Callable[[np.ndarray], np.ndarray] = np.asarray) -> np.ndarray:
     """Counts per bucket (the first bits of a hash) over all texts.
 
-    A task sends the buckets that it has seen, with counts, and holds no more than HELD of them: nothing is as large as all
-    counters before they are added up. ``finish`` turns counts (4 bytes each) into what is kept of them, slice by slice;
-    the driver gets slices only.
+    A task sends the buckets that it has seen, with counts, a slice of the buckets a row; it holds about HELD of them, nothing
+    as large as all counters. Slices are added up for FAN_IN tasks at a time, then in all. ``finish`` turns counts (4 bytes
+    each) into what is kept of them; the driver gets only that.
     """
-    room = bits - SLICE_BITS if bits > SLICE_BITS else 0
+    low = min(bits, SLICE_BITS)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fresh, size = [], 0
@@ -81,23 +78,42 @@ def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]],
                     at, n = _added(at, n, fresh)
                     fresh, size = [], 0
                     if len(at) > HELD:
-                        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": n})
+                        yield slices(at, n)
                         at, n = at[:0], n[:0]
         at, n = _added(at, n, fresh)
-        for i in range(0, len(at), HELD // 8):
-            yield pd.DataFrame({"bucket": at[i : i + HELD // 8].astype(np.int32), "n": n[i : i + HELD // 8]})
-
-    def dense(b: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << (bits - room), np.uint32)
-        total[b["bucket"].to_numpy() & (len(total) - 1)] = np.minimum(b["n"].to_numpy(), 2**32 - 1)
-        return pd.DataFrame({"slice": [int(b["slice"].iloc[0])], "sums": [finish(total).tobytes()]})
-
-    sums = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = sums.withColumn("slice", F.shiftright("bucket", bits - room)).groupBy("slice").applyInPandas(dense, "slice int, sums binary")
-    kind = finish(np.zeros(1, np.uint32)).dtype
-    out = np.zeros((1 << room, 1 << (bits - room)), kind)
-    for r in rows.toLocalIterator():
-        out[r["slice"]] = np.frombuffer(r["sums"], kind)
+        if len(at):
+            yield slices(at, n)
+
+    def slices(at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        part = at >> np.uint32(low)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        ends = np.append(first[1:], len(at))
+        n = np.minimum(n, 2**32 - 1).astype("<u4")
+        inner = (at & np.uint32((1 << low) - 1)).astype("<u4")
+        kept = [(inner[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(first, ends, strict=True)]
+        return pd.DataFrame({"slice": part[first].astype(np.int32), "at": [x for x, _ in kept], "n": [x for _, x in kept]})
+
+    def added(b: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(1 << low, np.int64)
+        for at, n in zip(b["at"], b["n"], strict=True):
+            total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4")
+        return np.minimum(total, 2**32 - 1).astype(np.uint32)
+
+    def some(b: pd.DataFrame) -> pd.DataFrame:
+        total = added(b)
+        at = np.flatnonzero(total).astype("<u4")
+        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "at": [at.tobytes()], "n": [total[at].astype("<u4").tobytes()]})
+
+    def whole(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "sums": [finish(added(b)).tobytes()]})
+
+    kind = "slice int, at binary, n binary"
+    sums = docs.select("text").mapInPandas(count, kind).withColumn("tasks", F.floor(F.spark_partition_id() / FAN_IN))
+    sums = sums.groupBy("slice", "tasks").applyInPandas(some, kind)
+    dtype = finish(np.zeros(1, np.uint32)).dtype
+    out = np.tile(finish(np.zeros(1, np.uint32)), 1 << bits).reshape(-1, 1 << low)
+    for r in sums.groupBy("slice").applyInPandas(whole, "slice int, sums binary").toLocalIterator():
+        out[r["slice"]] = np.frombuffer(r["sums"], dtype)
     return out.reshape(-1)
 
 
