@@ -5,7 +5,7 @@ the whole corpus, ties by hash. Two lines with enough in common share a word in
 is indexed by itself; one that many lines hold is indexed with the next shared word, or the next two, of a prefix that is
 longer by as many: what shares an entry stays few while the corpus grows. Entries carry position, length and parity.
 
-Equal sets are joined once. Each line first meets the earliest line of an entry that the length, positional and parity
+Equal sets are joined once. Each line first meets one earlier line of an entry that the length, positional and parity
 filters let pass; verified matches go, and only lines that are still there meet all other earlier lines of their entries.
 A line goes if any earlier line, by doc_id, hash of the text and place, is as similar as the threshold.
 """
@@ -30,7 +30,7 @@ PERCENT, LEAST_WORDS, LEAST_BITS, MOST_BITS, BROADCAST_ROWS, BROADCAST_BYTES = 8
 #: Occurrences up to which a word is indexed by itself, and entries that a pair of words may be expected to have (more: three
 #: words); words of the longest lines that are indexed by three words, and by two.
 RARE, THREE_WORDS, TWO_WORDS = 512, 24, 128
-#: First lines of an entry that later ones are tried with while they stream by; rows that are tried at a time; occurrences
+#: Lines of an entry that a line is tried with on either side while entries stream by; rows that are tried at a time; occurrences
 #: from which a word's entries are dealt over several tasks, and into how many at most; blocks that an entry's lines are
 #: dealt into when lines that are left meet all others.
 SMALL, STREAM, SPREAD, MOST_BLOCKS, SALTS = 1_024, 100_000, 1 << 20, 511, 32
@@ -264,53 +264,69 @@ def _fits(percent: int) -> Column:
     return length & position & (differ <= F.col("n") + F.col("e_n") - 2 * least)
 
 
-def _fitting(late: np.ndarray, early: np.ndarray, x: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """The same of places in the columns of entries; 64 bits of parity settle most."""
-    near = np.bitwise_count(x["bits"].take(late) ^ x["bits"].take(early)) <= x["share"].take(late) + x["share"].take(early)
-    keep = np.flatnonzero(near)
-    if len(keep):
-        late, early = late[keep], early[keep]
-        a, b = x["n"][late], x["n"][early]
-        least = -(-percent * (a + b) // (100 + percent))
-        every, half = x["bits"][late] ^ x["bits"][early], x["wide"][late] ^ x["wide"][early]
-        half[(a < WIDE) | (b < WIDE)] = 0
-        differ = np.bitwise_count(every ^ half).astype(np.int64) + np.bitwise_count(half)
-        rest = np.minimum(a - x["pos"][late], b - x["pos"][early])
-        near[keep] = (differ <= a + b - 2 * least) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (rest >= least)
-    return near
+def _fitting(i: np.ndarray, k: int, x: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """The same of entries i and those k before them, which are no longer: the places i where they fit.
+
+    64 bits of parity settle most; where most entries are tried, neighbours are compared without gathering them.
+    """
+    bits, share = x["bits"], x["share"]
+    if 4 * len(i) > len(bits):
+        near = np.bitwise_count(bits[k:] ^ bits[:-k]) <= share[k:] + share[:-k]
+        i = i[near[i - k]]
+    else:
+        i = i[np.bitwise_count(bits[i] ^ bits[i - k]) <= share[i] + share[i - k]]
+    a, b = x["n"][i], x["n"][i - k]
+    least = -(-percent * (a + b) // (100 + percent))
+    every, half = bits[i] ^ bits[i - k], x["wide"][i] ^ x["wide"][i - k]
+    half[b < WIDE] = 0
+    differ = np.bitwise_count(every ^ half).astype(np.int64) + np.bitwise_count(half)
+    rest = np.minimum(a - x["pos"][i], b - x["pos"][i - k])
+    return i[(differ <= a + b - 2 * least) & (rest >= least)]
 
 
 def first_fits(dealt: DataFrame, percent: int) -> DataFrame:
-    """From entries sorted by sig: each line with the earliest of its entry that fits (open false), or open true where none
-    of the first SMALL fits and the entry has more, or has other blocks.
+    """From entries sorted by sig: each line with the earliest one found to fit (open false), or open true where none is but
+    not all lines of its entry were tried: those of a similar length, SMALL of them on either side, are.
 
     Whole entries are tried at a time; of one that fills more than a stream's chunk, only the first SMALL lines so far are
-    kept, and all its lines that nothing fits are open.
+    kept, and all its lines that nothing fits are open, as are those of an entry in several blocks.
     """
     names = ["sig", *KEY, "bits", "wide", "pack"]
 
     def tried(x: np.ndarray, old: int, cut: bool) -> pd.DataFrame:
-        by = np.lexsort((x[3], x[2], x[1], x[0]))
+        size = x[6] >> 35
+        by = np.lexsort((size, x[0]))
         fresh = by >= old
-        x = x[:, by]
+        x, size = x[:, by], size[by]
+        order = np.empty(x.shape[1], np.int64)
+        order[np.lexsort((x[3], x[2], x[1]))] = np.arange(x.shape[1])
         # of a pair's words so many may differ
-        share = ((x[6] >> 35) * ((100 - percent) / (100 + percent)) + 0.001).astype(np.float32)
-        own = {"share": share, "n": x[6] >> 35, "pos": x[6] >> 9 & 0x3FFFFFF, "bits": x[4].view(np.uint64), "wide": x[5].view(np.uint64)}
+        share = (size * ((100 - percent) / (100 + percent)) + 0.001).astype(np.float32)
+        own = {"share": share, "n": size, "pos": x[6] >> 9 & 0x3FFFFFF, "bits": x[4].view(np.uint64), "wide": x[5].view(np.uint64)}
         begin = np.concatenate(([0], np.flatnonzero(x[0, 1:] != x[0, :-1]) + 1))
         head = np.repeat(begin, np.diff(np.append(begin, x.shape[1])))
+        # the first entry of the same word that is not too short
+        shortest = np.maximum(head, np.searchsorted(_ranked(head, size), _ranked(head, -(-percent * size // 100))))
         place = np.arange(x.shape[1])
-        fit = np.full(x.shape[1], -1)
-        late = np.flatnonzero((place > head) & fresh)
-        for k in range(SMALL):
-            late = late[place[late] - head[late] > k]
-            if not len(late):
+        fit = np.full(x.shape[1], x.shape[1])
+        i = np.flatnonzero(place > shortest)
+        for k in range(1, SMALL + 1):
+            i = i[i - k >= shortest[i]]
+            if not len(i):
                 break
-            near = _fitting(late, head[late] + k, own, percent)
-            fit[late[near]] = head[late[near]] + k
-            late = late[~near]
-        rows = np.flatnonzero(fresh & ((fit >= 0) | cut | (x[6] & 511 > 0) | (place - head > SMALL)))
-        early = x[1:4, np.maximum(fit[rows], 0)]
-        return pd.DataFrame(dict(zip(names, x[:, rows], strict=True)) | dict(zip(EARLIER, early, strict=True)) | {"open": fit[rows] < 0})
+            found = _fitting(i, k, own, percent)
+            for late, early in ((found, found - k), (found - k, found)):
+                later = order[late] > order[early]
+                late, early = late[later], early[later]
+                fit[late] = np.minimum(fit[late], order[early])
+        short = np.zeros(x.shape[1], bool)
+        short[begin[np.searchsorted(begin, i[i - SMALL > shortest[i]], side="right") - 1]] = True
+        none = fit == x.shape[1]
+        left = none & (cut | (x[6] & 511 > 0) | short[head])
+        where = np.argsort(order)
+        rows = np.flatnonzero(fresh & (left | ~none))
+        early = x[1:4, where[np.where(none[rows], 0, fit[rows])]]
+        return pd.DataFrame(dict(zip(names, x[:, rows], strict=True)) | dict(zip(EARLIER, early, strict=True)) | {"open": none[rows]})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros((7, 0), np.int64)
@@ -354,6 +370,11 @@ def first_fits(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, kind)
 
 
+def _ranked(head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Entries' places and sizes as one number each, in the order of both."""
+    return (head << 32) + size
+
+
 def kept_lines(keyed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
     """_id, _hash, place of every line that takes part and that no earlier line matches; keyed: _id, _hash, _text."""
     whole = indexed(keyed.select("_id", "_hash", F.col("_text").alias("text")), percent, least_words, bits or bits_for(keyed.select(F.col("_text").alias("text"))))
