@@ -41,9 +41,8 @@ KEY, EARLIER = ["_id", "_hash", "place"], ["e_id", "e_hash", "e_place"]
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def bits_for(keyed: DataFrame) -> int:
-    """log2 of counters for about a word in eight of the corpus, within limits."""
-    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+def bits_for(size: int) -> int:
+    """log2 of counters for about a word in eight of a corpus of so many bytes, within limits."""
     return min(MOST_BITS, max(LEAST_BITS, int(size // 48).bit_length()))
 
 
@@ -187,8 +186,8 @@ def _digests(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return sums(mixed), sums(mixed * (mixed | np.uint64(1))), every.view(np.int64), second.view(np.int64)
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """The rows of docs with _id (the least number for a null id), _hash and _text (null: empty).
+def keyed_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(the rows of docs, bytes of their texts); the rows with _id (the least number for a null id), _hash and _text (null: empty).
 
     _hash tells texts of one id apart by 64 bits of the text and of whether the id is null; it is 0 for an id that all have
     the same text, as most have, unless too many have several to be sent to executors.
@@ -196,14 +195,15 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), least.alias("_id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("_hash"), text.alias("_text"))
-    several = rows.groupBy("_id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).where("a <> b").select("_id", F.lit(True).alias("_several"))
-    several = stored(several, "several")
-    if (n := several.count()) > BROADCAST_ROWS:
-        return rows
+    ids = stored(rows.groupBy("_id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b"), F.sum(F.octet_length("_text")).alias("size")), "ids")
+    n, size = ids.agg(F.count_if(F.expr("a <> b")), F.coalesce(F.sum("size"), F.lit(0))).collect()[0]
+    if n > BROADCAST_ROWS:
+        return rows, size
     if not n:
-        return rows.withColumn("_hash", F.lit(0).cast("long"))
+        return rows.withColumn("_hash", F.lit(0).cast("long")), size
+    several = ids.where("a <> b").select("_id", F.lit(True).alias("_several"))
     marked = rows.join(F.broadcast(several), "_id", "left")
-    return marked.withColumn("_hash", F.when(F.col("_several"), F.col("_hash")).otherwise(F.lit(0).cast("long"))).drop("_several")
+    return marked.withColumn("_hash", F.when(F.col("_several"), F.col("_hash")).otherwise(F.lit(0).cast("long"))).drop("_several"), size
 
 
 def masked(lines: DataFrame) -> DataFrame:
@@ -375,9 +375,9 @@ def _ranked(head: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (head << 32) + size
 
 
-def kept_lines(keyed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, bits: int | None = None) -> DataFrame:
+def kept_lines(keyed: DataFrame, percent: int, least_words: int, bits: int) -> DataFrame:
     """_id, _hash, place of every line that takes part and that no earlier line matches; keyed: _id, _hash, _text."""
-    whole = indexed(keyed.select("_id", "_hash", F.col("_text").alias("text")), percent, least_words, bits or bits_for(keyed.select(F.col("_text").alias("text"))))
+    whole = indexed(keyed.select("_id", "_hash", F.col("_text").alias("text")), percent, least_words, bits)
     sets = whole.groupBy("d1", "d2", "n").agg(F.min(F.struct(*KEY)).alias("k"), F.first(F.struct("bits", "wide", "sigs", "at")).alias("s"))
     firsts = stored(sets.select("n", "k.*", "s.*"), "firsts")
 
@@ -431,12 +431,14 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     each with its own lines. Null text stays null (0 lines), empty text has one line; an n_chars column is counted anew;
     all other columns, whatever their names, stay as they are; no rows give no rows.
     """
-    keyed = keyed_texts(docs)
-    masks = masked(kept_lines(keyed, percent, least_words, bits))
+    keyed, size = keyed_texts(docs)
+    masks = masked(kept_lines(keyed, percent, least_words, bits or bits_for(size)))
     rows = keyed.select("_row", "_id", "_hash").join(masks, ["_id", "_hash"], "left").withColumn("mask", F.coalesce("mask", F.lit(b"")))
     parts = F.split("_row.text", "\n", -1)
-    stay = F.filter(parts, lambda line, i: _set(i) | ~_takes_part(line, least_words))
-    rows = rows.select("_row", F.size(parts).alias("_n"), stay.alias("_stay"))
+    rows = rows.select("_row", "mask", parts.alias("_parts"), F.size(parts).alias("_n"))
+    every = (F.octet_length("mask") == F.col("_n")) & (F.instr(F.col("mask").cast("string"), "0") == 0)
+    stay = F.filter("_parts", lambda line, i: _set(i) | ~_takes_part(line, least_words))
+    rows = rows.select("_row", "_n", F.when(every, F.col("_parts")).otherwise(stay).alias("_stay"))
     new = F.when(F.size("_stay") < F.col("_n"), F.array_join("_stay", "\n")).otherwise(F.col("_row.text"))
     columns = [new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     none = F.col("_row.text").isNull()

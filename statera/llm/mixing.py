@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.llm.common import buckets_for, running_start, stored
+from statera.llm.packing import served
 
 WEIGHTS, EPOCHS, MOST_REPEATS = (5, 2, 1), Fraction(3, 2), 2
-#: Words of a block, slots of an output shard, documents of a bucket, sources whose totals the driver may hold.
-BLOCK, SHARD, BUCKET_ROWS, MOST_SOURCES = 256, 2_048, 4_096, 100_000
+#: Words of a block, slots of an output shard and of a run of shards, documents of a bucket, sources whose totals the driver
+#: may hold.
+BLOCK, SHARD, RUN_SLOTS, BUCKET_ROWS, MOST_SOURCES = 256, 2_048, 1 << 28, 4_096, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,24 +69,36 @@ def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def place_of(value: int, n: int, key: int) -> int:
+    """The j that ``permuted`` takes to value: the same network backwards."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = value >> half, value & mask
+        for turn in reversed(range(4)):
+            seed = (key * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03 + 1) % 2**64
+            h = (left + seed) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ (h >> 29)) * 0x94D049BB133111EB % 2**64
+            left, right = right ^ ((h >> 32) & mask), left
+        value = left << half | right
+        if value < n:
+            return value
+
+
 def split(counts: np.ndarray, take: int, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of each source fall in the first ``take`` slots: multivariate hypergeometric, beyond a billion slots by its normal limit."""
-    rng, every = np.random.default_rng(seed), int(counts.sum())
-    if every < 1_000_000_000:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    mean = counts * (take / every)
-    drawn = np.clip(np.rint(rng.normal(mean, np.sqrt(mean * (1 - take / every)))).astype(np.int64), 0, counts)
-    drawn = np.clip(drawn, 0, counts)
-    while gap := int(take - drawn.sum()):
-        room = counts - drawn if gap > 0 else drawn
-        i = int(room.argmax())
-        drawn[i] += int(np.sign(gap)) * min(abs(gap), int(room[i]))
-    return drawn
+    """How many of each source fall in the first ``take`` slots: a multivariate hypergeometric draw."""
+    return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
 
 
 def shard_counts(slots: np.ndarray, shards: int, shard: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's slots of each source, and how many of each the shards before it have."""
-    counts, before, low, high = slots.astype(np.int64), np.zeros(len(slots), np.int64), 0, shards
+    """A shard's slots of each source, and how many of each the shards before it have.
+
+    Runs of RUN_SLOTS slots have each source's share to a slot, as in packing; a run's slots are dealt to its shards by draws.
+    """
+    run = max(1, RUN_SLOTS // size)
+    first, last = shard // run * run, min(shards, (shard // run + 1) * run)
+    ends = served(slots.astype(np.int64), shard // run, shard // run + 1, run * size)
+    counts, before, low, high = ends[1] - ends[0], ends[0], first, last
     while high - low > 1:
         mid = (low + high) // 2
         left = split(counts, (mid - low) * size, (seed, low, high))
@@ -115,10 +129,9 @@ def plan_of(sizes: list[tuple[str | None, int]], seed: int, block: int, shard: i
         passes, rest = divmod(round(target), size) if size else (0, 0)
         slots, last = passes * blocks, 0
         if rest:
-            order = permuted(np.arange(blocks), blocks, seed + i) if blocks <= 4096 else None
             n = -(-rest // block)
-            at = int(np.flatnonzero(order[:n] == blocks - 1)[0]) if order is not None and (order[:n] == blocks - 1).any() else None
-            have = n * block - (block - tail if at is not None else 0)
+            at = place_of(blocks - 1, blocks, seed + i)  # the slot that takes the short last block
+            have = n * block - (block - tail if at < n else 0)
             if have < rest:
                 n, have = n + 1, have + block
             slots, last = slots + n, rest - (have - (tail if at == n - 1 else block))

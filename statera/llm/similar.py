@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import stored
+from statera.llm.common import few, stored
 from statera.llm.components import components
 from statera.llm.words import batches, hashed
 from statera.llm.words import sketch as count_sketch
@@ -28,6 +28,10 @@ from statera.llm.words import sketch as count_sketch
 #: log2 of the sketch's counters (their array, 4 bytes each, is what executors are sent); sizes below which all shingles
 #: count as rare; shingles of a class of frequent ones; nodes sent to executors instead of being shuffled for.
 SKETCH_BITS, SMALL, CLASS, BROADCAST_ROWS = 22, 64, 4, 500_000
+#: Nodes of an index entry that one task orders: of a larger entry, blocks of so many.
+BLOCK_ROWS = 2_048
+#: What names a document: its id (the least number for a null one) and a hash of its text and of whether the id is null.
+KEY = ["_id", "_hash"]
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -103,8 +107,14 @@ def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: float, percent: i
     return sigs, np.concatenate(pos)[at]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """_id, _hash, known (whether there is an id), text (null: empty)."""
+    text, there = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNotNull()
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text, there).alias("_hash"), there.alias("known"), text.alias("text"))
+
+
 def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """doc_id, n (size of its set), core (its shingles that others seem to have), digest of the set, what is indexed."""
+    """_id, _hash, known, n (size of its set), core (its shingles that others seem to have), digest of the set, what is indexed."""
     counts = sketch(docs, words, bits)
     mean = float(counts.sum(dtype=np.float64)) / len(counts)
     frequent, shared = 4 * mean + 64, 2 * mean + 16
@@ -122,11 +132,9 @@ def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
                 sigs, pos = signatures(x, at, frequent, percent) if len(x) else (x, np.zeros(0, np.int64))
                 kept.append(sigs.view(np.int64))
                 places.append(pos)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "core": core, "digest": digests, "sigs": kept, "pos": places})
+            yield b[[*KEY, "known"]].assign(n=n, core=core, digest=digests, sigs=kept, pos=places)
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, n long, core long, digest binary, sigs array<long>, pos array<int>")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return keyed(docs).mapInPandas(run, "_id long, _hash long, known boolean, n long, core long, digest binary, sigs array<long>, pos array<int>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -138,8 +146,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             right = [hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(found, b["digest"], strict=True)]
             yield pd.DataFrame({"node": b["node"], "tokens": found})[right]
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    rows = docs.select("doc_id", "text").join(few.select(F.col("label").alias("doc_id"), "node", "digest"), "doc_id")
+    rows = keyed(docs).select(*KEY, "text").join(few(nodes.select(*KEY, "node", "digest"), BROADCAST_ROWS), KEY)
     return rows.select("node", "digest", "text").mapInPandas(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
@@ -177,7 +184,42 @@ def _named(prefix: str, source: str = "") -> list:
 def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The sets of the nodes in pairs."""
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return stored(sets_of(docs, stored(involved.join(nodes.select("node", "label", "digest"), "node"), "involved"), words), "sets")
+    return stored(sets_of(docs, stored(involved.join(nodes.select("node", *KEY, "digest"), "node"), "involved"), words), "sets")
+
+
+def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be links: in each index entry, nodes with the next smaller one and with the one that has most in common
+    with others, which is closest to all of a group of copies.
+
+    An entry of more than BLOCK_ROWS nodes is dealt into blocks; each has such a node of its own, paired with the entry's.
+    Entries are counted before they are shuffled, so a hot one is one row a task there.
+    """
+    centre = F.max(F.struct("core", "node", "n", "pos"))
+    entries = rows.groupBy("sig").agg(F.count("*").alias("_m"), centre.alias("_c")).where("_m > 1")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_m") / BLOCK_ROWS))
+    dealt = rows.join(entries, "sig").withColumn("_block", F.pmod(F.xxhash64("node"), blocks))
+    block = Window.partitionBy("sig", "_block")
+    beside = F.lag(F.struct("node", "n", "pos")).over(block.orderBy("n", "node"))
+    both = dealt.withColumn("_b", beside).withColumn("_o", centre.over(block))
+    tried = both.select(*_named("p"), *_named("q", "_b.")).union(both.select(*_named("p"), *_named("q", "_o.")))
+    tried = tried.union(both.where("_o.node = node").select(*_named("p"), *_named("q", "_c.")))
+    return _pairs(tried.where("q IS NOT NULL"), percent)
+
+
+def rest_pairs(rows: DataFrame, joined: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be links between nodes that share an entry and that ``joined`` (node, component) does not join yet.
+
+    Entries within one component are left out. Nodes of others meet those of their own class of size and of the next ones,
+    the only ones that can be similar enough.
+    """
+    placed = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("sig")
+    mixed = placed.join(several, "sig", "left_semi").withColumn("_class", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9))
+    mixed = stored(mixed, "mixed")
+    one = mixed.select("sig", *_named("p"), F.col("component").alias("_p"), F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).alias("_class"))
+    other = mixed.select("sig", "_class", *_named("q"), F.col("component").alias("_q"))
+    rest = one.join(other, ["sig", "_class"]).where(f"p < q AND _p <> _q AND {_fits(percent)}")
+    return _pairs(rest, percent).join(near, ["a", "b"], "left_anti")
 
 
 def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,54 +228,51 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH
     The components are those of all links between sets that have percent of their union in common.
     """
     seen = stored(indexed(docs, words, percent, bits), "indexed")
-    groups = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("core").alias("core"), F.first(F.arrays_zip(F.col("sigs").alias("sig"), "pos")).alias("sigs"))
-    nodes = stored(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    entry = Window.partitionBy("sig")
-    rows = nodes.select("node", "n", "core", F.inline("sigs").alias("sig", "pos")).withColumn("_m", F.count("*").over(entry)).where("_m > 1").drop("_m")
-    rows = stored(rows, "entries")
-    # of a group of copies the one with most in common with others is closest to all; then along the sizes
-    beside = F.lag(F.struct("node", "n", "pos")).over(entry.orderBy("n", "node"))
-    centre = F.max(F.struct("core", "node", "n", "pos")).over(entry)
-    both = rows.withColumn("_b", beside).withColumn("_c", centre)
-    tried = both.select(*_named("p"), *_named("q", "_b.")).union(both.select(*_named("p"), *_named("q", "_c.")))
-    near = stored(_pairs(tried.where("q IS NOT NULL"), percent), "near")
+    sets = seen.where("n > 0").groupBy("digest").agg(
+        F.min(F.struct(*KEY)).alias("k"), F.min(F.when(F.col("known"), F.col("_id"))).alias("label"), F.first("n").alias("n"), F.first("core").alias("core"),
+        F.first(F.arrays_zip(F.col("sigs").alias("sig"), "pos")).alias("sigs"),
+    )
+    nodes = stored(sets.select("digest", "k.*", "label", "n", "core", "sigs", F.monotonically_increasing_id().alias("node")), "nodes")
+    rows = nodes.select("node", "n", "core", F.inline("sigs").alias("sig", "pos"))
+    near = stored(first_pairs(rows, percent), "near")
     first = stored(verified(near, _sets(docs, near, nodes, words), percent), "links")
-    joined = components(first)
-
-    # whatever shares an entry and is not joined yet
-    placed = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.withColumn("_low", F.min("component").over(entry)).withColumn("_high", F.max("component").over(entry)).where("_low < _high").drop("_low", "_high")
-    mixed = stored(mixed, "mixed")
-    one = mixed.select("sig", *_named("p"), F.col("component").alias("_p"))
-    other = mixed.select("sig", *_named("q"), F.col("component").alias("_q"))
-    rest = one.join(other, "sig").where(f"p < q AND _p <> _q AND {_fits(percent)}")
-    rest = _pairs(rest, percent).join(near, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
+    rest = stored(rest_pairs(rows, components(first), near, percent), "rest")
     second = stored(verified(rest, _sets(docs, rest, nodes, words), percent), "links")
     return seen, nodes, components(first.union(second))
 
 
+def _classes(docs: DataFrame, words: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with words: _id, _hash, known, n, component; documents without)."""
+    seen, nodes, parts = links(docs, words, percent, bits)
+    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("label").alias("component_id"))
+    classes = named.select("digest", "component").join(least, "component")
+    return seen.where("n > 0").select(*KEY, "known", "n", "digest").join(classes, "digest"), seen.where("n = 0")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) of every document.
 
     Null, empty and wordless texts have an empty set and no link; fewer words than a shingle's are one shingle; repeated
-    rows have equal sets and so one component; no rows give no rows.
+    rows have equal sets and so one component. Documents of a null id link like others, but give no component its name:
+    where there are no others it is null. No rows give no rows; other columns of docs play no part.
     """
-    seen, nodes, parts = links(docs, words, percent, bits)
-    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    classes = named.join(least, "component").select("digest", "component_id")
-    some = seen.where("n > 0").select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "component_id")
-    none = seen.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return some.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    some, none = _classes(docs, words, percent, bits)
+    doc = F.when(F.col("known"), F.col("_id")).alias("doc_id")
+    rows = some.select(doc, F.col("n").alias("n_shingles"), "component_id")
+    return rows.union(none.select(doc, F.col("n").alias("n_shingles"), doc.alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest doc_id stays, its repeats go.
+    """The rows of docs without near duplicates: of each component the one with the smallest doc_id stays.
 
-    Rows that repeat a doc_id are one document; rows without a doc_id can't stand for a group and all stay.
+    Rows that repeat an id with another text are documents of their own, ordered by a hash of the text; a null id comes
+    last. Of rows that repeat both id and text the one with the least values stays. Texts without words have no near
+    duplicates: all stay. No rows give no rows.
     """
-    found = near_duplicates(docs, words, percent, bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    some, _ = _classes(docs, words, percent, bits)
+    first = some.groupBy("component").agg(F.min(F.struct(~F.col("known"), *KEY)).alias("k")).select("k._id", "k._hash")
+    text, there = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNotNull()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text, there).alias("_hash"))
+    kept = rows.join(stored(first, "kept"), KEY, "left_semi").groupBy(*KEY).agg(F.min("_row").alias("_row"))
+    return kept.select("_row.*").unionByName(docs.where(~text.rlike(r"[^\x20\x09-\x0D]")))

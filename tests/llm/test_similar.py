@@ -102,3 +102,38 @@ def test_long_chain(spark):
     rows = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500), (7, 7)]
     out = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(201)) and out[501] == 500
+
+
+def test_null_ids_carry_links(spark):
+    """1 and 3 are linked only through a text whose id is null."""
+    base = [f"w{i}" for i in range(100)]
+    near, far = base[:97] + ["x", "y", "z"], base[3:97] + ["x", "y", "z", "u", "v", "w"]
+    rows = [(1, " ".join(base)), (None, " ".join(near)), (3, " ".join(far)), (None, "alone and without a name"), (None, None)]
+    found = similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    brute_rows = [(1, rows[0][1]), (2, rows[1][1]), (3, rows[2][1])]
+    assert {d: c for d, _, c in brute(brute_rows, 3, 90)} == {1: 1, 2: 1, 3: 1}
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("1", "1"), ("3", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
+
+
+def test_one_of_each_keeps_texts_of_repeated_ids(spark):
+    texts = [f"text {i} " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(1, texts[0], "a"), (1, texts[1], "a"), (2, texts[0], "b"), (None, texts[2], "c"), (None, texts[2], "b"), (None, texts[0], "b"), (3, texts[3], "a"), (3, texts[3], "a"), (None, " ", None), (9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 3):
+        kept = similar.one_of_each(docs.repartition(n)).collect()
+        assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[6], rows[8], rows[9]]))
+
+
+@pytest.mark.parametrize("rows_a_block", [2, 7])
+def test_hot_entries_in_blocks(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", rows_a_block)
+    rng = random.Random(rows_a_block)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(120)] = f"y{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(similar.near_duplicates(docs, 3, 90, bits=12)) == brute(rows, 3, 90)
