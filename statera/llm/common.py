@@ -7,12 +7,26 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _OWN: dict[str, str] = {}
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def caches(name: str, clear: Callable[[], None]) -> None:
+    """Register what empties a cache that one operator keeps in Python workers, which serve all operators in turn."""
+    _CACHES[name] = clear
+
+
+def claim(name: str | None = None) -> None:
+    """Called where an operator begins a task: empties the caches of others in this worker."""
+    for other, clear in _CACHES.items():
+        if other != name:
+            clear()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

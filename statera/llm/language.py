@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statera.llm.common import claim
+
 #: N-grams of a profile and of a text; documents of a language from which its profile is learnt (fewer if there are
 #: fewer; they are those with the smallest hashes of their ids); languages that one run may have.
 PROFILE, OWN, LEARNT_DOCS, MOST_LANGUAGES = 400, 300, 3_000, 1_000
@@ -71,6 +73,7 @@ def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFIL
         return {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         for b in batches:
             for lang, some in b.groupby("lang"):
                 found = [grams(t) for t in some["text"]]
@@ -120,12 +123,15 @@ def predictions(docs: DataFrame, learnt: dict[str, list[int]], columns: list[str
     whole = [c for c in columns if kinds[c] in ("bigint", "int")]  # as strings, so that nulls don't turn ids into floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         ranks = Ranks(learnt)
         for b in batches:
-            found = [ranks.predict(t) for t in b["_text"]]
+            found = [ranks.predict(t) for t in b[own]]
             yield b[columns].assign(lang_pred=[x for x, _ in found], score=[s for _, s in found])
 
-    rows = docs.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in columns], F.col("text").alias("_text"))
+    own = "text" if "text" in columns else "_text"
+    read = [] if "text" in columns else [F.col("text").alias(own)]
+    rows = docs.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in columns], *read)
     inner = ", ".join(f"`{c}` {'string' if c in whole else kinds[c]}" for c in columns)
     out = rows.mapInPandas(run, f"{inner}, lang_pred string, score double")
     return out.withColumns({c: F.col(c).cast(kinds[c]) for c in whole})

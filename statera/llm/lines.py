@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import dropped, few, stored
+from statera.llm.common import claim, dropped, few, stored
 from statera.llm.words import batches, graded, hashed, sketch
 
 #: Jaccard similarity in percent; distinct words that a line needs to take part (1: every line with a word); the least and
@@ -123,6 +123,7 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
     often = max(float(RARE), (RARE * seen / USUAL) ** 0.5)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         grade = held.value
         for b in parts:
             ids, hashes = b["_id"].to_numpy(), b["_hash"].to_numpy()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import buckets_for, running_start, stored
+from statera.llm.common import buckets_for, claim, running_start, stored
 from statera.llm.packing import served
 
 WEIGHTS, EPOCHS, MOST_REPEATS = (5, 2, 1), Fraction(3, 2), 2
@@ -236,6 +236,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
+        claim()
         word = re.compile(WORD)
         for b in batches:
             out = []

@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import buckets_for, running_start, shuffle_width, stored
+from statera.llm.common import buckets_for, caches, claim, running_start, stored
 
 LENGTH, END_ID = 4096, 2
 #: Documents of all sources in a bucket; sources that one run may have (their totals pass the driver); words that a
 #: worker remembers; cells of the table of windows and sources that it holds at a time.
-BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 1_000_000, 4_000_000
+BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 500_000, 4_000_000
 
 
 #: Bytes to the characters that byte-level vocabularies write them as: printable ones stand for themselves, the rest for
@@ -84,6 +84,7 @@ def id_kind(vocabulary: int) -> str:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+caches("packing", _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -96,6 +97,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, source, n_tokens and ids (bytes, 16 bits each where the vocabulary allows) with the end id; null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("packing")
         words = encoder(path)
         end, width = np.array([end_id], words.kind).tobytes(), np.dtype(words.kind).itemsize
         for b in batches:

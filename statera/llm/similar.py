@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import few, stored
+from statera.llm.common import claim, few, stored
 from statera.llm.components import components
 from statera.llm.words import batches, hashed
 from statera.llm.words import sketch as count_sketch
@@ -122,6 +122,7 @@ def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = held.value
+        claim()
         for b in batches:
             n, digests, kept, places, core = [], [], [], [], []
             for x in shingles_of(b["text"].tolist(), words):
@@ -201,9 +202,10 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     block = Window.partitionBy("sig", "_block")
     beside = F.lag(F.struct("node", "n", "pos")).over(block.orderBy("n", "node"))
     both = dealt.withColumn("_b", beside).withColumn("_o", centre.over(block))
-    tried = both.select(*_named("p"), *_named("q", "_b.")).union(both.select(*_named("p"), *_named("q", "_o.")))
-    tried = tried.union(both.where("_o.node = node").select(*_named("p"), *_named("q", "_c.")))
-    return _pairs(tried.where("q IS NOT NULL"), percent)
+    others = [F.col("_b"), *[F.col(c).dropFields("core") for c in ("_o", "_c")]]
+    others[2] = F.when(F.col("_o.node") == F.col("node"), others[2])
+    tried = both.select(*_named("p"), F.explode(F.array(*others)).alias("_q")).where("_q IS NOT NULL")
+    return _pairs(tried.select("p", "p_n", "p_pos", *_named("q", "_q.")), percent)
 
 
 def rest_pairs(rows: DataFrame, joined: DataFrame, near: DataFrame, percent: int) -> DataFrame:

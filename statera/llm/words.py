@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statera.llm.common import claim
+
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of text that are taken at a time (a longer text is taken alone), log2 of the counters of a slice of a sketch,
 #: buckets or words that a task counts before it sends sums, and tasks whose slices are added up together.
-BATCH, SLICE_BITS, HELD, FAN_IN = 1 << 18, 17, 1 << 21, 512
+BATCH, SLICE_BITS, HELD, FAN_IN = 1 << 1 << 18, 17, 1 << 20, 512
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -68,6 +70,7 @@ def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]],
     low = min(bits, SLICE_BITS)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         fresh, size = [], 0
         at, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for b in parts:
