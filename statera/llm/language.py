@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import claim
+from statera.llm.common import lean
 
 #: N-grams of a profile and of a text; documents of a language from which its profile is learnt (fewer if there are
 #: fewer; they are those with the smallest hashes of their ids); languages that one run may have.
@@ -73,7 +73,6 @@ def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFIL
         return {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim()
         for b in batches:
             for lang, some in b.groupby("lang"):
                 found = [grams(t) for t in some["text"]]
@@ -81,7 +80,7 @@ def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFIL
                 n = np.bincount(at, np.concatenate([c for _, c in found]), len(key)).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": key, "n": n})
 
-    sums = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInPandas(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     out: dict[str, list[int]] = {}
     for r in sorted(ranked.where(F.col("rank") <= size).collect(), key=lambda r: (r["lang"], r["rank"])):
@@ -123,7 +122,6 @@ def predictions(docs: DataFrame, learnt: dict[str, list[int]], columns: list[str
     whole = [c for c in columns if kinds[c] in ("bigint", "int")]  # as strings, so that nulls don't turn ids into floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim()
         ranks = Ranks(learnt)
         for b in batches:
             found = [ranks.predict(t) for t in b[own]]
@@ -133,7 +131,7 @@ def predictions(docs: DataFrame, learnt: dict[str, list[int]], columns: list[str
     read = [] if "text" in columns else [F.col("text").alias(own)]
     rows = docs.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in columns], *read)
     inner = ", ".join(f"`{c}` {'string' if c in whole else kinds[c]}" for c in columns)
-    out = rows.mapInPandas(run, f"{inner}, lang_pred string, score double")
+    out = rows.mapInPandas(lean(run), f"{inner}, lang_pred string, score double")
     return out.withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
 
 

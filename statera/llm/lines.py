@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import claim, dropped, few, stored
+from statera.llm.common import dropped, few, lean, stored
 from statera.llm.words import batches, graded, hashed, sketch
 
 #: Jaccard similarity in percent; distinct words that a line needs to take part (1: every line with a word); the least and
@@ -123,7 +123,6 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
     often = max(float(RARE), (RARE * seen / USUAL) ** 0.5)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim()
         grade = held.value
         for b in parts:
             ids, hashes = b["_id"].to_numpy(), b["_hash"].to_numpy()
@@ -155,7 +154,7 @@ def indexed(keyed: DataFrame, percent: int, least_words: int, bits: int) -> Data
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)) for v in columns], [*KEY, "n", "d1", "d2", "bits", "wide", "at", "sigs"])
 
     kind = "_id long, _hash long, place long, n long, d1 long, d2 long, bits long, wide long, at array<long>, sigs array<long>"
-    return keyed.select("_id", "_hash", "text").mapInArrow(run, kind)
+    return keyed.select("_id", "_hash", "text").mapInArrow(lean(run), kind)
 
 
 def _alone(n: np.ndarray, percent: int) -> np.ndarray:
@@ -234,7 +233,7 @@ def sets_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = keyed.select("_id", "_hash", "_text").join(masked(wanted), ["_id", "_hash"])
     every = F.transform(F.split("_text", "\n", -1), lambda line, i: F.struct(i.cast("long").alias("place"), line.alias("line")))
     lines = rows.select("_id", "_hash", F.inline(F.filter(every, lambda x: _set(x["place"].cast("int")))))
-    return lines.mapInPandas(run, "_id long, _hash long, place long, tokens binary").dropDuplicates(KEY)
+    return lines.mapInPandas(lean(run), "_id long, _hash long, place long, tokens binary").dropDuplicates(KEY)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +250,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     earlier = sets.select(*_earlier(), F.col("tokens").alias("e_tokens"))
     rows = pairs.join(earlier, EARLIER).join(sets, KEY)
-    return rows.select(*KEY, "tokens", "e_tokens").mapInPandas(run, "_id long, _hash long, place long").distinct()
+    return rows.select(*KEY, "tokens", "e_tokens").mapInPandas(lean(run), "_id long, _hash long, place long").distinct()
 
 
 def _fits(percent: int) -> Column:
@@ -368,7 +367,7 @@ def first_fits(dealt: DataFrame, percent: int) -> DataFrame:
             yield from step(True)
 
     kind = ", ".join(f"{c} long" for c in [*names, *EARLIER]) + ", open boolean"
-    return dealt.mapInPandas(run, kind)
+    return dealt.mapInPandas(lean(run), kind)
 
 
 def _ranked(head: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import buckets_for, claim, running_start, stored
+from statera.llm.common import buckets_for, lean, running_start, stored
 from statera.llm.packing import served
 
 WEIGHTS, EPOCHS, MOST_REPEATS = (5, 2, 1), Fraction(3, 2), 2
@@ -178,7 +178,7 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
                 yield pd.concat(out).assign(slot=place)[["shard", "slot", "_source", "_block", "copy", "words"]]
 
     parts = max(1, min(plan.shards, 64 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, plan.shards, 1, parts).mapInPandas(run, "shard long, slot long, _source int, _block long, copy long, words long")
+    return spark.range(0, plan.shards, 1, parts).mapInPandas(lean(run), "shard long, slot long, _source int, _block long, copy long, words long")
 
 
 def mix(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -236,7 +236,6 @@ def mixed_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
-        claim()
         word = re.compile(WORD)
         for b in batches:
             out = []
@@ -256,5 +255,5 @@ def mixed_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: i
             yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars"])
 
     kept = full.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source", "takes")
-    out = kept.mapInPandas(run, "doc_id string, text string, lang string, source string, n_chars long")
+    out = kept.mapInPandas(lean(run), "doc_id string, text string, lang string, source string, n_chars long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import buckets_for, caches, claim, running_start, stored
+from statera.llm.common import buckets_for, caches, lean, running_start, stored
 
 LENGTH, END_ID = 4096, 2
 #: Documents of all sources in a bucket; sources that one run may have (their totals pass the driver); words that a
 #: worker remembers; cells of the table of windows and sources that it holds at a time.
-BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 500_000, 4_000_000
+BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 400_000, 4_000_000
 
 
 #: Bytes to the characters that byte-level vocabularies write them as: printable ones stand for themselves, the rest for
@@ -97,7 +97,6 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, source, n_tokens and ids (bytes, 16 bits each where the vocabulary allows) with the end id; null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("packing")
         words = encoder(path)
         end, width = np.array([end_id], words.kind).tobytes(), np.dtype(words.kind).itemsize
         for b in batches:
@@ -107,7 +106,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "source": part.source.to_numpy(), "n_tokens": [len(x) // width for x in ids], "ids": ids})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
-    out = rows.mapInPandas(run, "doc_id string, source string, n_tokens long, ids binary")
+    out = rows.mapInPandas(lean(run, "packing"), "doc_id string, source string, n_tokens long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -204,7 +203,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
                 })
 
     kept = queued.select("_queue", F.col("doc_id").cast("string").alias("doc_id"), "source", "n_tokens", "_start", "ids")
-    out = kept.mapInPandas(run, "doc_id string, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = kept.mapInPandas(lean(run, "packing"), "doc_id string, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

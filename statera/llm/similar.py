@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import claim, few, stored
+from statera.llm.common import few, lean, stored
 from statera.llm.components import components
 from statera.llm.words import batches, hashed
 from statera.llm.words import sketch as count_sketch
@@ -122,7 +122,6 @@ def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = held.value
-        claim()
         for b in batches:
             n, digests, kept, places, core = [], [], [], [], []
             for x in shingles_of(b["text"].tolist(), words):
@@ -135,7 +134,7 @@ def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
                 places.append(pos)
             yield b[[*KEY, "known"]].assign(n=n, core=core, digest=digests, sigs=kept, pos=places)
 
-    return keyed(docs).mapInPandas(run, "_id long, _hash long, known boolean, n long, core long, digest binary, sigs array<long>, pos array<int>")
+    return keyed(docs).mapInPandas(lean(run), "_id long, _hash long, known boolean, n long, core long, digest binary, sigs array<long>, pos array<int>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -148,7 +147,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame({"node": b["node"], "tokens": found})[right]
 
     rows = keyed(docs).select(*KEY, "text").join(few(nodes.select(*KEY, "node", "digest"), BROADCAST_ROWS), KEY)
-    return rows.select("node", "digest", "text").mapInPandas(run, "node long, tokens binary").dropDuplicates(["node"])
+    return rows.select("node", "digest", "text").mapInPandas(lean(run), "node long, tokens binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +164,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(lean(run), "a long, b long")
 
 
 def _fits(percent: int) -> str:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import claim
+from statera.llm.common import lean
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -70,7 +70,6 @@ def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]],
     low = min(bits, SLICE_BITS)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim()
         fresh, size = [], 0
         at, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for b in parts:
@@ -111,7 +110,7 @@ def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]],
         return pd.DataFrame({"slice": [b["slice"].iloc[0]], "sums": [finish(added(b)).tobytes()]})
 
     kind = "slice int, at binary, n binary"
-    sums = docs.select("text").mapInPandas(count, kind).withColumn("tasks", F.floor(F.spark_partition_id() / FAN_IN))
+    sums = docs.select("text").mapInPandas(lean(count), kind).withColumn("tasks", F.floor(F.spark_partition_id() / FAN_IN))
     sums = sums.groupBy("slice", "tasks").applyInPandas(some, kind)
     dtype = finish(np.zeros(1, np.uint32)).dtype
     out = np.tile(finish(np.zeros(1, np.uint32)), 1 << bits).reshape(-1, 1 << low)
