@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statera.functions.vocabulary import CURRENCIES, IMPLIED, SCALES
 
-#: The number grammar (ASCII digits only), what may stand before and after a number, dashes that mean zero.
+#: The number grammar (ASCII digits only), what may stand before and after a number, dashes that
+#: mean zero, years and spans of years, footnote marks and numbering of labels.
 PREFIX = r"(?i)^(?:rs\.?|inr|usd|us\$|\$|₹|€|£)\s*"
 SUFFIX = r"[*†‡§]+$"
 GROUPED = r"^(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]{1,2}(?:,[0-9]{2})+,[0-9]{3}|[0-9]+)(?:\.[0-9]+)?$"
@@ -17,11 +20,21 @@ AMOUNT = r"^\(?[-+]?\d[\d,]*(?:\.\d+)?\)?-?$"
 NUMERIC = r"\(?\d[\d,]*(?:\.\d+)?\)?"
 BARE_YEAR = r"^(?:19|20|21)[0-9]{2}$"
 MONEY = "decimal(38,4)"
+SPAN = r"(?:^|[^0-9])((?:19|20|21)[0-9]{2})\s*[-–/]\s*((?:19|20|21)?[0-9]{2})(?![0-9])"
+FOOTNOTES = r"[*†‡§¹²³]+|\(note [0-9]+[a-z]?\)|\(refer note [^)]*\)|(?:\([a-z]\))+$"
+NUMBERING = r"^(?:\(?[0-9ivx]+[.)]|\(?[a-z][.)])\s+"
+#: White space: ASCII with the separators U+001C to U+001F, then Unicode's.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _bare(token: Column) -> Column:
@@ -33,31 +46,34 @@ def parse_number(token: Column) -> Column:
 
     More than 34 digits before the point, or more than four after it, do not fit and are null too.
     """
-    s = _bare(token)
+    return once(_bare(token), _value)
+
+
+def _value(s: Column) -> Column:
     round_ = s.startswith("(") & s.endswith(")") & (F.length(s) > 1)
     trailing, leading = s.endswith("-"), s.startswith("-")
-    negative = round_ | trailing | leading
     inner = F.when(round_, F.substring(s, F.lit(2), F.length(s) - 2)).when(trailing, F.substring(s, F.lit(1), F.length(s) - 1)).when(leading | s.startswith("+"), F.substring(s, F.lit(2), F.length(s))).otherwise(s)
-    inner = strip(inner)
-    plain = F.regexp_replace(inner, ",", "")
-    short = ~plain.rlike(r"\.[0-9]{4}[0-9]*[1-9]")
-    value = F.when(inner.rlike(GROUPED) & short, plain).try_cast(MONEY)
-    return F.when(negative, -value).otherwise(value)
+    plain = lambda i: F.when(i.rlike(GROUPED), F.replace(i, F.lit(","), F.lit("")))
+    fits = lambda x: F.when(~x.rlike(r"\.[0-9]{4}[0-9]*[1-9]"), x).try_cast(MONEY)
+    value = once(once(strip(inner), plain), fits)
+    return once(value, lambda v: F.when(round_ | trailing | leading, -v).otherwise(v))
 
 
 def classify(token: Column, column_is_numeric: Column) -> Column:
     """number, dash_zero, missing, unparseable or text."""
-    s = strip(F.regexp_replace(strip(F.coalesce(token, F.lit(""))), PREFIX, ""))
-    dash = s.isin(*DASHES)
-    return (
-        F.when(s == "", "missing")
-        .when(dash & column_is_numeric, "dash_zero")
-        .when(dash, "text")
-        .when(parse_number(s).isNotNull(), "number")
-        .when(~column_is_numeric & s.rlike("[-–—]"), "text")
-        .when(~column_is_numeric, "text")
-        .otherwise("unparseable")
-    )
+
+    def kind(s: Column) -> Column:
+        dash = s.isin(*DASHES)
+        return (
+            F.when(s == "", "missing")
+            .when(dash & column_is_numeric, "dash_zero")
+            .when(dash, "text")
+            .when(parse_number(s).isNotNull(), "number")
+            .when(~column_is_numeric, "text")
+            .otherwise("unparseable")
+        )
+
+    return once(strip(F.regexp_replace(strip(F.coalesce(token, F.lit(""))), PREFIX, "")), kind)
 
 
 def cell_value(token: Column, kind: Column) -> Column:
@@ -97,8 +113,7 @@ def resolve_currency(table: Column, statement: Column, document: Column) -> Colu
 
 def parse_period(label: Column) -> Column:
     """The year in which a period ends: the end of a range such as 2023-24, else the first year; null if there is none."""
-    span = r"(?:^|[^0-9])((?:19|20|21)[0-9]{2})\s*[-–/]\s*((?:19|20|21)?[0-9]{2})(?![0-9])"
-    first, last = F.regexp_extract(label, span, 1), F.regexp_extract(label, span, 2)
+    first, last = F.regexp_extract(label, SPAN, 1), F.regexp_extract(label, SPAN, 2)
     short = (F.substring(first, 1, 2).try_cast("int") * 100 + last.try_cast("int"))
     ranged = F.when(F.length(last) == 4, last.try_cast("int")).when(short < first.try_cast("int"), short + 100).otherwise(short)
     single = F.regexp_extract(label, YEAR, 1)
@@ -108,8 +123,8 @@ def parse_period(label: Column) -> Column:
 def normalise_label(label: Column) -> Column:
     """Lower case, without footnote marks, numbering, punctuation and repeated white space."""
     s = F.lower(strip(label))
-    s = F.regexp_replace(s, r"[*†‡§¹²³]+|\(note [0-9]+[a-z]?\)|\(refer note [^)]*\)|(?:\([a-z]\))+$", " ")
-    s = F.regexp_replace(s, r"^(?:\(?[0-9ivx]+[.)]|\(?[a-z][.)])\s+", "")
+    s = F.regexp_replace(s, FOOTNOTES, " ")
+    s = F.regexp_replace(s, NUMBERING, "")
     s = F.replace(F.replace(s, F.lit("&"), F.lit(" and ")), F.lit("'"), F.lit(""))
     s = F.regexp_replace(s, r"(?U)[^\w\s]", " ")
     return strip(F.regexp_replace(s, r"(?U)\s+", " "))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 #: Points by which words of a line, columns, spans and continued columns may differ.
 LINE, GAP, SLACK, SHIFT, LEAST_ROWS, LEAST_COLUMNS = 3.0, 14.0, 6.0, 5.0, 3, 2
 _YEAR = re.compile(r"(?<![0-9])(?:19|20|21)[0-9]{2}(?![0-9])")
-_VALUE = re.compile(r"^(?:\(?[-+]?[0-9][0-9,]*(?:\.[0-9]+)?\)?-?%?|[-–—]|\(|\))$")
+_VALUE = re.compile(r"^(?:[-+]?[0-9][0-9,]*(?:\.[0-9]+)?-?%?|\([-+]?[0-9][0-9,]*(?:\.[0-9]+)?\)?-?%?|[-–—]|\(|\))$")
 _UNIT = {"$", "₹", "€", "£", "rs", "rs.", "inr", "usd"}
 
 GRID = "document_id string, page int, grid int, row_idx int, label string, cells array<string>, header array<string>, col_x array<double>"
@@ -39,7 +39,7 @@ def halves(line: pd.DataFrame) -> tuple[str, list[tuple[str, float, float]]]:
     rows = [(t, a, b) for t, a, b in zip(line["text"], line["x0"], line["x1"], strict=True)]
     joined: list[tuple[str, float, float]] = []
     for t, a, b in rows:
-        if joined and (t == ")" or joined[-1][0] == "("):
+        if joined and (t == ")" or joined[-1][0] == "("):  # a parenthesis on its own belongs to its neighbour
             joined[-1] = (joined[-1][0] + t, joined[-1][1], b)
         else:
             joined.append((t, a, b))
@@ -110,7 +110,7 @@ def stitched(tables: DataFrame) -> DataFrame:
     """document_id, table_id, root: the table that each one continues, itself if none.
 
     tables: document_id, table_id, first_page, n_columns, header (null if it has none), col_x, heading. A table continues
-    one on the page before that has as many columns within 5 points, the same header or none, and the same or no heading.
+    one on the page before that has a header and as many columns within 5 points, if its own header is the same or none and its heading too.
     """
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
@@ -131,6 +131,7 @@ def stitched(tables: DataFrame) -> DataFrame:
 
 
 def _continues(a: dict, b: dict) -> bool:
-    same_header = b["header"] is None or (a["header"] is not None and list(a["header"]) == list(b["header"]))
+    headed = a["header"] is not None and len(a["header"]) > 0
+    same_header = headed and (b["header"] is None or list(a["header"]) == list(b["header"]))
     places = a["n_columns"] == b["n_columns"] and all(abs(x - y) <= SHIFT for x, y in zip(a["col_x"][1:], b["col_x"][1:], strict=False))
     return b["first_page"] == a["first_page"] + 1 and places and same_header and (not b["heading"] or b["heading"] == a["heading"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statera.functions.maybe import NA, none, reason, text
-from statera.functions.tokens import cell_value, classify, normalise_label, parse_number, parse_period, scaled, strip
+from statera.functions.tokens import cell_value, classify, normalise_label, once, parse_number, parse_period, scaled, strip
 from statera.functions.tokens import DASHES
 from statera.functions.vocabulary import BLOCKED, CONCEPTS, aliases
 
@@ -30,15 +30,16 @@ def match_labels(rows: DataFrame, label: str = "label") -> DataFrame:
 def numeric_columns(cells: DataFrame, *key: str) -> DataFrame:
     """key, is_numeric: whether more than half of the cells that are neither blank nor a dash parse."""
     token = strip(F.coalesce("token", F.lit("")))
-    counted = (token != "") & ~token.isin(*DASHES)
-    parsed = F.count_if(counted & parse_number(token).isNotNull())
-    return cells.groupBy(*key).agg((parsed * 2 > F.count_if(counted)).alias("is_numeric"))
+    counted = once(token, lambda t: F.when((t != "") & ~t.isin(*DASHES), parse_number(t).isNotNull()))
+    rows = cells.select(*key, counted.alias("_parses"))
+    return rows.groupBy(*key).agg((F.count_if("_parses") * 2 > F.count("_parses")).alias("is_numeric"))
 
 
 def normalised_cells(cells: DataFrame) -> DataFrame:
     """cells (token, scale, ref_id among others; numeric columns only) with value in base units, dash_zero and na."""
     kind = classify(F.col("token"), F.lit(True))
-    out = cells.withColumn("_kind", kind).withColumn("value", scaled(cell_value(F.col("token"), F.col("_kind")), F.col("scale")))
+    value = once(cell_value(F.col("token"), F.col("_kind")), lambda v: scaled(v, F.col("scale")))
+    out = cells.withColumn("_kind", kind).withColumn("value", value)
     ref = F.array("ref_id")
     na = (
         F.when(F.col("_kind") == "missing", reason("missing_input", "blank cell", ref))
@@ -131,7 +132,7 @@ def mapped_values(accepted: DataFrame, conflicts: DataFrame, columns: DataFrame,
         .when(F.col("_na").isNotNull(), F.struct(F.col("_na.reason").alias("reason"), text(head, F.col("_na.detail")).alias("detail"), F.col("_na.refs").alias("refs"), F.col("_na.root_reason").alias("root_reason"), F.col("_na.root_detail").alias("root_detail")))
         .otherwise(none(NA))
     )
-    some = out.select("document_id", "concept", "end_year", F.when(na.isNull(), F.col("value")).alias("value"), "currency", "extraction", F.lit(2).alias("rank"), F.array("ref_id").alias("refs"), na.alias("na"))
+    some = out.select("document_id", "concept", "end_year", F.when(na.isNull(), F.col("value")).alias("value"), "currency", "extraction", capped(F.lit(2), F.col("extraction")).alias("rank"), F.array("ref_id").alias("refs"), na.alias("na"))
     home = F.create_map(*[F.lit(x) for pair in CONCEPTS.items() for x in pair])
     lost = conflicts.where((F.element_at(home, F.col("concept")) == F.col("kind")) & (F.size("na.refs") > 1)).join(columns.select("document_id", "kind", "end_year").distinct(), ["document_id", "kind"])
     gone = lost.select("document_id", "concept", "end_year", none("decimal(38,4)").alias("value"), none("string").alias("currency"), none("string").alias("extraction"), none("int").alias("rank"), F.col("na.refs").alias("refs"), "na")

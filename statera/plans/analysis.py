@@ -23,6 +23,7 @@ class Analysis:
     conflicts: DataFrame
     unmapped: DataFrame
     without_periods: DataFrame
+    wide: DataFrame
 
 
 def analyse(rows: DataFrame, headers: DataFrame) -> Analysis:
@@ -38,4 +39,4 @@ def analyse(rows: DataFrame, headers: DataFrame) -> Analysis:
     values = mapping.mapped_values(accepted, conflicts, columns, cells)
     wide = checks.with_checks(changes.with_changes(figures.analysed(values, columns)), mapping.dash_zeros(cells))
     flags = rules.flags(wide).unionByName(rules.without_periods(bad))
-    return Analysis(figures.figures_long(wide), figures.metrics_long(wide), changes.changes_long(wide), checks.checks_long(wide), flags, notes, conflicts, mapping.unmapped(accepted, columns), bad)
+    return Analysis(figures.figures_long(wide), figures.metrics_long(wide), changes.changes_long(wide), checks.checks_long(wide), flags, notes, conflicts, mapping.unmapped(accepted, columns), bad, wide)

@@ -1,50 +1,137 @@
-"""Sources and sinks of analyses (S1, S9-S11, S14-S25): everything through Spark's readers and writers."""
+"""Sources and sinks of analyses (S1, S9-S11, S14-S25): everything through Spark's readers and writers.
+
+A store is a folder of tables that are only ever appended to. Rows carry their document's id as text, the version of the
+save they are of, and a bucket of the id, by which files are laid out. The table ``documents`` has a row for each save and
+each deletion; what a reader sees of a document are the rows of its newest version, none after a deletion. So a failed or
+repeated write shows nothing half done, and no id becomes part of a path.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from statera.functions.tokens import display_name
 from statera.plans.analysis import Analysis
 
 #: Limits of the gate for incoming files.
-MOST_BYTES, MAGIC = 50 * 1024 * 1024, "%PDF-"
+MOST_BYTES, MAGIC, MOST_PAGES = 50 * 1024 * 1024, "%PDF-", 1_000
 TABLES = ["figures", "metrics", "changes", "checks", "flags"]
+#: Buckets of documents' ids, each a folder of files.
+BUCKETS = 64
+LOG = "document_id string, version long, deleted boolean, name string, analyzed_at timestamp"
 
 
 def gated_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, document_id (the content's SHA-256), gate_error of every file; contents of too large ones stay unread."""
+    """path, length, document_id (the content's SHA-256; null where it stays unread), gate_error, name of every file.
+
+    Contents of too large files stay unread: the reader gets the limit as a filter. Empty files are not listed: Spark plans
+    no task for them.
+    """
     files = spark.read.format("binaryFile").load(path)
+    name = display_name(F.col("path")).alias("name")
     begin = F.substring("content", 1, len(MAGIC)).cast("string")
-    error = F.when(F.col("length") > MOST_BYTES, "file too large").when(begin != MAGIC, "not a PDF")
-    return files.select("path", "length", F.sha2("content", 256).alias("document_id"), error.alias("gate_error"), display_name(F.col("path")).alias("name"))
+    error = F.when(F.coalesce(begin, F.lit("")) != MAGIC, "not a PDF")
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", F.sha2("content", 256).alias("document_id"), error.alias("gate_error"), name)
+    large = files.where(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast("string").alias("document_id"), F.lit("file too large").alias("gate_error"), name)
+    return small.union(large)
+
+
+def gated_texts(status: DataFrame) -> DataFrame:
+    """document_id, gate_error from layout.text_layer's result (n_pages, status): what can't be analysed, and why."""
+    error = F.when(F.col("status") == "unreadable", "unreadable PDF").when(F.col("n_pages") > MOST_PAGES, "too many pages").when(F.col("status") == "scanned", "scanned PDF")
+    return status.select("document_id", error.alias("gate_error"))
+
+
+def _bucket(document_id: Column) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
+
+
+def _append(rows: DataFrame, folder: str, name: str, version: int) -> None:
+    out = rows.withColumns({"document_id": F.col("document_id").cast("string"), "version": F.lit(version).cast("long")}).withColumn("bucket", _bucket(F.col("document_id")))
+    out.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(f"{folder}/{name}")
+
+
+def _log(ids: DataFrame, folder: str, version: int, deleted: bool, name: Column) -> None:
+    rows = ids.select(F.col("document_id").cast("string").alias("document_id"), F.lit(version).cast("long").alias("version"), F.lit(deleted).alias("deleted"), name.cast("string").alias("name"), F.current_timestamp().alias("analyzed_at"))
+    rows.write.mode("append").parquet(f"{folder}/documents")
+
+
+def _newest(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, version, name, analyzed_at of documents that are there."""
+    log = spark.read.schema(LOG).parquet(f"{folder}/documents")
+    last = log.groupBy("document_id").agg(F.max_by(F.struct("version", "deleted", "name", "analyzed_at"), "version").alias("l"))
+    return last.where("NOT l.deleted").select("document_id", "l.version", "l.name", "l.analyzed_at")
+
 
+def save(result: Analysis, folder: str, names: DataFrame | None = None) -> None:
+    """Append the result frames, computed once; a document saved again is replaced as soon as its log row is written.
 
-def save(result: Analysis, folder: str) -> None:
-    """Write the result frames, a folder each, partitioned by document; a document saved again replaces its partitions only."""
-    for name in TABLES:
-        frame: DataFrame = getattr(result, name)
-        frame.write.option("partitionOverwriteMode", "dynamic").partitionBy("document_id").mode("overwrite").parquet(f"{folder}/{name}")
+    names: document_id and name of the files they came from, if known.
+    """
+    version = time.time_ns() // 1000
+    wide = result.wide.persist(StorageLevel.DISK_ONLY)
+    try:
+        for name in TABLES:
+            _append(getattr(result, name), folder, name, version)
+        ids = result.flags.select("document_id").distinct()
+        named = ids.withColumn("name", F.lit(None).cast("string")) if names is None else ids.join(names.select("document_id", "name"), "document_id", "left")
+        _log(named, folder, version, False, F.col("name"))
+    finally:
+        wide.unpersist()
 
 
 def load(spark: SparkSession, folder: str, name: str, document_id: str | None = None) -> DataFrame:
-    """A saved frame, of one document or of all; only that document's files are read."""
-    rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("document_id", F.col("document_id").cast("string"))
-    return rows if document_id is None else rows.where(F.col("document_id") == document_id)
+    """A saved frame, of one document (only its bucket's files are read) or of all."""
+    newest = _newest(spark, folder).select("document_id", "version")
+    rows = spark.read.parquet(f"{folder}/{name}")
+    if document_id is not None:
+        bucket = spark.range(1).select(_bucket(F.lit(document_id))).collect()[0][0]
+        rows, newest = rows.where((F.col("bucket") == bucket) & (F.col("document_id") == document_id)), newest.where(F.col("document_id") == document_id)
+    return rows.join(newest, ["document_id", "version"], "left_semi").drop("version", "bucket")
+
+
+def load_values(spark: SparkSession, folder: str, document_id: str) -> DataFrame:
+    """A document's figures by concept and period."""
+    return load(spark, folder, "figures", document_id).orderBy("concept", "end_year")
 
 
 def save_narratives(texts: DataFrame, folder: str) -> None:
-    """texts: document_id, position (0: summary), kind, text, cites, model; saved like other frames."""
-    texts.write.option("partitionOverwriteMode", "dynamic").partitionBy("document_id").mode("overwrite").parquet(f"{folder}/insights")
+    """texts: document_id, position (0: summary), kind, text, cites, model; newer ones replace a document's older ones."""
+    _append(texts, folder, "insights", time.time_ns() // 1000)
+
+
+def load_narratives(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, summary, insights (text, cites; in order), model of the newest narrative of documents that are there."""
+    rows = spark.read.parquet(f"{folder}/insights")
+    last = rows.groupBy("document_id").agg(F.max("version").alias("version"))
+    rows = rows.join(last, ["document_id", "version"], "left_semi").join(_newest(spark, folder).select("document_id"), "document_id", "left_semi")
+    others = F.array_sort(F.collect_list(F.when(F.col("position") > 0, F.struct("position", "text", "cites"))))
+    out = rows.groupBy("document_id").agg(F.max(F.when(F.col("position") == 0, F.col("text"))).alias("summary"), others.alias("_i"), F.max("model").alias("model"))
+    return out.select("document_id", "summary", F.transform("_i", lambda x: F.struct(x["text"].alias("text"), x["cites"].alias("cites"))).alias("insights"), "model")
+
+
+def list_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, name, analyzed_at of the documents that are there, newest first."""
+    return _newest(spark, folder).select("document_id", "name", "analyzed_at").orderBy(F.desc("analyzed_at"), "document_id")
 
 
 def delete(spark: SparkSession, folder: str, document_id: str) -> None:
-    """Drop a document's partitions from every frame, through the file system that holds them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in [*TABLES, "insights"]:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/document_id={document_id}")
-        path.getFileSystem(conf).delete(path, True)
+    """Hide a document's rows in every frame, whatever its id is made of."""
+    ids = spark.range(1).select(F.lit(document_id).alias("document_id"))
+    _log(ids, folder, time.time_ns() // 1000, True, F.lit(None))
+
+
+def save_side(rows: DataFrame, path: str) -> None:
+    """A small JSON side file (locks, exposed companies, reports), one object a line, replaced as a whole."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_side(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def tickers(spark: SparkSession, path: str) -> DataFrame:
@@ -65,11 +152,26 @@ def annual_filings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def truth_facts(spark: SparkSession, path: str, tags: DataFrame) -> DataFrame:
-    """Facts in USD from companyfacts files for the tags (tag, concept, kind): concept, tag, kind, start, end, accession, value."""
+    """Facts in USD from companyfacts files for the tags (tag, concept, kind): concept, tag, kind, start, end, accession, value, fy."""
     unit = "array<struct<start:date,end:date,val:decimal(38,4),accn:string,fy:int,fp:string,form:string,filed:date>>"
     rows = spark.read.schema(f"facts struct<`us-gaap`:map<string,struct<units:map<string,{unit}>>>>").json(path, multiLine=True)
     each = rows.select(F.explode(F.col("facts.us-gaap")).alias("tag", "t")).select("tag", F.explode(F.try_element_at("t.units", F.lit("USD"))).alias("f"))
-    return each.join(F.broadcast(tags), "tag").select("concept", "tag", "kind", "f.start", "f.end", F.col("f.accn").alias("accession"), F.col("f.val").alias("value"))
+    return each.join(F.broadcast(tags), "tag").select("concept", "tag", "kind", "f.start", "f.end", F.col("f.accn").alias("accession"), F.col("f.val").alias("value"), "f.fy")
+
+
+def save_truth(known: DataFrame, path: str) -> None:
+    """Freeze true values (document_id, concept, end_year, values, tags) as JSON lines; values as text, so none is rounded."""
+    known.withColumn("values", F.transform("values", lambda v: v.cast("string"))).write.mode("overwrite").json(path)
+
+
+def load_truth(spark: SparkSession, path: str, offsets: DataFrame | None = None) -> DataFrame:
+    """Frozen true values; offsets (document_id, fiscal_year_offset) move a company's years to those its statements print."""
+    rows = spark.read.schema("document_id string, concept string, end_year int, values array<string>, tags array<string>").json(path)
+    rows = rows.withColumn("values", F.col("values").cast("array<decimal(38,4)>"))
+    if offsets is None:
+        return rows
+    moved = rows.join(offsets.select("document_id", "fiscal_year_offset"), "document_id", "left")
+    return moved.withColumn("end_year", F.col("end_year") + F.coalesce("fiscal_year_offset", F.lit(0))).select(rows.columns)
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
