@@ -60,13 +60,14 @@ def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.format_string("%.4f", F.bround(F.try_divide(a.cast("decimal(18,0)"), b.cast("decimal(18,0)")), 4).cast("double")), F.lit("n/a"))
 
 
-def summary(outcomes: DataFrame) -> DataFrame:
-    """Counts, precision, coverage and wrong rate overall, by concept and by document, in one pass of grouping sets."""
+def summary(outcomes: DataFrame, *within: str) -> DataFrame:
+    """Counts, precision, coverage and wrong rate overall, by concept and by document, in one pass of grouping sets; of each
+    value of the columns ``within`` by itself."""
     counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES] + [F.count_if(F.col("sub") == s).alias(s) for s in SUBS]
-    rows = outcomes.groupingSets([[], ["concept"], ["document_id"]], "concept", "document_id").agg(*counts, F.grouping_id().alias("_g"))
+    rows = outcomes.groupingSets([[*within], [*within, "concept"], [*within, "document_id"]], *within, "concept", "document_id").agg(*counts, F.grouping_id().alias("_g"))
     scope = F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, F.concat(F.lit("concept:"), "concept")).otherwise(F.concat(F.lit("document:"), "document_id"))
     c, w, h = F.col("correct"), F.col("wrong"), F.col("withheld")
-    return rows.select(scope.alias("scope"), *OUTCOMES, *SUBS, _share(c, c + w).alias("precision"), _share(c + w, c + w + h).alias("coverage"), _share(w, c + w + h).alias("wrong_rate"))
+    return rows.select(*within, scope.alias("scope"), *OUTCOMES, *SUBS, _share(c, c + w).alias("precision"), _share(c + w, c + w + h).alias("coverage"), _share(w, c + w + h).alias("wrong_rate"))
 
 
 def compared(now: DataFrame, before: DataFrame) -> DataFrame:

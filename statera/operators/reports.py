@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.functions.vocabulary import RANKS
+from statera.functions.vocabulary import CONCEPTS, RANKS
 from statera.operators.views import LABELS, metric_text, money_text, relative_text, unavailable_text
 
 HIGH = RANKS.index("high")
@@ -28,13 +28,18 @@ def label_of(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p]), name), spoken(name))
 
 
+def is_computed(refs: Column) -> Column:
+    """Whether a figure refers to other concepts instead of a row."""
+    return F.coalesce(F.get(refs, F.lit(0)).isin(list(CONCEPTS)), F.lit(True))
+
+
 def value_rows(figures: DataFrame, rows: DataFrame) -> DataFrame:
     """document_id, concept, period, value, page, source_row, how_found, ref_id, status of every figure that is there.
 
     rows: document_id, ref_id, label. A figure read from a cell has its row's page and label; a computed one what it was
     computed from, and no page. Low is what a model picked, or what is less than certain.
     """
-    there = figures.where("value IS NOT NULL").withColumn("_computed", F.col("extraction").isNull())
+    there = figures.where("value IS NOT NULL").withColumn("_computed", is_computed(F.col("refs")))
     there = there.withColumn("ref_id", F.when(~F.col("_computed"), F.get("refs", F.lit(0))))
     named = there.join(rows.select("document_id", "ref_id", F.col("label").alias("_label")).dropDuplicates(["document_id", "ref_id"]), ["document_id", "ref_id"], "left")
     source = F.when(F.col("_computed"), F.concat(F.lit("derived from "), F.array_join(F.transform("refs", lambda r: F.replace(r, F.lit("_"), F.lit(" "))), ", "))).otherwise(F.coalesce("_label", F.lit("")))
@@ -42,7 +47,7 @@ def value_rows(figures: DataFrame, rows: DataFrame) -> DataFrame:
     return named.select(
         "document_id", spoken(F.col("concept")).alias("concept"), F.col("end_year").alias("period"), money_text(F.col("value"), F.coalesce("currency", F.lit("")), F.lit(1), F.lit("")).alias("value"),
         F.coalesce(F.nullif(F.regexp_extract(F.coalesce("ref_id", F.lit("")), r"^page_([0-9]+)_", 1), F.lit("")), F.lit("")).alias("page"), source.alias("source_row"),
-        F.coalesce(F.replace("extraction", F.lit("_"), F.lit(" ")), F.lit("derived")).alias("how_found"), F.coalesce("ref_id", F.lit("")).alias("ref_id"), F.when(low, "low").otherwise("ok").alias("status"),
+        F.when(F.col("_computed"), "derived").otherwise(F.replace("extraction", F.lit("_"), F.lit(" "))).alias("how_found"), F.coalesce("ref_id", F.lit("")).alias("ref_id"), F.when(low, "low").otherwise("ok").alias("status"),
     )
 
 
@@ -68,7 +73,7 @@ def provenance(wanted: DataFrame, figures: DataFrame, cells: DataFrame, rows: Da
 
     Of several figures of a row the first by concept and newest period is told. Only figures read from cells have a place.
     """
-    mine = figures.where("value IS NOT NULL AND extraction IS NOT NULL").select("document_id", F.get("refs", F.lit(0)).alias("ref_id"), "concept", "end_year", "value", "currency")
+    mine = figures.where(F.col("value").isNotNull() & ~is_computed(F.col("refs"))).select("document_id", F.get("refs", F.lit(0)).alias("ref_id"), "concept", "end_year", "value", "currency")
     first = mine.groupBy("document_id", "ref_id").agg(F.min_by(F.struct("concept", "end_year", "value", "currency"), F.struct("concept", -F.col("end_year"))).alias("f"))
     held = cells.select("document_id", "ref_id", "end_year", "col", F.col("token").alias("raw_text"), "scale", "dash_zero")
     out = wanted.join(first, ["document_id", "ref_id"]).select("document_id", "ref_id", "f.*").join(held, ["document_id", "ref_id", "end_year"], "left")

@@ -1,6 +1,6 @@
 """All queries of the statement engine and their SQL."""
 
-from statera.plans import statement_queries, text_queries
+from statera.plans import report_queries, statement_queries, text_queries
 
-QUERIES = {**statement_queries.QUERIES, **text_queries.QUERIES}
-ORACLE = {**statement_queries.ORACLE, **text_queries.ORACLE}
+QUERIES = {**statement_queries.QUERIES, **text_queries.QUERIES, **report_queries.QUERIES}
+ORACLE = {**statement_queries.ORACLE, **text_queries.ORACLE, **report_queries.ORACLE}

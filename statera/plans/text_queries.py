@@ -316,7 +316,7 @@ _ANSWERS = [
     '{"source_row_id": "r1", "confidence": "high", "reasoning": "label"}', '{"source_row_id": null, "confidence": "low", "reasoning": ""}', '{"source_row_id": 12}',
     '{"source_row_id": "r99"}', "not json", '{"source_row_id": "r1", "source_row_id": "r2"}', '["r1"]', '{"source_row_id": "r2", "value": "3"}', '{"confidence": "high"}', '{"source_row_id": "1,200"}',
 ]
-_STATUS = ["accepted", "declined", "not text", "unknown row", "not JSON", "not JSON", "not an object", "unexpected field", "no row", "number"]
+_STATUS = ["accepted", "declined", "number", "unknown row", "not JSON", "not JSON", "not an object", "unexpected field", "no row", "unknown row"]
 
 
 def answer_gate(spark: SparkSession, d: str) -> DataFrame:
