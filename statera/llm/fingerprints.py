@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import buckets_for, shuffle_width
+from statera.llm.common import buckets_for, lean, shuffle_width
 
 GRAM, WINDOW = 16, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -27,11 +27,11 @@ RANGE_ROWS, MOST_RANGES = 2_000, 4_096
 
 def _spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return h ^ (h >> np.uint64(32))
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """32-bit hashes of all k-grams; blocks double, so that a gram takes log k steps."""
+    """64-bit hashes of all k-grams; blocks double, so that a gram takes log k steps."""
     n = len(codes)
     out, power, done = None, None, 0
     block, block_power, length = codes.astype(np.uint64) + np.uint64(1), _BASE, 1
@@ -57,7 +57,7 @@ def winnow(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.nd
     """Positions and hashes kept. Text shorter than k is one gram; fewer than w hashes are one window; empty text has none."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = gram_hashes(codes, min(k, len(codes)))
     n, w = len(hashes), min(w, len(hashes))
     at, length = np.arange(n), 1
@@ -85,12 +85,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def encode(hashes: np.ndarray) -> str:
-    return base64.b64encode(hashes.astype("<u4").tobytes()).decode()
+def encode(x: np.ndarray, kind: str = "<u8") -> str:
+    return base64.b64encode(x.astype(kind).tobytes()).decode()
+
+
+def decode(x: str, kind: str = "<u8") -> np.ndarray:
+    return np.frombuffer(base64.b64decode(x), kind)
 
 
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, prints (array of position and hash) of every whole text; null text counts as empty."""
+    """doc_id, n_chars, prints (array of position and hash, 64 bits) of every whole text; null text counts as empty, repeated
+    rows give equal rows, a text shorter than k is one gram, no rows give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,11 +103,11 @@ def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": b.doc_id,
                 "n_chars": b.text.str.len(),
-                "prints": [[{"pos": int(p), "hash": int(h)} for p, h in zip(*f, strict=True)] for f in found],
+                "prints": [[{"pos": int(p), "hash": int(h)} for p, h in zip(f[0], f[1].view(np.int64), strict=True)] for f in found],
             })
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_chars long, prints array<struct<pos: long, hash: long>>")
+    return rows.mapInPandas(lean(run), "doc_id long, n_chars long, prints array<struct<pos: long, hash: long>>")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -142,7 +147,8 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
 
     The edited text is the text whose last half (rounded down) is replaced by the first as many code points, or
     all, of the next document by ascending id; the last document is followed by the first. Null text is empty;
-    repeated ids are ordered by text; a single document follows itself; no rows give no rows.
+    repeated ids are ordered by text; a single document follows itself; no rows give no rows. Fingerprints are the kept
+    hashes (64 bits) in order, ``positions`` where each was kept (32 bits), both base64: they decode to what ``winnow`` gives.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,28 +156,28 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
         for b in batches:
             out = []
             for span, head, doc, text in zip(b["_range"], b["_head"], b["doc_id"], b["text"], strict=True):
-                _, kept = winnow(text, k, w)
-                now = (span, doc, text, kept, np.unique(kept))
+                at, kept = winnow(text, k, w)
+                now = (span, doc, text, kept, np.unique(kept), at)
                 if held is not None and held[0] == span:
                     out.append(_against(held, now, k, w))
                 held = None if head else now
             yield pd.DataFrame(out, columns=list(_OUT)).astype({"doc_id": "Int64"})
 
     rows = with_next(docs).select("_range", "_head", "doc_id", "text")
-    return rows.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in _OUT.items()))
+    return rows.mapInPandas(lean(run), ", ".join(f"{c} {t}" for c, t in _OUT.items()))
 
 
 _OUT = {
     "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
-    "near_edited": "double", "near_next": "double", "n_prints": "long",
+    "near_edited": "double", "near_next": "double", "n_prints": "long", "positions": "string",
 }
 
 
 def _against(own: tuple, following: tuple, k: int, w: int) -> tuple:
-    _, doc, text, kept, distinct = own
+    _, doc, text, kept, distinct, at = own
     half = len(text) // 2
     edited = text[: len(text) - half] + following[2][:half]
     _, edited_kept = winnow(edited, k, w)
     digest = hashlib.sha256(edited.encode()).hexdigest()
     near = likeness(distinct, np.unique(edited_kept)), likeness(distinct, following[4])
-    return None if pd.isna(doc) else int(doc), len(text), digest, encode(kept), encode(edited_kept), *near, len(kept)
+    return None if pd.isna(doc) else int(doc), len(text), digest, encode(kept), encode(edited_kept), *near, len(kept), encode(at, "<u4")

@@ -49,9 +49,42 @@ def test_next_documents(spark, odd_docs, monkeypatch):
     for i, (doc, text) in enumerate(rows):
         half, after = len(text) // 2, rows[(i + 1) % len(rows)][1]
         edited = text[: len(text) - half] + after[:half]
-        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), base64.b64encode(fp.winnow(edited)[1].astype("<u4").tobytes()).decode()))
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), base64.b64encode(fp.winnow(edited)[1].astype("<u8").tobytes()).decode()))
     assert [(r.doc_id, r.n_chars, r.edited_sha256, r.edited_fingerprint) for r in got] == sorted(want, key=lambda r: (r[0], r[2]))
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     one = fp.edited_fingerprints(odd_docs.where("doc_id = 5")).collect()
     assert one[0].near_next == 1.0 and fp.edited_fingerprints(odd_docs.limit(0)).count() == 0
     assert fp.fingerprints(odd_docs).count() == 10
+
+
+def brute_winnow(text, k, w):
+    """Kept places by their definition: of each window of w grams the rightmost least hash."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    k = min(k, len(codes))
+    hashes = [int(fp.gram_hashes(codes[i : i + k], k)[0]) for i in range(len(codes) - k + 1)] if len(codes) else []
+    w = min(w, len(hashes))
+    return sorted({max(i for i in range(s, s + w) if hashes[i] == min(hashes[s : s + w])) for s in range(len(hashes) - w + 1)}) if hashes else [], hashes
+
+
+def test_result_against_its_definition(spark):
+    """Fingerprints, positions and likeness of the query's rows from the definition alone."""
+    texts = ["", "a", "the quick brown fox jumps over the lazy dog " * 4, "aaaa" * 30, "été à la mer " * 9, "the quick brown fox jumps over a lazy cat " * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in fp.edited_fingerprints(docs).collect()}
+
+    def kept(text):
+        at, hashes = brute_winnow(text, fp.GRAM, fp.WINDOW)
+        return at, [hashes[i] for i in at]
+
+    def alike(a, b):
+        a, b = set(a), set(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        (at, own), r = kept(text), rows[i]
+        assert fp.decode(r.fingerprint).tolist() == own and fp.decode(r.positions, "<u4").tolist() == at
+        assert fp.decode(r.edited_fingerprint).tolist() == kept(edited)[1]
+        assert r.near_edited == alike(own, kept(edited)[1]) and r.near_next == alike(own, kept(following)[1])
