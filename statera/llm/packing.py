@@ -9,7 +9,7 @@ but the last one are full, and no source is ever a whole token off its proportio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,30 @@ _SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip((b for b in range(256) if b not in _SAME), range(256, 512), strict=False))
 
 
+class _Known(dict):
+    """Token ids of words as bytes; a word is encoded when it is first looked up."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1] in ".," and word[:-1].isalpha():  # a word of letters and one stop are two tokens' texts
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and word.isalpha() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts as bytes. The tokenizer drops white space and never joins what stands on two sides of
-    it, so a text's ids are those of its space-separated parts in order; parts seen before are looked up."""
+    it, so a text's ids are those of its space-separated parts in order; parts seen before are looked up. Where a probe
+    shows that a tokenizer is not of that kind, texts are encoded whole."""
+
+    PROBE = "The Zebra, quux. Été\nx 12-3 (y)  Öl ñandú, naïve"
 
     def __init__(self, path: str) -> None:
         import os
@@ -41,42 +62,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = id_kind(self.tokenizer.get_vocab_size())
-        self.known: dict[str, bytes] = {"": b""}
         # letters up to U+024F are one piece each to the model once lower-cased and mapped to the byte alphabet, if the
         # tokenizer is of that kind: probes tell
         self.direct = all(self._piece(w) == self._ids([w])[0] for w in ("the", "Zebra", "quux", "été", "Öl", "ñandú", "straße"))
+        self.known = _Known(self._word)
+        self.parted = b"".join(map(self.known.__getitem__, self._parts(self.PROBE))) == self._ids([self.PROBE])[0]
 
     def _ids(self, some: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _piece(self, word: str) -> bytes:
-        found = self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTES))
-        return np.array([x.id for x in found], self.kind).tobytes()
+        low = word.lower()
+        found = self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES))
+        return b"".join([x.id.to_bytes(int(self.kind[-1]), "little") for x in found])
+
+    def _word(self, word: str) -> bytes:
+        if self.direct and word.isalpha() and max(word) < "\u0250" and "İ" not in word:
+            return self._piece(word)
+        return self._ids([word])[0]
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*parts).difference(self.known)
-        if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known = {"": b""}
-            fresh = set().union(*parts) - {""}
-        whole = {}  # a word of letters and one stop are two tokens' texts; ASCII letters may be lower-cased here already
-        for word in fresh:
-            stop = word[-1] if word[-1] in ".," and word[:-1].isalpha() else ""
-            stem = word[: len(word) - len(stop)]
-            whole[word] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, stop)
-        todo = {x for pair in whole.values() for x in pair}.difference(self.known)
-        other = []
-        for word in todo:
-            if self.direct and word.isalpha() and max(word) < "\u0250" and "İ" not in word:
-                self.known[word] = self._piece(word)
-            else:
-                other.append(word)
-        for i in range(0, len(other), 10_000):
-            self.known.update(zip(other[i : i + 10_000], self._ids(other[i : i + 10_000]), strict=True))
-        for word, (stem, stop) in whole.items():
-            self.known[word] = self.known[stem] + self.known[stop]
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if not self.parted:
+            return self._ids(texts)
+        if len(self.known) > KNOWN_WORDS:
+            self.known = _Known(self._word)
+        look = self.known.__getitem__
+        return [b"".join(map(look, self._parts(t))) for t in texts]
 
 
 def id_kind(vocabulary: int) -> str:
