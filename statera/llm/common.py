@@ -29,7 +29,9 @@ def lean(run: Callable[[Iterator], Iterator], name: str | None = None) -> Callab
     operators in turn: before, caches of others are emptied; after, memory that is free goes back to the system."""
 
     def task(parts: Iterator) -> Iterator:
-        for other, clear in _CACHES.items():
+        from statera.llm import common  # the worker's own module: what this function carries along would be a copy
+
+        for other, clear in common._CACHES.items():
             if other != name:
                 clear()
         try:
