@@ -25,7 +25,7 @@ def test_cells(spark):
 
 
 def test_scales_and_currencies(spark):
-    assert column(spark, ["in crores", "Lacs", "millions", "$ bn", "'000", "none", "crore of millions"], t.detect_scale) == ["crore", "lakh", "million", "billion", None, None, "crore"]
+    assert column(spark, ["in crores", "Lacs", "millions", "$ bn", "'000", "none", "crore of millions"], t.detect_scale) == ["crore", "lakh", "million", "billion", "thousand", None, "crore"]
     assert column(spark, ["₹ in lakhs", "Rs. crore", "US dollars", "$", "euro"], t.detect_currency) == ["INR", "INR", "USD", "USD", None]
 
 
