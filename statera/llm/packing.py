@@ -1,10 +1,11 @@
 """Operator 4: mixture-controlled packing.
 
 Each source is a queue of tokens. A window of ``length`` tokens serves every queue by deficit round robin: a queue's
-quantum is its share of all tokens, what it is owed or has been given ahead is carried to the next window. The state
-after any number of windows has a closed form (the tokens due first, ties to the earlier queue), so each task derives
-the deficits at its own place and no state passes from partition to partition: they are carried exactly, all windows
-but the last one are full, and no source is ever a whole token off its proportion by more than the rounding of others.
+quantum is its target share of the window, what it is owed or has been given ahead is carried to the next window; a queue
+that runs out leaves its share to the others by their weights. The state after any number of windows has a closed form
+(the tokens due first, ties to the earlier queue), so each task derives the deficits at its own place and no state passes
+from partition to partition: they are carried exactly, all windows but the last one are full, and no source is ever a
+whole token off its target by more than the rounding of others.
 """
 
 from __future__ import annotations
@@ -127,40 +128,60 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def served(totals: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
+def pace(totals: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """When queues run out if all are served by their weights at once: tokens gone from all queues, and rounds, from 0."""
+    ends = totals / weights
+    order = np.argsort(ends, kind="stable")
+    left = np.append(np.cumsum(weights[order][::-1])[::-1][1:], 0)
+    return np.append(0, np.cumsum(totals[order]) + ends[order] * left), np.append(0, ends[order])
+
+
+def served(totals: np.ndarray, first: int, last: int, length: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Tokens of each queue gone after ``first`` to ``last`` windows, a row for each number of windows.
 
-    Token i of a queue of T is due at (i + 1/2) / T of the whole; after g tokens those due first are gone.
+    Token i of a queue of weight w is due in round (i + 1/2) / w; after g tokens those due first are gone. Weights are
+    the queues' totals if none are given.
     """
+    weights = totals if weights is None else weights
     every = int(totals.sum())
     gone = np.minimum(np.arange(first, last + 1, dtype=np.int64) * length, every)
-    q = np.minimum(np.floor(gone[:, None] * (totals / every) + 0.5).astype(np.int64), totals)
+    rounds = np.interp(gone, *pace(totals, weights)) * (1 - 1e-12)  # tokens due in this very round are left to the order of queues
+    q = np.minimum(np.floor(rounds[:, None] * weights + 0.5).astype(np.int64), totals)
     owed = gone - q.sum(axis=1)
     while len(rows := np.flatnonzero(owed > 0)):
-        due = np.where(q[rows] < totals, (2 * q[rows] + 1) / (2 * totals), np.inf)
+        due = np.where(q[rows] < totals, (2 * q[rows] + 1) / (2 * weights), np.inf)
         q[rows, due.argmin(axis=1)] += 1
         owed[rows] -= 1
     while len(rows := np.flatnonzero(owed < 0)):
-        due = np.where(q[rows] > 0, (2 * q[rows] - 1) / (2 * totals), -np.inf)
+        due = np.where(q[rows] > 0, (2 * q[rows] - 1) / (2 * weights), -np.inf)
         q[rows, len(totals) - 1 - due[:, ::-1].argmax(axis=1)] -= 1
         owed[rows] += 1
     return q
 
 
-def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, length: int) -> dict[str, np.ndarray]:
+def deficits(totals: np.ndarray, windows: int, length: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """What each queue is owed after so many windows (below 0: what it has been given ahead) and carries to the next one."""
+    weights = totals if weights is None else weights
+    rounds = np.interp(min(windows * length, int(totals.sum())), *pace(totals, weights))
+    return np.minimum(rounds * weights, totals) - served(totals, windows, windows, length, weights)[0]
+
+
+def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, length: int, weights: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Pieces of documents that stand at ``start`` of a queue: row, start, end, window and place in it.
 
     When a token is due, each queue has been served its share to half a token, all of them to half their number: so many
     tokens, in windows, a token may stand before or behind the plain pace.
     """
-    every, total = int(totals.sum()), int(totals[queue])
-    pace, reach = every / (total * length), -(-len(totals) // (2 * length)) + 1
-    low = max(0, int(start.min() * pace) - 2 - reach)
-    high = min(-(-every // length), int((start + size).max() * pace) + 3 + reach)
+    weighed = () if weights is None else (weights,)
+    every, reach = int(totals.sum()), -(-len(totals) // (2 * length)) + 1
+    gone, rounds = pace(totals, totals if weights is None else weights)
+    at = lambda place: float(np.interp(place / (totals if weights is None else weights)[queue], rounds, gone)) / length
+    low = max(0, int(at(start.min())) - 2 - reach)
+    high = min(-(-every // length), int(at((start + size).max())) + 3 + reach)
     step, out = max(1, CELLS // len(totals)), []
     for a in range(low, high, step):
         b = min(high, a + step)
-        q = served(totals, a, b, length)
+        q = served(totals, a, b, length, *weighed)
         edges = q[:, queue]
         lead = np.diff(q[:, :queue], axis=0).sum(axis=1)
         rows = np.flatnonzero((start < edges[-1]) & (start + size > edges[0]))
@@ -183,8 +204,12 @@ def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, len
     return found
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """All documents cut into sequences of ``length`` tokens, each holding the sources in the corpus's own proportions.
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """All documents cut into sequences of ``length`` tokens, each holding the sources in their target proportions.
+
+    ``weights`` gives every source its part of each sequence (any positive numbers; a source without one is an error); a
+    source that runs out leaves its part to the others. Without weights the proportions are the corpus's own, which no
+    source runs out of before the last sequence.
 
     Returns per piece: doc_id, source, start, length, ids (unsigned little-endian 32 bits), doc_tokens, sequence_id,
     offset. Only the last sequence is shorter (to be padded). A null source is a source, null text an empty document
@@ -196,6 +221,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
         raise ValueError(f"{len(rows)} sources; packing takes {MOST_SOURCES}")
     rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
     totals = np.array([r[1] for r in rows], np.int64)
+    if weights is not None and (odd := [r[0] for r in rows if not 0 < weights.get(r[0], 0) < float("inf")]):
+        raise ValueError(f"no positive weight for sources {odd[:10]}")
+    parts = None if weights is None else np.array([weights[r[0]] for r in rows], float)
     names = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "_queue int, _name string")
     n = buckets_for(sum(r[2] for r in rows), BUCKET_ROWS)
     placed = tokens.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
@@ -206,7 +234,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
         kind = encoder(path).kind
         for batch in batches:
             for queue, b in batch.groupby("_queue", sort=False):
-                p = cut(b["_start"].to_numpy(np.int64), b["n_tokens"].to_numpy(np.int64), int(queue), totals, length)
+                p = cut(b["_start"].to_numpy(np.int64), b["n_tokens"].to_numpy(np.int64), int(queue), totals, length, parts)
                 texts, row = [np.frombuffer(x, kind).astype("<u4") for x in b["ids"]], p["row"]
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"].to_numpy()[row],
