@@ -1,8 +1,9 @@
 """Operator 1: nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt into blocks; each pair of blocks is one tile. A tile multiplies int8 codes, which gives
-every distance with an error bound from the two vectors' exact quantisation errors. Pairs that could still be among a
-query's nearest are recomputed in double precision, and the tiles' lists of a query are merged by heaps.
+Every vector is quantised once to int8 codes, a scale and the exact length of what it lost. Queries and candidates are
+dealt into blocks; each pair of blocks is one tile, which gets codes alone and multiplies them: that gives every distance
+with an error bound. Pairs that could still be among a query's nearest fetch their vectors, are recomputed in double
+precision, and are merged by heaps.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from statera.llm.common import buckets_for, stored
-
-K, QUERY_BLOCK, CANDIDATE_BLOCK, FAN_IN = 10, 1_024, 4_096, 256
+from statera.llm.common import buckets_for, lean, stored
 
+K, QUERY_BLOCK, CANDIDATE_BLOCK = 10, 2_048, 4_096
+#: Queries of a tile that are multiplied at a time; queries whose heaps a task keeps before it hands them on.
+STRIP, HEAPS = 256, 10_000
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows with an id and a vector that is neither zero nor holds a null or non-finite component, as doubles."""
@@ -35,27 +38,67 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """Each query's k nearest of a block: (query, candidate, distance)."""
-    (qc, qs, qe), (cc, cs, ce) = quantised(q), quantised(c)
+def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with codes, scale and lost beside the vector; vectors may differ in length."""
+    for b in batches:
+        parts = []
+        for _, same in b.groupby(b["v"].map(len), sort=False):
+            codes, scale, lost = quantised(np.stack(same["v"]))
+            parts.append(same.assign(codes=[x.tobytes() for x in codes], scale=scale, lost=lost))
+        yield pd.concat(parts) if parts else b.assign(codes=[], scale=[], lost=[])
+
+
+def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances between two lists of (codes, scale, lost)."""
+    (qc, qs, qe), (cc, cs, ce) = q, c
     # products of int8 codes are whole numbers below 2**24 up to 1,040 dimensions, exact in single precision
-    kind = np.float32 if q.shape[1] <= 1_040 else np.float64
+    kind = np.float32 if qc.shape[1] <= 1_040 else np.float64
     product = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64)
     norm = lambda x, s: (x.astype(np.float64) ** 2).sum(axis=1) * s**2
-    about = np.sqrt(np.maximum(norm(qc, qs)[:, None] + norm(cc, cs)[None, :] - 2 * np.outer(qs, cs) * product, 0))
-    slack = (qe[:, None] + ce[None, :]) * (1 + 1e-9) + 1e-9 * (1 + about)
-    low, high = about - slack, about + slack
-    same = q_ids[:, None] == c_ids[None, :]
-    high[same], low[same] = np.inf, np.inf
-    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(q), np.inf)
-    for i in range(len(q)):
-        left = np.flatnonzero((low[i] <= limit[i]) & ~same[i])
-        total = np.zeros(len(left))
-        for d in range(q.shape[1]):  # one order of additions, whatever the block
-            total += (q[i, d] - c[left, d]) ** 2
-        score = np.sqrt(total)
-        for s, v in heapq.nsmallest(k, zip(score.tolist(), c_ids[left].tolist(), strict=True)):
-            yield int(q_ids[i]), v, s
+    both = norm(qc, qs)[:, None] + norm(cc, cs)[None, :]
+    square, rounding = both - 2 * np.outer(qs, cs) * product, 1e-12 * both  # whole numbers are exact, their scaling is not
+    lost = (qe[:, None] + ce[None, :]) * (1 + 1e-9)
+    return np.sqrt(np.maximum(square - rounding, 0)) * (1 - 1e-12) - lost, np.sqrt(np.maximum(square + rounding, 0)) * (1 + 1e-12) + lost
+
+
+def _codes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(b["codes"]), np.int8).reshape(len(b), -1), b["scale"].to_numpy(), b["lost"].to_numpy()
+
+
+def tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """q_row, c_row, low, high of the pairs that may be among a query's k nearest of the block."""
+    cut: list[tuple] = []
+    if len(q) and len(c):
+        (qc, qs, qe), block = _codes(q), _codes(c)
+        q_ids, q_rows, c_ids, c_rows = q["vec_id"].to_numpy(), q["row"].to_numpy(), c["vec_id"].to_numpy(), c["row"].to_numpy()
+        for at in range(0, len(q), STRIP):
+            part = slice(at, at + STRIP)
+            low, high = bounds((qc[part], qs[part], qe[part]), block)
+            same = q_ids[part][:, None] == c_ids[None, :]
+            high[same] = np.inf
+            limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(c) > k else np.full(len(high), np.inf)
+            i, j = np.nonzero((low <= limit[:, None]) & ~same)
+            cut.append((q_rows[part][i], c_rows[j], low[i, j], high[i, j]))
+    columns = [np.concatenate(x) for x in zip(*cut, strict=True)] if cut else [[]] * 4
+    return pd.DataFrame(dict(zip(("q_row", "c_row", "low", "high"), columns, strict=True)))
+
+
+def heaps(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k nearest distinct (score, vec_id) that the task sees of each query; a query may come out in several lists."""
+    kept: dict[int, list[tuple[float, int]]] = {}
+
+    def lists() -> pd.DataFrame:
+        rows = [(q, v, s) for q, found in kept.items() for s, v in heapq.nsmallest(k, found)]
+        kept.clear()
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+
+    for b in batches:
+        for q, rows in b.groupby("query_id", sort=False):
+            found = set(kept.get(q, ())) | set(zip(rows["score"].tolist(), rows["vec_id"].tolist(), strict=True))
+            kept[q] = heapq.nsmallest(k, found)
+        if len(kept) > HEAPS:
+            yield lists()
+    yield lists()
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -63,40 +106,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     ``is_query`` selects queries among the rows; all rows but the query's own id are candidates, fewer than k if there are
     fewer. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-    rows that repeat an id and its vector count once; no rows give no rows.
+    rows that repeat an id and its vector count once; no rows give no rows. Of rows with equal vectors the k + 1 smallest
+    ids are candidates: no query can rank another one of them, so copies fill no lists.
     """
     # repeats go before blocks are dealt, so that they take no place in a tile's lists
-    rows = stored(usable(vectors).dropDuplicates(["vec_id", "v"]).withColumn("_size", F.size("v")), "vectors")
-    sizes = rows.groupBy("_size").count().orderBy(F.desc("count"), "_size").limit(1).collect()
-    rows = rows.where(F.col("_size") == (sizes[0][0] if sizes else 0)).drop("_size")
-    queries = rows.where(is_query)
-    n_q, n_c = buckets_for(queries.count(), QUERY_BLOCK), buckets_for(rows.count(), CANDIDATE_BLOCK)
-    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    once = usable(vectors).dropDuplicates(["vec_id", "v"])
+    least = once.withColumn("_nth", copies).where(F.col("_nth") <= k + 1).select("vec_id", "v", F.lit(True).alias("candidate"))
+    rest = once.where(is_query).select("vec_id", "v", F.lit(False).alias("candidate"))
+    kind = "vec_id long, v array<double>, candidate boolean, codes binary, scale double, lost double"
+    rows = least.unionByName(rest).mapInPandas(lean(coded), kind)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("_size", F.size("v")), "vectors")
+    sizes = rows.where("candidate").groupBy("_size").count().orderBy(F.desc("count"), "_size").limit(1).collect()
+    rows = rows.where(F.col("_size") == (sizes[0][0] if sizes else 0))
+    queries, candidates = rows.where("NOT candidate"), rows.where("candidate")
+    n_q, n_c = buckets_for(queries.count(), QUERY_BLOCK), buckets_for(candidates.count(), CANDIDATE_BLOCK)
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("q_block", dealt(n_q)).withColumn("c_block", spread(n_c)).select("q_block", "c_block", "vec_id", "v")
-    c = rows.withColumn("c_block", dealt(n_c)).withColumn("q_block", spread(n_q)).select("q_block", "c_block", F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found: list = []
-        if len(a) and len(b):
-            found = list(tile(a["vec_id"].to_numpy(), np.stack(a["v"]), b["c_id"].to_numpy(), np.stack(b["c_v"]), k))
-        at = b["c_block"].iloc[0] if len(b) else 0
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).assign(c_block=int(at))
-
-    kind = "query_id long, vec_id long, score double, c_block int"
-    found = q.groupBy("q_block", "c_block").cogroup(c.groupBy("q_block", "c_block")).applyInPandas(run, kind)
-
-    def merge(b: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, set(zip(b["score"].tolist(), b["vec_id"].tolist(), strict=True)))
-        return pd.DataFrame({"query_id": b["query_id"].iloc[0], "vec_id": [v for _, v in best], "score": [s for s, _ in best], "c_block": b["c_block"].iloc[0] // FAN_IN})
-
-    groups = n_c
-    while groups > 1:
-        found = found.groupBy("query_id", F.floor(F.col("c_block") / FAN_IN)).applyInPandas(merge, kind)
-        groups = buckets_for(groups, FAN_IN)
+    codes = ["row", "vec_id", "codes", "scale", "lost"]
+    q = queries.select(*codes, dealt(n_q).alias("q_block"), spread(n_c).alias("c_block"))
+    c = candidates.select(*codes, dealt(n_c).alias("c_block"), spread(n_q).alias("q_block"))
+    tiles = q.groupBy("q_block", "c_block").cogroup(c.groupBy("q_block", "c_block"))
+    found = stored(tiles.applyInPandas(lambda a, b: tile(a, b, k), "q_row long, c_row long, low double, high double"), "tiles")
+
+    nth = F.row_number().over(Window.partitionBy("q_row").orderBy("high"))
+    limits = found.select("q_row", "high").withColumn("_nth", nth).where(F.col("_nth") <= k).groupBy("q_row").agg(F.max("high").alias("limit"))
+    left = found.join(limits, "q_row").where("low <= limit").select("q_row", "c_row")
+    left = left.join(candidates.select(F.col("row").alias("c_row"), "vec_id", F.col("v").alias("c_v")), "c_row")
+    left = left.join(queries.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), "v"), "q_row")
+    # one order of additions, whatever the block
+    total = F.aggregate(F.zip_with("v", "c_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    kind = "query_id long, vec_id long, score double"
+    merged = left.select("query_id", "vec_id", F.sqrt(total).alias("score")).mapInPandas(lean(lambda batches: heaps(batches, k)), kind)
 
     def ranked(b: pd.DataFrame) -> pd.DataFrame:
-        best = sorted(set(zip(b["score"].tolist(), b["vec_id"].tolist(), strict=True)))[:k]
+        best = heapq.nsmallest(k, set(zip(b["score"].tolist(), b["vec_id"].tolist(), strict=True)))
         return pd.DataFrame({"query_id": b["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [v for _, v in best], "score": [s for s, _ in best]})
 
-    return found.groupBy("query_id").applyInPandas(ranked, "query_id long, rank int, vec_id long, score double")
+    return merged.groupBy("query_id").applyInPandas(ranked, "query_id long, rank int, vec_id long, score double")

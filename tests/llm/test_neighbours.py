@@ -20,7 +20,7 @@ def got(df):
 def test_odd_vectors_and_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 50)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
-    monkeypatch.setattr(neighbours, "FAN_IN", 3)
+    monkeypatch.setattr(neighbours, "HEAPS", 1)
     rng = np.random.default_rng(3)
     rows = [(int(i), rng.normal(size=6).astype(np.float32).tolist()) for i in range(600)]
     rows += [(900 + i, rows[100][1]) for i in range(30)]  # ties

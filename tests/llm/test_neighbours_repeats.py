@@ -9,7 +9,7 @@ from .test_neighbours import brute, got
 def test_repeated_queries_and_near_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 50)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
-    monkeypatch.setattr(neighbours, "FAN_IN", 3)
+    monkeypatch.setattr(neighbours, "HEAPS", 1)
     rng = np.random.default_rng(5)
     rows = [(int(i), rng.normal(size=6).astype(np.float32).tolist()) for i in range(400)]
     near = (1001, [x + 0.001 for x in rows[100][1]])  # nearest of query 100, in a tile's list as often as it stands
