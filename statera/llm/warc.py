@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import new_folder, stored
+from statera.llm.common import new_folder, running_start, stored
 
 MAGIC, CRLF = "WARC/1.0\r\n", "\r\n"
 #: Payloads of at least so many bytes are stored once; bytes of an archive whose chain one task follows; rows that are
@@ -68,9 +68,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between version lines: file, block and nth (which order the chunks of a file), value."""
+    """What stands between version lines: file, block and nth (which order a file's chunks), mark (what tells chunks of a file
+    apart unless they are equal), value. Block and nth depend on how files are split, so they hold for one scan only."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    return text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"),
+        F.xxhash64("value").alias("mark"), "value",
+    )
 
 
 def _field(head: Column, name: str, value: str = "([^\r\n]*)") -> Column:
@@ -88,12 +92,12 @@ def _payload(raw: Column, head_bytes: Column, length: Column) -> Column:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every chunk with its offset; those that could be records with fields, successor and the digest of a payload that they hold whole."""
     head = F.substring_index("value", CRLF + CRLF, 1)
-    rows = chunks(spark, path).select("file", "block", "nth", "value", F.octet_length("value").cast("long").alias("bytes"), head.alias("head"))
+    rows = chunks(spark, path).select("file", "block", "nth", "mark", "value", F.octet_length("value").cast("long").alias("bytes"), head.alias("head"))
     rows = rows.withColumn("head_bytes", F.octet_length("head")).withColumn("length", _field(F.col("head"), "Content-Length", r"(\d{1,10})\r?(?:\n|$)").try_cast("int"))
     whole = F.col("bytes") == F.col("head_bytes") + 8 + F.col("length")
     payload = _payload(F.col("value").cast("binary"), F.col("head_bytes"), F.col("length"))
     return rows.select(
-        "file", "block", "nth", "bytes", "head_bytes", "length",
+        "file", "block", "nth", "mark", "bytes", "head_bytes", "length",
         _field(F.col("head"), "WARC-Type").alias("type"),
         _field(F.col("head"), "WARC-Record-ID", r"<urn:page:(-?\d+)>").try_cast("long").alias("page_id"),
         _field(F.col("head"), "WARC-Refers-To", r"<urn:page:(-?\d+)>").try_cast("long").alias("refers_to"),
@@ -104,10 +108,12 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _offsets(rows: DataFrame) -> DataFrame:
-    """start of the version line before each chunk (below 0 for what stands before the first), next: the offset behind its record."""
-    before = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
-    rows = rows.withColumn("start", start)
+    """start of the version line before each chunk (below 0 for what stands before the first), next: the offset behind its record.
+
+    A task adds up one split of an archive; the splits' sums give each its start.
+    """
+    rows = running_start(rows.withColumn("_span", F.col("bytes") + len(MAGIC)), "file", "block", [F.col("nth")], "_span", "_before")
+    rows = rows.withColumn("start", F.col("_before") - len(MAGIC)).drop("block", "nth", "_span", "_before")
     return rows.withColumn("next", F.col("start") + len(MAGIC) + F.col("head_bytes") + 8 + F.col("length"))
 
 
@@ -140,7 +146,7 @@ def leaves(start: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """Of chunks with start and next, those that the chain from offset 0 of their file reaches.
+    """file and start of the chunks (rows with start and next) that the chain from offset 0 of their file reaches.
 
     Segments of an archive are followed by one task each; where files have several, the places at which chains enter
     segments are joined with where they leave them, doubling the distance each round.
@@ -155,8 +161,7 @@ def records(rows: DataFrame) -> DataFrame:
         keep = reached(b["start"].to_numpy(np.int64), b["next"].to_numpy(np.int64), int(b["entry"].iloc[0]))
         return b.loc[keep, ["file", "start"]]
 
-    true = spots.join(entries, ["file", "segment"]).groupBy("file", "segment").applyInPandas(within, "file string, start long")
-    return rows.join(true, ["file", "start"], "left_semi")
+    return spots.join(entries, ["file", "segment"]).groupBy("file", "segment").applyInPandas(within, "file string, start long")
 
 
 def _entries(spots: DataFrame) -> DataFrame:
@@ -180,17 +185,35 @@ def _entries(spots: DataFrame) -> DataFrame:
     return found.groupBy("file", "segment").agg(F.min("start").alias("entry"))
 
 
+def owned(rows: DataFrame, true: DataFrame) -> DataFrame:
+    """Add ``owner``: the last true start up to each chunk, whose record the chunk is part of (null before the first).
+
+    A task follows one segment of an archive; what reaches into a segment comes from the segments' last starts.
+    """
+    marked = rows.join(true.withColumn("_true", F.col("start")), ["file", "start"], "left").withColumn("_segment", F.floor(F.col("start") / SEGMENT))
+    earlier = Window.partitionBy("file").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    last = marked.groupBy("file", "_segment").agg(F.max("_true").alias("_last")).withColumn("_carried", F.max("_last").over(earlier)).drop("_last")
+    within = Window.partitionBy("file", "_segment").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_within", F.max("_true").over(within)).join(last, ["file", "_segment"])
+    return marked.withColumn("owner", F.coalesce("_within", "_carried")).drop("_true", "_segment", "_within", "_carried")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, file, offset, payload_bytes, payload_digest of every true record.
 
     Digest and size are of the payload read, a revisit's of the response that it names by digest (null if there is none).
+    A payload that holds version lines is put together from its chunks, which a second scan fetches by file, mark and size:
+    however files are split then, it finds the same ones.
     """
-    rows = stored(_offsets(candidates(spark, path)), "candidates")
-    kept = stored(records(rows), "records")
-    broken = kept.where("own_digest IS NULL AND type = 'response'").select("file", "start", "next", "head_bytes", "length")
-    pieces = rows.join(_few(broken.select("file", F.col("start").alias("_from"), "next", F.col("head_bytes").alias("_head"), F.col("length").alias("_length")).withColumnRenamed("next", "_to")), "file")
-    pieces = pieces.where("start >= _from AND start < _to").select("file", "block", "nth", "start", "_from", "_head", "_length")
-    texts = chunks(spark, path).join(_few(stored(pieces, "pieces")), ["file", "block", "nth"])
+    rows = stored(_offsets(stored(candidates(spark, path), "candidates")), "offsets")
+    rows = stored(owned(rows, stored(records(rows), "true")), "owned")
+    kept = rows.where("owner = start")
+    broken = kept.where("own_digest IS NULL AND type = 'response'").select("file", "owner", F.col("next").alias("_to"), F.col("head_bytes").alias("_head"), F.col("length").alias("_length"))
+    pieces = rows.select("file", "start", "owner", "mark", "bytes").join(broken, ["file", "owner"]).where("start < _to")
+    pieces = stored(pieces.withColumnRenamed("owner", "_from"), "pieces")
+    values = chunks(spark, path).select("file", "mark", F.octet_length("value").cast("long").alias("bytes"), "value")
+    values = values.join(_few(stored(pieces.select("file", "mark", "bytes").distinct(), "marks")), ["file", "mark", "bytes"]).dropDuplicates(["file", "mark", "bytes"])
+    texts = values.join(pieces, ["file", "mark", "bytes"])
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), MAGIC)
     texts = texts.groupBy("file", F.col("_from").alias("start"), "_head", "_length").agg(parts.alias("value"))
     payload = _payload(F.col("value").cast("binary"), F.col("_head"), F.col("_length"))
