@@ -190,11 +190,11 @@ def owned(rows: DataFrame, true: DataFrame) -> DataFrame:
 
     A task follows one segment of an archive; what reaches into a segment comes from the segments' last starts.
     """
-    marked = rows.join(true.withColumn("_true", F.col("start")), ["file", "start"], "left").withColumn("_segment", F.floor(F.col("start") / SEGMENT))
+    both = rows.unionByName(true.withColumn("_true", F.col("start")), allowMissingColumns=True).withColumn("_segment", F.floor(F.col("start") / SEGMENT))
     earlier = Window.partitionBy("file").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    last = marked.groupBy("file", "_segment").agg(F.max("_true").alias("_last")).withColumn("_carried", F.max("_last").over(earlier)).drop("_last")
-    within = Window.partitionBy("file", "_segment").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("_within", F.max("_true").over(within)).join(last, ["file", "_segment"])
+    last = both.groupBy("file", "_segment").agg(F.max("_true").alias("_last")).withColumn("_carried", F.max("_last").over(earlier)).drop("_last")
+    within = Window.partitionBy("file", "_segment").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = both.withColumn("_within", F.max("_true").over(within)).where("_true IS NULL").join(last, ["file", "_segment"])
     return marked.withColumn("owner", F.coalesce("_within", "_carried")).drop("_true", "_segment", "_within", "_carried")
 
 
