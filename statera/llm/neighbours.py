@@ -24,10 +24,9 @@ K, QUERY_BLOCK, CANDIDATE_BLOCK = 10, 2_048, 4_096
 STRIP, HEAPS = 256, 10_000
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a vector that is neither zero nor holds a null or non-finite component, as doubles."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v of rows with an id and a vector that is neither zero nor holds a null or non-finite component."""
     whole = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", "embedding").where(whole & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.select("vec_id", "embedding").where(whole & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +42,7 @@ def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         parts = []
         for _, same in b.groupby(b["v"].map(len), sort=False):
-            codes, scale, lost = quantised(np.stack(same["v"]))
+            codes, scale, lost = quantised(np.stack(same["v"]).astype(float))
             parts.append(same.assign(codes=[x.tobytes() for x in codes], scale=scale, lost=lost))
         yield pd.concat(parts) if parts else b.assign(codes=[], scale=[], lost=[])
 
@@ -114,7 +113,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     once = usable(vectors).dropDuplicates(["vec_id", "v"])
     least = once.withColumn("_nth", copies).where(F.col("_nth") <= k + 1).select("vec_id", "v", F.lit(True).alias("candidate"))
     rest = once.where(is_query).select("vec_id", "v", F.lit(False).alias("candidate"))
-    kind = "vec_id long, v array<double>, candidate boolean, codes binary, scale double, lost double"
+    kind = f"vec_id long, v {once.schema['v'].dataType.simpleString()}, candidate boolean, codes binary, scale double, lost double"
     rows = least.unionByName(rest).mapInPandas(lean(coded), kind)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("_size", F.size("v")), "vectors")
     sizes = rows.where("candidate").groupBy("_size").count().orderBy(F.desc("count"), "_size").limit(1).collect()
@@ -135,7 +134,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     left = left.join(candidates.select(F.col("row").alias("c_row"), "vec_id", F.col("v").alias("c_v")), "c_row")
     left = left.join(queries.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), "v"), "q_row")
     # one order of additions, whatever the block
-    total = F.aggregate(F.zip_with("v", "c_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(F.zip_with("v", "c_v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     kind = "query_id long, vec_id long, score double"
     merged = left.select("query_id", "vec_id", F.sqrt(total).alias("score")).mapInPandas(lean(lambda batches: heaps(batches, k)), kind)
 
