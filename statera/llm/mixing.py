@@ -156,7 +156,7 @@ def queued(sizes: DataFrame, seed: int, block: int, shard: int) -> tuple[DataFra
     names = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(plan.sources)], "_source int, _name string, source_size long, target double")
     n = buckets_for(sum(r[2] for r in found), BUCKET_ROWS)
     rows = sizes.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_text", F.lit(seed)), F.lit(n)).cast("int"))
     return running_start(rows, "_source", "_bucket", [F.col("doc_id"), F.col("size"), F.col("_text")], "size", "_start"), plan
 
 

@@ -227,7 +227,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
     names = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "_queue int, _name string")
     n = buckets_for(sum(r[2] for r in rows), BUCKET_ROWS)
     placed = tokens.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(n)).cast("int"))
     queued = running_start(placed, "_queue", "_bucket", [F.col("doc_id"), F.xxhash64("ids")], "n_tokens", "_start")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
