@@ -101,6 +101,25 @@ def few(df: DataFrame, rows: int, size: Column | None = None, most: int = 0) ->
     return F.broadcast(df) if n <= rows and total <= most else df
 
 
+#: Rows of a broadcast that holds the hot keys of a join.
+HOT_KEYS = 4_096
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Rows with the columns of ``one``, which has a row for each of their keys and in ``count`` how many rows have it.
+
+    Of keys that hold more than one in HOT_KEYS of all rows there are fewer than HOT_KEYS: their rows of ``one`` are broadcast.
+    The other keys are joined by a shuffle in which none is hot.
+    """
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    added = [c for c in one.columns if c not in key]
+    hot = one.where(F.col(count) > total / HOT_KEYS).select(*key, F.struct(*added).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    there = marked.where("_hot IS NOT NULL").select(*rows.columns, "_hot.*")
+    rest = marked.where("_hot IS NULL").select(*rows.columns).join(one.where(F.col(count) <= total / HOT_KEYS), key)
+    return there.union(rest.select(*rows.columns, *added))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,6 +41,21 @@ def batches(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def word_runs(text: bytes, table: bytes, carried: int, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A text's words in runs of about ``size`` bytes, each but the first after the last ``carried`` words before it.
+
+    ``table`` translates bytes: what is no part of a word becomes a space. A text without words is one empty run.
+    """
+    text, old, a = text.translate(table), [], 0
+    while True:
+        b = text.find(b" ", a + size)
+        words = old + text[a : b if b >= 0 else len(text)].split()
+        yield words
+        if b < 0:
+            return
+        old, a = words[-carried:] if carried else [], b
+
+
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, its line counted over all texts, lines of each text); words end at ASCII white space, lines at feeds.
 
