@@ -1,7 +1,7 @@
 """From pages and tables to statements (S6-S8, L3, L19, L20, L22-L24): which table is which statement, and on what basis.
 
-pages: document_id, page (from 1), text. raw tables: document_id, page, table_idx, rows (arrays of cells). Tables, as
-``built`` makes them: document_id, table_id, page, table_idx, header, n_rows, columns, keyword rows, caption.
+pages: document_id, page (from 1), text. raw tables: document_id, page, table_idx, rows (arrays of cells), and where they are
+known col_x (left edges of the columns). Tables, as ``built`` makes them: document_id, table_id, page, table_idx, header, n_rows, columns.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statera.functions.tokens import YEAR, is_amount, is_dense, is_header, ref_id, words
-from statera.operators.layout import KINDS, anchors, choose, header_years, is_cover, numeric_column_count, table_score
+from statera.operators import grid
+from statera.operators.layout import KINDS, anchors, candidate_pages, choose, header_years, is_cover, numeric_column_count, table_score
+from statera.sources.scratch import settled
 
 #: Words of row labels that speak for a statement, the least score of a table that no heading names, lines
 #: above a table that make its caption, characters of its first line that are looked for, rows and columns of a usable one.
@@ -37,33 +39,70 @@ def anchor_lines(pages: DataFrame) -> DataFrame:
 
 
 def table_rows(raw: DataFrame) -> DataFrame:
-    """document_id, table_id, page, table_idx, row_idx (null: the header), ref_id, label, cells (all of the row, clean).
+    """document_id, table_id, page, table_idx, row_idx (null: the header), ref_id, label, cells (all of the row, clean), col_x.
 
     Rows without any text are left out; the first of the others is the header if it names periods and no amounts. A row's
     id has its true page, so that a table continued over pages keeps it.
     """
     clean = F.transform("rows", lambda r: F.transform(r, lambda c: F.array_join(words(F.coalesce(c, F.lit(""))), " ")))
     kept = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    tables = raw.select("document_id", "page", "table_idx", kept.alias("_rows")).where(F.size("_rows") > 0)
+    places = F.coalesce(F.col("col_x") if "col_x" in raw.columns else F.lit(None), F.array().cast("array<double>"))
+    tables = raw.select("document_id", "page", "table_idx", places.alias("col_x"), kept.alias("_rows")).where(F.size("_rows") > 0)
     headed = F.coalesce(is_header(F.get("_rows", F.lit(0))), F.lit(False))
-    each = tables.withColumn("_head", headed.cast("int")).select("document_id", "page", "table_idx", "_head", F.posexplode("_rows").alias("_pos", "cells"))
+    each = tables.withColumn("_head", headed.cast("int")).select("document_id", "page", "table_idx", "col_x", "_head", F.posexplode("_rows").alias("_pos", "cells"))
     row = F.when(F.col("_pos") >= F.col("_head"), F.col("_pos") - F.col("_head"))
     table = F.format_string("page_%d_table_%d", "page", "table_idx")
-    return each.select("document_id", table.alias("table_id"), "page", "table_idx", row.alias("row_idx"), F.when(row.isNotNull(), ref_id(F.col("page"), F.col("table_idx"), row)).alias("ref_id"), F.get("cells", F.lit(0)).alias("label"), "cells")
+    ref = F.when(row.isNotNull(), ref_id(F.col("page"), F.col("table_idx"), row))
+    return each.select("document_id", table.alias("table_id"), "page", "table_idx", row.alias("row_idx"), ref.alias("ref_id"), F.get("cells", F.lit(0)).alias("label"), "cells", "col_x")
+
+
+def report_rows(raw: DataFrame, pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """table_rows of the ruled tables and, for candidate pages without a usable one, of grids made of the page's words (S8).
+
+    words: document_id, page, text, x0, x1, top. Grids are numbered after the page's ruled tables, so ids of the two never meet.
+    """
+    ruled = table_rows(raw)
+    if words is None:
+        return ruled
+    usable = built(ruled).where(is_usable(F.col("header"), F.col("n_rows"), F.col("columns"))).select("document_id", "page").distinct()
+    wanted = candidate_pages(pages).join(usable, ["document_id", "page"], "left_anti")
+    rows = grid.word_grids(words.join(wanted, ["document_id", "page"], "left_semi"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", F.concat(F.array("label"), "cells").alias("c")))), lambda r: r["c"])
+    grids = rows.groupBy("document_id", "page", "grid").agg(F.first("header").alias("_h"), F.first("col_x").alias("col_x"), body.alias("_b"))
+    taken = raw.groupBy("document_id", "page").agg((F.max("table_idx") + 1).alias("_next"))
+    more = grids.join(taken, ["document_id", "page"], "left").select(
+        "document_id", "page", (F.coalesce("_next", F.lit(0)) + F.col("grid")).cast("int").alias("table_idx"), F.concat(F.array(F.concat(F.array(F.lit("")), "_h")), "_b").alias("rows"), "col_x",
+    )
+    return ruled.unionByName(table_rows(more))
+
+
+def whole_tables(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows with tables continued over pages joined to one (L18): table_id, page, table_idx of its first part, row_idx counted
+    over all parts, row_page (true page) and ref_id (that of the part) of each row. Headers of later parts are left out."""
+    first = F.min_by("cells", F.coalesce("row_idx", F.lit(-1)))
+    header = F.max(F.when(F.col("row_idx").isNull(), F.col("cells")))
+    tables = rows.groupBy("document_id", "table_id", "page", "table_idx").agg(header.alias("header"), F.size(first).alias("n_columns"), F.first("col_x").alias("col_x"))
+    headed = tables.join(anchor_lines(pages), ["document_id", "page"], "left").withColumnRenamed("headings", "heading")
+    roots = grid.stitched(headed.withColumnRenamed("page", "first_page"))
+    places = tables.select("document_id", F.col("table_id").alias("root"), F.col("page").alias("_page"), F.col("table_idx").alias("_idx"))
+    moved = rows.join(roots.join(places, ["document_id", "root"]), ["document_id", "table_id"]).where("row_idx IS NOT NULL OR table_id = root")
+    counted = F.when(F.col("row_idx").isNotNull(), F.count("row_idx").over(Window.partitionBy("document_id", "root").orderBy("page", "row_idx")) - 1)
+    return moved.select("document_id", F.col("root").alias("table_id"), F.col("_page").alias("page"), F.col("_idx").alias("table_idx"), counted.cast("int").alias("row_idx"), "ref_id", "label", "cells", "col_x", F.col("page").alias("row_page"))
 
 
 def built(rows: DataFrame) -> DataFrame:
-    """A row for each table: header (empty if none), labels, n_rows, n_columns, columns (arrays of cells, the label aside)."""
+    """A row for each table: header (empty if none), labels, n_rows, n_columns, columns (arrays of cells, the label aside), pages."""
     body = F.array_sort(F.collect_list(F.when(F.col("row_idx").isNotNull(), F.struct("row_idx", "cells"))))
     header = F.max(F.when(F.col("row_idx").isNull(), F.col("cells")))
-    out = rows.groupBy("document_id", "table_id", "page", "table_idx").agg(body.alias("_b"), F.coalesce(header, F.array().cast("array<string>")).alias("header"))
+    on = F.array_sort(F.collect_set("row_page" if "row_page" in rows.columns else "page"))
+    out = rows.groupBy("document_id", "table_id", "page", "table_idx").agg(body.alias("_b"), F.coalesce(header, F.array().cast("array<string>")).alias("header"), on.alias("pages"))
     cells = F.transform("_b", lambda r: r["cells"])
     width = F.coalesce(F.array_max(F.transform(cells, F.size)), F.lit(0))
     column = lambda i: F.filter(F.transform("_cells", lambda r: F.get(r, i)), lambda c: c.isNotNull())
     out = out.withColumn("_cells", cells).withColumn("n_columns", width)
     columns = F.when(F.col("n_columns") > 1, F.transform(F.sequence(F.lit(1), F.col("n_columns") - 1), column)).otherwise(F.array().cast("array<array<string>>"))
     labels = F.transform("_cells", lambda r: F.get(r, F.lit(0)))
-    return out.select("document_id", "table_id", "page", "table_idx", "header", labels.alias("labels"), F.size("_cells").alias("n_rows"), "n_columns", columns.alias("columns"))
+    return out.select("document_id", "table_id", "page", "table_idx", "header", labels.alias("labels"), F.size("_cells").alias("n_rows"), "n_columns", columns.alias("columns"), "pages")
 
 
 def is_usable(header: Column, n_rows: Column, columns: Column) -> Column:
@@ -138,12 +177,14 @@ def bases(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 def fallbacks(tables: DataFrame, pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """document_id, kind, table_id, page, score of statements that no heading gave, from tables of pages dense with numbers.
 
-    Pages with a heading have none; a table needs a row with a keyword and a score of 13; kinds choose in order, each from
-    what those before it have left, the best score first, ties to the first table.
+    A table that begins on a page with a heading is none of them; one of its pages must be dense; a table needs a row with a
+    keyword and a score of 13; kinds choose in order, each from what those before it have left, the best score first,
+    ties to the first table.
     """
     heads = anchors(lines_of(pages)).select("document_id", "page").distinct()
-    dense = pages.where(is_dense(F.col("text"))).select("document_id", "page").join(heads, ["document_id", "page"], "left_anti")
-    pool = scores(tables).join(dense, ["document_id", "page"], "left_semi").where(f"hits >= 1 AND score >= {LEAST_SCORE}")
+    dense = pages.where(is_dense(F.col("text"))).select("document_id", F.col("page").alias("_p"))
+    fit = tables.join(heads, ["document_id", "page"], "left_anti").withColumn("_p", F.explode("pages")).join(dense, ["document_id", "_p"], "left_semi").select("document_id", "table_id").distinct()
+    pool = scores(tables).join(fit, ["document_id", "table_id"], "left_semi").where(f"hits >= 1 AND score >= {LEAST_SCORE}")
     pool = pool.join(chosen.select("document_id", "table_id"), ["document_id", "table_id"], "left_anti").select("document_id", "kind", "table_id", "page", "table_idx", "score")
     out = None
     for kind in KINDS:
@@ -154,14 +195,18 @@ def fallbacks(tables: DataFrame, pages: DataFrame, chosen: DataFrame) -> DataFra
     return out
 
 
-def statements(raw: DataFrame, pages: DataFrame) -> DataFrame:
+def statements(raw: DataFrame, pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """document_id, kind, basis, table_id, page, na: for every document and kind the table that is the statement, or why
-    there is none."""
-    tables = built(table_rows(raw))
-    candidates = anchored(tables, pages)
+    there is none. Tables are whole: those of following pages are part of the one they continue."""
+    return located(settled(built(whole_tables(report_rows(raw, pages, words), pages)), "tables"), pages)
+
+
+def located(tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """``statements`` of tables that are built."""
+    candidates = settled(anchored(tables, pages), "candidates")
     basis = bases(candidates, pages)
     counted = candidates.join(basis, "document_id").where(F.array_contains("scopes", F.col("scope")))
-    chosen = choose(counted.select("document_id", "kind", "table_id", "page", "score"))
+    chosen = settled(choose(counted.select("document_id", "kind", "table_id", "page", "score")), "chosen")
     found = chosen.unionByName(fallbacks(tables, pages, chosen)).select("document_id", "kind", "table_id", "page", "score")
     every = basis.select("document_id", "basis", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
     out = every.join(found, ["document_id", "kind"], "left")

@@ -41,20 +41,21 @@ def normalised_cells(cells: DataFrame) -> DataFrame:
     value = once(cell_value(F.col("token"), F.col("_kind")), lambda v: scaled(v, F.col("scale")))
     out = cells.withColumn("_kind", kind).withColumn("value", value)
     ref = F.array("ref_id")
-    na = (
+    na = (  # a cell whose scale is not told is read as it stands, but is no figure
         F.when(F.col("_kind") == "missing", reason("missing_input", "blank cell", ref))
         .when(F.col("_kind") == "unparseable", reason("unparseable", text("cannot parse '", F.col("token"), "'"), ref))
+        .when(F.col("scale").isNull(), reason("ambiguous", "no scale stated at cell, table, statement or document level", ref))
         .when(F.col("value").isNull(), reason("unparseable", text("'", F.col("token"), "' exceeds the digits that fit after scaling"), ref))
         .otherwise(none(NA))
     )
     return out.withColumns({"dash_zero": F.col("_kind") == "dash_zero", "na": na}).drop("_kind")
 
 
-def detect_periods(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def detect_periods(headers: DataFrame, located: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(document_id, kind, col, end_year, label), (document_id, na) from header cells: document_id, kind, col (from 1), label.
 
     A header cell without a year, or two columns of a statement that end in one year, leave the whole document without
-    periods: it is in the second frame only.
+    periods: it is in the second frame only. So does a statement of ``located`` (document_id, kind) that has no header cells.
     """
     cells = headers.withColumn("end_year", parse_period(F.col("label")))
     same = Window.partitionBy("document_id", "kind", "end_year")
@@ -64,8 +65,12 @@ def detect_periods(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("_n") > 1) & (F.col("col") > F.col("_first")), reason("ambiguous", text(F.col("kind"), " columns ", F.col("_first"), " and ", F.col("col"), " both resolve to ", F.col("end_year"))))
     )
     marked = cells.withColumn("na", why)
+    odd = marked.where("na IS NOT NULL").select("document_id", "kind", "col", "na")
+    if located is not None:
+        bare = located.select("document_id", "kind").distinct().join(headers.select("document_id", "kind").distinct(), ["document_id", "kind"], "left_anti")
+        odd = odd.unionByName(bare.select("document_id", "kind", F.lit(0).alias("col"), reason("ambiguous", text(F.col("kind"), " statement has no header row to read periods from")).alias("na")))
     order = F.struct(F.array_position(F.array(*map(F.lit, ["income", "balance", "cash_flow"])), F.col("kind")).alias("k"), "col")
-    bad = marked.where("na IS NOT NULL").groupBy("document_id").agg(F.min_by("na", order).alias("na"))
+    bad = odd.groupBy("document_id").agg(F.min_by("na", order).alias("na"))
     good = marked.join(bad.select("document_id"), "document_id", "left_anti")
     return good.select("document_id", "kind", "col", "end_year", "label"), bad
 

@@ -7,12 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.operators import changes, checks, figures, mapping, rules
+from statera.functions.maybe import NA, none, reason, text
+from statera.functions.tokens import detect_scale, resolve_currency, resolve_scale
+from statera.operators import changes, checks, figures, fiscal, locate, mapping, rules
+from statera.sources.scratch import settled
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy result frames, all keyed by document_id."""
+    """Lazy result frames, all keyed by document_id. ``statements`` (None if the caller located them) says of each statement
+    where it is, its scale and currency, or why it gives no figures; that reason goes no further: the figures it
+    would have given are missing input, as those of any row that isn't there."""
 
     figures: DataFrame
     metrics: DataFrame
@@ -24,13 +29,21 @@ class Analysis:
     unmapped: DataFrame
     without_periods: DataFrame
     wide: DataFrame
+    statements: DataFrame | None = None
+    periods: DataFrame | None = None
 
 
 def analyse(rows: DataFrame, headers: DataFrame) -> Analysis:
     """rows: document_id, kind, ref_id, row_idx, label, cells (tokens of the columns after the label), scale, currency;
     headers: document_id, kind, col (from 1), label. A document whose periods can't be told has flags only."""
     columns, bad = mapping.detect_periods(headers)
+    return _analysed(rows, columns, bad)
+
+
+def _analysed(rows: DataFrame, columns: DataFrame, bad: DataFrame, **located: DataFrame) -> Analysis:
+    """A cell's own scale goes before that of its row."""
     tokens = rows.select("document_id", "kind", "ref_id", "scale", "currency", F.posexplode("cells").alias("_pos", "token")).withColumn("col", F.col("_pos") + 1)
+    tokens = tokens.withColumn("scale", F.coalesce(detect_scale(F.col("token")), "scale"))
     tokens = tokens.join(columns.select("document_id", "kind", "col"), ["document_id", "kind", "col"], "left_semi")
     numeric = mapping.numeric_columns(tokens, "document_id", "kind", "col").where("is_numeric")
     cells = mapping.normalised_cells(tokens.join(numeric.drop("is_numeric"), ["document_id", "kind", "col"], "left_semi"))
@@ -39,4 +52,72 @@ def analyse(rows: DataFrame, headers: DataFrame) -> Analysis:
     values = mapping.mapped_values(accepted, conflicts, columns, cells)
     wide = checks.with_checks(changes.with_changes(figures.analysed(values, columns)), mapping.dash_zeros(cells))
     flags = rules.flags(wide).unionByName(rules.without_periods(bad))
-    return Analysis(figures.figures_long(wide), figures.metrics_long(wide), changes.changes_long(wide), checks.checks_long(wide), flags, notes, conflicts, mapping.unmapped(accepted, columns), bad, wide)
+    return Analysis(
+        figures.figures_long(wide), figures.metrics_long(wide), changes.changes_long(wide), checks.checks_long(wide), flags, notes, conflicts,
+        mapping.unmapped(accepted, columns), bad, wide, periods=columns, **located,
+    )
+
+
+def levels(found: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """found (document_id, kind, table_id) with header, pages, scale, scale_source and currency (a code, "conflict" or "ambiguous").
+
+    The first level that states a scale or currency decides: the table (caption and header), the pages that the statement stands
+    on, the document's first page; a cell's own scale comes before them all. What a document implies comes last.
+    """
+    held = tables.select("document_id", "table_id", "page", "header", "labels", "pages")
+    caption = locate.captions(held, pages)
+    on = held.select("document_id", "table_id", F.explode("pages").alias("page")).join(pages, ["document_id", "page"])
+    said = on.groupBy("document_id", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("_statement"))
+    first = pages.where("page = 1").groupBy("document_id").agg(F.first("text").alias("_document"))
+    rows = found.join(held, ["document_id", "table_id"]).join(caption, ["document_id", "table_id"], "left").join(said, ["document_id", "table_id"], "left").join(first, "document_id", "left")
+    table = F.array_join(F.filter(F.concat(F.array(F.coalesce("caption", F.lit(""))), "header"), lambda x: x != ""), " ")
+    texts = [table, F.coalesce("_statement", F.lit("")), F.coalesce("_document", F.lit(""))]
+    out = rows.withColumn("_s", resolve_scale(F.lit(""), *texts)).withColumn("currency", resolve_currency(*texts))
+    return out.select(*found.columns, "header", "pages", F.col("_s.scale").alias("scale"), F.col("_s.source").alias("scale_source"), "currency")
+
+
+def withheld(placed: DataFrame, rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """placed (``levels``) with na: why a statement gives no figures, null if it does. Its document's periods can't be told, two
+    currencies are stated, none is, or no cell, table, page or document states a scale."""
+    own = rows.where(F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: detect_scale(c).isNotNull())).select("document_id", "table_id").distinct()
+    marked = placed.join(own.withColumn("_own", F.lit(True)), ["document_id", "table_id"], "left").join(bad.select("document_id", F.col("na").alias("_bad")), "document_id", "left")
+    head = lambda said: text(F.col("kind"), f": {said}")
+    na = (
+        F.when(F.col("_bad").isNotNull(), reason("ambiguous", head("periods could not be resolved"), cause=F.col("_bad")))
+        .when(F.col("currency") == "conflict", reason("conflict", head("two currencies within one statement")))
+        .when(F.col("currency") == "ambiguous", reason("ambiguous", head("no currency stated at any level")))
+        .when(F.col("scale").isNull() & F.col("_own").isNull(), reason("ambiguous", head("no scale phrase at cell, table, statement or document level")))
+        .otherwise(none(NA))
+    )
+    return marked.withColumn("na", na).drop("_own", "_bad")
+
+
+def analyse_reports(pages: DataFrame, raw: DataFrame, words: DataFrame | None = None) -> Analysis:
+    """From a report's pages and tables to its figures, checks and flags.
+
+    pages: document_id, page (from 1), text; raw: document_id, page, table_idx, rows, and col_x where it is known; words (of
+    pages whose tables have no ruling): document_id, page, text, x0, x1, top.
+
+    Tables are read (or rebuilt from words), joined over pages, matched to statements; periods are read from headers and
+    reconciled with fiscal years; scale and currency come from the first level that states them. Documents whose periods
+    can't be told, or that have no statement, have flags only; statements without scale or currency give no figures.
+    """
+    rows = settled(locate.whole_tables(locate.report_rows(raw, pages, words), pages), "rows")
+    tables = settled(locate.built(rows), "tables")
+    found = settled(locate.located(tables, pages), "statements")
+    placed = settled(levels(found.where("table_id IS NOT NULL").select("document_id", "kind", "basis", "table_id", "page"), tables, pages), "placed")
+    cells = F.posexplode(F.slice("header", 2, F.greatest(F.size("header"), F.lit(1)))).alias("_pos", "label")
+    headers = placed.where(F.size("header") > 1).select("document_id", "kind", "page", cells).withColumn("col", F.col("_pos") + 1)
+    columns, bad = mapping.detect_periods(headers.select("document_id", "kind", "col", "label"), placed)
+    columns, unbound = fiscal.reconciled(columns, headers.select("document_id", "kind", "page", "col", "label"), pages)
+    without, columns = settled(bad.unionByName(unbound), "without"), settled(columns, "columns")
+    judged = settled(withheld(placed, rows, without), "judged")
+    used = judged.where("na IS NULL").select("document_id", "kind", "table_id", "scale", "currency")
+    body = rows.where("row_idx IS NOT NULL").drop("page", "table_idx").withColumnRenamed("row_page", "page")
+    lines = used.join(body, ["document_id", "table_id"])
+    lines = lines.select("document_id", "kind", "ref_id", "row_idx", "page", "label", F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))).alias("cells"), "scale", "currency")
+    nowhere = found.groupBy("document_id").agg(F.count("table_id").alias("_n")).where("_n = 0").select("document_id", none(NA).alias("na"))
+    status = found.select("document_id", "kind", "basis", "table_id", "page", F.when(F.col("na").isNotNull(), reason("not_located", F.col("na"))).alias("_lost"))
+    status = status.join(judged.select("document_id", "kind", "pages", "scale", "scale_source", "currency", "na"), ["document_id", "kind"], "left")
+    status = status.withColumn("na", F.coalesce("na", "_lost")).withColumn("currency", F.when(F.col("na").isNull(), F.col("currency"))).drop("_lost")
+    return _analysed(settled(lines, "lines"), columns, without.unionByName(nowhere), statements=status)

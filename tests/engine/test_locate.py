@@ -55,8 +55,8 @@ def test_headings_and_tables_of_a_page(frames):
 
 
 def test_fallback_needs_a_dense_page_without_headings(frames):
-    texts = {1: DENSE, 2: "few words", 3: "Balance Sheet\n" + DENSE}
-    got = located(*frames({"a": (texts, [(1, 0, CASH), (1, 1, NOTE), (2, 0, INCOME), (3, 0, BALANCE)])}))
+    texts = {1: DENSE, 3: "Balance Sheet\n" + DENSE, 5: "few words"}  # apart, or the tables would continue each other
+    got = located(*frames({"a": (texts, [(1, 0, CASH), (1, 1, NOTE), (5, 0, INCOME), (3, 0, BALANCE)])}))
     assert got[("a", "cash_flow")][1] == "page_1_table_0" and got[("a", "income")][1] is None and got[("a", "balance")][1] == "page_3_table_0"
 
 
