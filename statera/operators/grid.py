@@ -67,7 +67,7 @@ class Line(NamedTuple):
 def lines_of(words: pd.DataFrame) -> Iterator[Line]:
     """Lines from the top down: words within 3 points of the line's first one. Words without text or a finite place don't count."""
     there = np.isfinite(words[["x0", "x1", "top"]].to_numpy(float)).all(axis=1) & words["text"].fillna("").ne("").to_numpy()
-    words = words[there]
+    words = words[there].astype({"x0": float, "x1": float, "top": float})
     words = words.assign(_t=words["top"].round()).sort_values(["_t", "x0"], kind="stable")
     place, first, line = np.zeros(len(words), int), None, -1
     for i, top in enumerate(words["top"].to_numpy()):

@@ -69,7 +69,7 @@ def levels(found: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
     on = held.select("document_id", "table_id", F.explode("pages").alias("page")).join(pages, ["document_id", "page"])
     said = on.groupBy("document_id", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("_statement"))
     first = pages.where("page = 1").groupBy("document_id").agg(F.first("text").alias("_document"))
-    rows = found.join(held, ["document_id", "table_id"]).join(caption, ["document_id", "table_id"], "left").join(said, ["document_id", "table_id"], "left").join(first, "document_id", "left")
+    rows = found.join(held.drop("page"), ["document_id", "table_id"]).join(caption, ["document_id", "table_id"], "left").join(said, ["document_id", "table_id"], "left").join(first, "document_id", "left")
     table = F.array_join(F.filter(F.concat(F.array(F.coalesce("caption", F.lit(""))), "header"), lambda x: x != ""), " ")
     texts = [table, F.coalesce("_statement", F.lit("")), F.coalesce("_document", F.lit(""))]
     out = rows.withColumn("_s", resolve_scale(F.lit(""), *texts)).withColumn("currency", resolve_currency(*texts))
