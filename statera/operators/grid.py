@@ -5,12 +5,14 @@ Words are document_id, page, text, x0, x1, top. A grid is a header of column lab
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Points by which words of a line, columns, spans and continued columns may differ; the least table.
@@ -24,6 +26,8 @@ _DASHES, _SIGNS = {"-", "–", "—", "Nil", "NIL", "nil"}, {"$", "Rs.", "Rs", "
 _NAMED_AMOUNT = re.compile(r"(?i)\bamounts?\b")
 
 GRID = "document_id string, page int, grid int, row_idx int, label string, cells array<string>, header array<string>, col_x array<double>"
+_NAMES = [field.split()[0] for field in GRID.split(", ")]
+_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64())]
 
 
 class Word(NamedTuple):
@@ -64,18 +68,20 @@ class Line(NamedTuple):
         return bool(self.label and self.values) and not self.is_years
 
 
-def lines_of(words: pd.DataFrame) -> Iterator[Line]:
-    """Lines from the top down: words within 3 points of the line's first one. Words without text or a finite place don't count."""
-    there = np.isfinite(words[["x0", "x1", "top"]].to_numpy(float)).all(axis=1) & words["text"].fillna("").ne("").to_numpy()
-    words = words[there].astype({"x0": float, "x1": float, "top": float})
-    words = words.assign(_t=words["top"].round()).sort_values(["_t", "x0"], kind="stable")
-    place, first, line = np.zeros(len(words), int), None, -1
-    for i, top in enumerate(words["top"].to_numpy()):
-        if first is None or abs(top - first) > LINE:
-            line, first = line + 1, top
-        place[i] = line
-    for _, part in words.groupby(place):
-        yield parted([Word(*w) for w in part.sort_values("x0", kind="stable")[["text", "x0", "x1"]].itertuples(index=False)])
+def lines_of(words: list[tuple]) -> Iterator[Line]:
+    """Lines from the top down of words (text, x0, x1, top): those within 3 points of the line's first one. Words without text
+    or a finite place don't count."""
+    there = [w for w in words if w[0] and all(x is not None and math.isfinite(x) for x in w[1:])]
+    held, first = [], 0.0
+    for *word, top in sorted(there, key=lambda w: (round(w[3]), w[1])):
+        if held and abs(top - first) > LINE:
+            yield parted(sorted(held, key=lambda w: w.x0))
+            held = []
+        if not held:
+            first = top
+        held.append(Word(*word))
+    if held:
+        yield parted(sorted(held, key=lambda w: w.x0))
 
 
 def parted(words: list[Word]) -> Line:
@@ -206,8 +212,8 @@ def grid_of(lines: list[Line]) -> tuple[list[str], list[float], list[tuple[str,
     return [header[c] for c in kept], [round(x, 1) for x in (edge, *(spans[c][0] for c in kept))], [(label, [cells[c] for c in kept]) for label, cells in rows]
 
 
-def grids_of(words: pd.DataFrame) -> Iterator[tuple[list[str], list[float], list[tuple[str, list[str]]]]]:
-    """(header, left edges, rows) of each grid of a page."""
+def grids_of(words: list[tuple]) -> Iterator[tuple[list[str], list[float], list[tuple[str, list[str]]]]]:
+    """(header, left edges, rows) of each grid of a page's words (text, x0, x1, top)."""
     for part in sections(list(lines_of(words))):
         if (found := grid_of(part)) is not None:
             yield found
@@ -216,13 +222,14 @@ def grids_of(words: pd.DataFrame) -> Iterator[tuple[list[str], list[float], list
 def word_grids(words: DataFrame) -> DataFrame:
     """A row for each grid row of every page (see GRID); pages are independent tasks of the words on one page."""
 
-    def build(page: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, (header, places, rows) in enumerate(grids_of(page)):
-            out += [(page["document_id"].iloc[0], int(page["page"].iloc[0]), n, i, label, cells, header, places) for i, (label, cells) in enumerate(rows)]
-        return pd.DataFrame(out, columns=["document_id", "page", "grid", "row_idx", "label", "cells", "header", "col_x"])
+    def build(page: pa.Table) -> pa.Table:
+        places = zip(*[page.column(c).to_pylist() for c in ("text", "x0", "x1", "top")], strict=True)
+        out = [(n, i, label, cells, header, edges) for n, (header, edges, rows) in enumerate(grids_of(list(places))) for i, (label, cells) in enumerate(rows)]
+        document, number = page.column("document_id")[0].as_py(), page.column("page")[0].as_py()
+        columns = [[document] * len(out), [number] * len(out), *([r[i] for r in out] for i in range(6))]
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    return words.groupBy("document_id", "page").applyInPandas(build, GRID)
+    return words.select("document_id", "page", "text", "x0", "x1", "top").groupBy("document_id", "page").applyInArrow(build, GRID)
 
 
 def stitched(tables: DataFrame) -> DataFrame:

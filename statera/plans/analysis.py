@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,49 +13,79 @@ from statera.operators import changes, checks, figures, fiscal, locate, mapping,
 from statera.sources.scratch import settled
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """Lazy result frames, all keyed by document_id. ``statements`` (None if the caller located them) says of each statement
-    where it is, its scale and currency, or why it gives no figures; that reason goes no further: the figures it
-    would have given are missing input, as those of any row that isn't there."""
-
-    figures: DataFrame
-    metrics: DataFrame
-    changes: DataFrame
-    checks: DataFrame
-    flags: DataFrame
-    notes: DataFrame
-    conflicts: DataFrame
-    unmapped: DataFrame
-    without_periods: DataFrame
-    wide: DataFrame
-    statements: DataFrame | None = None
-    periods: DataFrame | None = None
+    """Result frames, all keyed by document_id; each is planned when it is first asked for, so that one who wants figures does
+    not pay for rules.
+
+    ``statements`` (None if the caller located them) says of each statement where it is, its scale and currency, or why it gives
+    no figures; that reason goes no further: the figures it would have given are missing input, as those of any row that isn't there.
+    """
+
+    def __init__(self, rows: DataFrame, columns: DataFrame, without_periods: DataFrame, statements: DataFrame | None = None) -> None:
+        self.rows, self.periods, self.without_periods, self.statements = rows, columns, without_periods, statements
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Cells of numeric columns in base units, or why they are none; a cell's own scale goes before that of its row."""
+        tokens = self.rows.select("document_id", "kind", "ref_id", "scale", "currency", F.posexplode("cells").alias("_pos", "token")).withColumn("col", F.col("_pos") + 1)
+        tokens = tokens.withColumn("scale", F.coalesce(detect_scale(F.col("token")), "scale"))
+        tokens = tokens.join(self.periods.select("document_id", "kind", "col"), ["document_id", "kind", "col"], "left_semi")
+        numeric = mapping.numeric_columns(tokens, "document_id", "kind", "col").where("is_numeric")
+        return mapping.normalised_cells(tokens.join(numeric.drop("is_numeric"), ["document_id", "kind", "col"], "left_semi"))
+
+    @cached_property
+    def _claims(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        found = mapping.claims(self.rows.select("document_id", "kind", "ref_id", "row_idx", "label"), self.cells)
+        return mapping.resolve_claims(found, self.rows)
+
+    @property
+    def conflicts(self) -> DataFrame:
+        return self._claims[1]
+
+    @property
+    def notes(self) -> DataFrame:
+        return self._claims[2]
+
+    @cached_property
+    def unmapped(self) -> DataFrame:
+        return mapping.unmapped(self._claims[0], self.periods)
+
+    @cached_property
+    def _figures(self) -> DataFrame:
+        accepted, conflicts, _ = self._claims
+        return figures.analysed(mapping.mapped_values(accepted, conflicts, self.periods, self.cells), self.periods)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        """One row for each document and year with all that follows from its figures."""
+        return checks.with_checks(changes.with_changes(self._figures), mapping.dash_zeros(self.cells))
+
+    @cached_property
+    def figures(self) -> DataFrame:
+        return figures.figures_long(self._figures)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return figures.metrics_long(self._figures)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return changes.changes_long(changes.with_changes(self._figures))
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return checks.checks_long(checks.with_checks(self._figures, mapping.dash_zeros(self.cells)))
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return rules.flags(self.wide).unionByName(rules.without_periods(self.without_periods))
 
 
 def analyse(rows: DataFrame, headers: DataFrame) -> Analysis:
     """rows: document_id, kind, ref_id, row_idx, label, cells (tokens of the columns after the label), scale, currency;
     headers: document_id, kind, col (from 1), label. A document whose periods can't be told has flags only."""
     columns, bad = mapping.detect_periods(headers)
-    return _analysed(rows, columns, bad)
-
-
-def _analysed(rows: DataFrame, columns: DataFrame, bad: DataFrame, **located: DataFrame) -> Analysis:
-    """A cell's own scale goes before that of its row."""
-    tokens = rows.select("document_id", "kind", "ref_id", "scale", "currency", F.posexplode("cells").alias("_pos", "token")).withColumn("col", F.col("_pos") + 1)
-    tokens = tokens.withColumn("scale", F.coalesce(detect_scale(F.col("token")), "scale"))
-    tokens = tokens.join(columns.select("document_id", "kind", "col"), ["document_id", "kind", "col"], "left_semi")
-    numeric = mapping.numeric_columns(tokens, "document_id", "kind", "col").where("is_numeric")
-    cells = mapping.normalised_cells(tokens.join(numeric.drop("is_numeric"), ["document_id", "kind", "col"], "left_semi"))
-    found = mapping.claims(rows.select("document_id", "kind", "ref_id", "row_idx", "label"), cells)
-    accepted, conflicts, notes = mapping.resolve_claims(found, rows)
-    values = mapping.mapped_values(accepted, conflicts, columns, cells)
-    wide = checks.with_checks(changes.with_changes(figures.analysed(values, columns)), mapping.dash_zeros(cells))
-    flags = rules.flags(wide).unionByName(rules.without_periods(bad))
-    return Analysis(
-        figures.figures_long(wide), figures.metrics_long(wide), changes.changes_long(wide), checks.checks_long(wide), flags, notes, conflicts,
-        mapping.unmapped(accepted, columns), bad, wide, periods=columns, **located,
-    )
+    return Analysis(rows, columns, bad)
 
 
 def levels(found: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
@@ -120,4 +150,4 @@ def analyse_reports(pages: DataFrame, raw: DataFrame, words: DataFrame | None =
     status = found.select("document_id", "kind", "basis", "table_id", "page", F.when(F.col("na").isNotNull(), reason("not_located", F.col("na"))).alias("_lost"))
     status = status.join(judged.select("document_id", "kind", "pages", "scale", "scale_source", "currency", "na"), ["document_id", "kind"], "left")
     status = status.withColumn("na", F.coalesce("na", "_lost")).withColumn("currency", F.when(F.col("na").isNull(), F.col("currency"))).drop("_lost")
-    return _analysed(settled(lines, "lines"), columns, without.unionByName(nowhere), statements=status)
+    return Analysis(settled(lines, "lines"), columns, without.unionByName(nowhere), status)

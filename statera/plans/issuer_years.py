@@ -65,10 +65,25 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each issuer and year: figures and ratios."""
+    mapped = values(spark, sf_dir)
+    return figures.analysed(mapped, mapped.select("document_id", "end_year"))
+
+
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``analysed`` with changes: for those who need no checks."""
+    return changes.with_changes(analysed(spark, sf_dir))
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``analysed`` with checks: for those who need no changes."""
+    return checks.with_checks(analysed(spark, sf_dir))
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each issuer and year: figures, ratios, changes and checks."""
-    mapped = values(spark, sf_dir)
-    return checks.with_checks(changes.with_changes(figures.analysed(mapped, mapped.select("document_id", "end_year"))))
+    return checks.with_checks(changed(spark, sf_dir))
 
 
 assert set(FACTS) | {"ebitda", "total_debt", "free_cash_flow"} == set(CONCEPTS)

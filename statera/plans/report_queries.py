@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statera.operators import accuracy_report, changes, checks, fiscal, gates, locate, reports, rules
 from statera.plans import statement_queries, text_queries
-from statera.plans.issuer_years import analysis
+from statera.plans.issuer_years import analysis, changed, checked
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -102,17 +102,17 @@ _SCOPES_SQL = f"""{text_queries._SCORE_SQL}, o AS (SELECT *, 'T' || (document_id
 
 
 def trend_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = reports.trend_rows(changes.changes_long(analysis(spark, d)).withColumn("subject", F.concat(F.lit("the "), "subject")))
+    found = reports.trend_rows(changes.changes_long(changed(spark, d)).withColumn("subject", F.concat(F.lit("the "), "subject")))
     return found.select("document_id", "subject", F.col("from_year").cast("long").alias("from_year"), F.col("to_year").cast("long").alias("to_year"), "direction", "reads_as", "status")
 
 
 def reconciliation_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = reports.reconciliation_rows(checks.checks_long(analysis(spark, d)))
+    found = reports.reconciliation_rows(checks.checks_long(checked(spark, d)))
     return found.select("document_id", "check", F.col("period").cast("long").alias("period"), "status")
 
 
 def warning_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reports.warning_counts(checks.checks_long(analysis(spark, d)))
+    return reports.warning_counts(checks.checks_long(checked(spark, d)))
 
 
 def red_flag_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statera.functions.vocabulary import CHANGES, CONCEPTS, METRICS, RULES
 from statera.operators import changes, checks, figures, rules, views
-from statera.plans.issuer_years import CURRENCY, FACTS, analysis, values
+from statera.plans.issuer_years import CURRENCY, FACTS, analysed, analysis, changed, checked, values
 
 D = "double"
 RATIO_DIGITS = 6
@@ -30,25 +30,25 @@ def period_union_ordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def derived_values(spark: SparkSession, d: str) -> DataFrame:
-    found = figures.figures_long(analysis(spark, d)).where(F.col("concept").isin("total_debt", "free_cash_flow", "ebitda"))
+    found = figures.figures_long(analysed(spark, d)).where(F.col("concept").isin("total_debt", "free_cash_flow", "ebitda"))
     return found.select("document_id", "concept", F.col("end_year").cast("long").alias("end_year"), F.col("value").cast(D).alias("value"), F.col("na.reason").alias("reason"))
 
 
 def metrics_long_with_reasons(spark: SparkSession, d: str) -> DataFrame:
-    found = figures.metrics_long(analysis(spark, d))
+    found = figures.metrics_long(analysed(spark, d))
     return found.select("document_id", "name", F.col("end_year").cast("long").alias("end_year"), _rounded("value"), "unit", F.col("na.reason").alias("reason"), F.col("na.detail").alias("detail"))
 
 
 def _one_metric(*names: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        found = figures.metrics_long(analysis(spark, d)).where(F.col("name").isin(*names))
+        found = figures.metrics_long(analysed(spark, d)).where(F.col("name").isin(*names))
         return found.select("document_id", "name", F.col("end_year").cast("long").alias("end_year"), _rounded("value"), F.col("na.reason").alias("reason"))
 
     return query
 
 
 def yoy_changes(spark: SparkSession, d: str) -> DataFrame:
-    found = changes.changes_long(analysis(spark, d))
+    found = changes.changes_long(changed(spark, d))
     return found.select(
         "document_id", "subject", F.col("from_year").cast("long").alias("from_year"), F.col("to_year").cast("long").alias("to_year"),
         _rounded("absolute"), _rounded("relative"), "direction", "economic", F.col("na.reason").alias("reason"),
@@ -56,7 +56,7 @@ def yoy_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconciliation_checks(spark: SparkSession, d: str) -> DataFrame:
-    found = checks.checks_long(analysis(spark, d))
+    found = checks.checks_long(checked(spark, d))
     return found.select("document_id", F.col("end_year").cast("long").alias("end_year"), "name", "status", F.col("delta").cast(D).alias("delta"), F.col("tolerance").cast(D).alias("tolerance"))
 
 
@@ -78,7 +78,7 @@ def kpi_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
-    out = views.metric_rows(figures.metrics_long(analysis(spark, d)))
+    out = views.metric_rows(figures.metrics_long(analysed(spark, d)))
     return out.select("document_id", "metric", F.col("period").cast("long").alias("period"), "status", F.when(F.col("status") == "na", F.col("value")).alias("why"))
 
 
