@@ -5,9 +5,10 @@ The only shuffles are the one that brings a year's concepts together and the win
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -129,9 +130,15 @@ def metrics_long(rows: DataFrame) -> DataFrame:
     return out.withColumn("unit", F.element_at(unit, F.col("name")))
 
 
-def invariant_violations(figures: DataFrame) -> DataFrame:
-    """Rows that break the rule that exactly one of value and reason is there."""
-    return figures.where(F.col("value").isNull() == F.col("na").isNull())
+def is_broken() -> Column:
+    """Not exactly one of value and reason is there."""
+    return F.col("value").isNull() == F.col("na").isNull()
+
+
+def watched(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """rows (value, na) that count, while something else reads them, how many are ``broken``; the count is there afterwards."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return rows.observe(seen, F.count_if(is_broken()).alias("broken"), F.count("*").alias("rows")), seen
 
 
 def lookup(figures: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,4 +148,4 @@ def lookup(figures: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.withColumn("na", F.when(F.col("value").isNull(), F.coalesce(F.col("na").cast(NA), default)).otherwise(none(NA))).withColumn("refs", F.coalesce("refs", no_refs()))
 
 
-__all__ = ["analysed", "by_year", "derive", "figures_long", "first_reason", "invariant_violations", "lookup", "metrics_long", "quotient"]
+__all__ = ["analysed", "by_year", "derive", "figures_long", "first_reason", "is_broken", "lookup", "metrics_long", "quotient", "watched"]
