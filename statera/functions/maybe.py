@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +20,19 @@ NO_REFS = "array<string>"
 FIGURE_FIELDS, RATIO_FIELDS = "value currency rank extraction refs na", "value unit rank refs na"
 
 
+_FIXED: dict[tuple[int, str], Column] = {}
+
+
+def fixed(sql: str) -> Column:
+    """An expression without inputs, made once for a JVM: plans name a few of them hundreds of times."""
+    key = (id(SparkContext._jvm), sql)
+    if key not in _FIXED:
+        _FIXED[key] = F.expr(sql)
+    return _FIXED[key]
+
+
 def no_refs() -> Column:
-    return F.array().cast(NO_REFS)
+    return fixed(f"CAST(array() AS {NO_REFS})")
 
 
 def text(*parts: Column | str) -> Column:
@@ -36,7 +48,7 @@ def reason(code: str, detail: Column | str, refs: Column | None = None, cause: C
 
 
 def none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
+    return fixed(f"CAST(NULL AS {kind})")
 
 
 def _struct(names: str, *parts: Column) -> Column:

@@ -130,12 +130,4 @@ def choose(candidates: DataFrame) -> DataFrame:
     return top.join(chosen, ["document_id", "_cluster"]).select("document_id", "kind", "table_id", "page", "score")
 
 
-def basis(scopes: DataFrame) -> DataFrame:
-    """document_id, basis from (document_id, scope, cover): consolidated, else unprefixed behind a 10-K cover counts as
-    consolidated, else standalone_fallback, else unknown."""
-    has = lambda s: F.bool_or(F.col("scope") == s)
-    rows = scopes.groupBy("document_id").agg(has("consolidated").alias("c"), has("unprefixed").alias("u"), has("standalone").alias("s"), F.bool_or("cover").alias("cover"))
-    return rows.select("document_id", F.when(F.col("c") | (F.col("u") & F.col("cover")), "consolidated").when(F.col("s") | F.col("u"), "standalone_fallback").otherwise("unknown").alias("basis"))
-
-
-__all__ = ["anchors", "basis", "candidate_pages", "choose", "clusters", "column_spans", "header_years", "in_columns", "is_cover", "numeric_column_count", "sampled_pages", "space_ratio", "table_score", "text_layer", "words"]
+__all__ = ["anchors", "candidate_pages", "choose", "clusters", "column_spans", "header_years", "in_columns", "is_cover", "numeric_column_count", "sampled_pages", "space_ratio", "table_score", "text_layer", "words"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statera.functions.maybe import known
+from statera.functions.tokens import multiplier
 from statera.functions.vocabulary import CHANGES, RANKS
 from statera.operators.changes import CHANGE
 
@@ -79,7 +80,26 @@ def metric_rows(metrics: DataFrame) -> DataFrame:
 def report_scale(cells: DataFrame, *key: str) -> DataFrame:
     """The most frequent scale of a report's cells; of equals the one seen first (cells have a place)."""
     counts = cells.groupBy(*key, "scale").agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
-    return counts.groupBy(*key).agg(F.max_by("scale", F.struct("_n", -F.col("_first"))).alias("scale"))
+    most = F.struct(-F.col("_n"), "_first")
+    return counts.groupBy(*key).agg(F.min_by("scale", most).alias("scale"))
+
+
+def units(cells: DataFrame) -> DataFrame:
+    """document_id, scale, currency, label ("USD million") of reports, from the cells of their figures: document_id, scale,
+    currency, place. The currency is that of the first; cells in single units have no word for it."""
+    first = cells.groupBy("document_id").agg(F.min_by("currency", "place").alias("currency"))
+    word = F.when(F.col("scale") == "unit", "").otherwise(F.coalesce("scale", F.lit("")))
+    return report_scale(cells, "document_id").join(first, "document_id").withColumn("label", F.trim(F.concat(F.coalesce("currency", F.lit("")), F.lit(" "), word)))
+
+
+def amounts(figures: DataFrame, units: DataFrame) -> DataFrame:
+    """document_id, concept, end_year, amount (in the report's own scale, two decimals, half-even), label, text of the figures
+    that are there: what charts and cards print."""
+    held = figures.where("value IS NOT NULL").join(units.select("document_id", "scale", "label"), "document_id")
+    each = multiplier(F.coalesce("scale", F.lit("unit")))
+    amount = F.bround(F.try_divide(F.col("value"), each).cast("decimal(38,6)"), 2)
+    word = F.when(F.col("scale") == "unit", "").otherwise(F.col("scale"))
+    return held.select("document_id", "concept", "end_year", amount.alias("amount"), "label", money_text(F.col("value"), F.col("currency"), each, word).alias("text"))
 
 
 def series(rows: DataFrame, names: list[str], kind: str) -> DataFrame:

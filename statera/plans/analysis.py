@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from statera.functions.maybe import NA, none, reason, text
 from statera.functions.tokens import detect_scale, resolve_currency, resolve_scale
-from statera.operators import changes, checks, figures, fiscal, locate, mapping, rules
+from statera.functions.vocabulary import CONCEPTS
+from statera.operators import changes, checks, figures, fiscal, locate, mapping, rules, views
 from statera.sources.scratch import settled
 
 
@@ -64,6 +65,19 @@ class Analysis:
     def figures(self) -> DataFrame:
         return figures.figures_long(self._figures)
 
+    @cached_property
+    def units(self) -> DataFrame:
+        """The scale and currency that each report's own figures are printed in, in the order of concepts, newest years first."""
+        place = F.struct(F.array_position(F.array(*map(F.lit, CONCEPTS)), F.col("concept")).alias("c"), (-F.col("end_year")).alias("y"))
+        grid = self._claims[0].select("document_id", "kind", "ref_id", "concept").join(self.periods.select("document_id", "kind", "col", "end_year"), ["document_id", "kind"])
+        cells = grid.join(self.cells.where("na IS NULL").select("document_id", "kind", "ref_id", "col", "scale", "currency"), ["document_id", "kind", "ref_id", "col"])
+        return views.units(cells.select("document_id", "scale", "currency", place.alias("place")))
+
+    @cached_property
+    def amounts(self) -> DataFrame:
+        """Figures as reports print them, in their own scale and with its name."""
+        return views.amounts(self.figures, self.units)
+
     @cached_property
     def metrics(self) -> DataFrame:
         return figures.metrics_long(self._figures)

@@ -21,6 +21,11 @@ def report_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "concept", "end_year", "value", "currency", F.get("refs", F.lit(0)).alias("first_ref"))
 
 
+def report_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures in the scale that their report prints them in, for charts."""
+    return _analysis(spark, sf_dir).amounts.select("document_id", "concept", "end_year", F.col("amount").cast("double").alias("amount"), "label", "text")
+
+
 def report_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _analysis(spark, sf_dir).statements
     return found.select(
@@ -74,7 +79,7 @@ def word_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("document_id").cast("long").alias("document_id"), "row_idx", "label", F.array_join("cells", "|").alias("cells"), F.array_join("header", "|").alias("header"))
 
 
-QUERIES = {"report_figures": report_figures, "report_statements": report_statements, "report_flags": report_flags, "word_grid_rows": word_grid_rows}
+QUERIES = {"report_figures": report_figures, "report_amounts": report_amounts, "report_statements": report_statements, "report_flags": report_flags, "word_grid_rows": word_grid_rows}
 ORACLE = {
     "report_figures": f"""
         WITH {_SUMS_SQL}, f AS ({_FIGURES_SQL}),
@@ -83,6 +88,15 @@ ORACLE = {
             FROM kept o JOIN kept c ON c.document_id = o.document_id AND c.end_year = o.end_year AND c.concept = 'capex' WHERE o.concept = 'operating_cash_flow')
         SELECT document_id, concept, end_year, value::DECIMAL(38, 4) AS value, CASE WHEN v = {_V["CRORES"]} THEN 'INR' ELSE 'USD' END AS currency, first_ref
         FROM (SELECT document_id, concept, end_year, value, v, first_ref FROM kept UNION ALL SELECT * FROM free)""",
+    "report_amounts": f"""
+        WITH {_SUMS_SQL}, f AS ({_FIGURES_SQL}),
+        kept AS (SELECT document_id, concept, end_year, CAST(value / times AS BIGINT) AS amount, v FROM (SELECT f.*, s.times FROM f JOIN s ON s.document_id = f.document_id AND s.y = f.end_year)
+            WHERE v NOT IN ({_V["NO_SCALE"]}, {_V["BARE"]}, {_V["TWICE"]}) AND NOT (v = {_V["TWO_CURRENCIES"]} AND kind = 'income')),
+        free AS (SELECT o.document_id, 'free_cash_flow' AS concept, o.end_year, o.amount - abs(c.amount) AS amount, o.v FROM kept o
+            JOIN kept c ON c.document_id = o.document_id AND c.end_year = o.end_year AND c.concept = 'capex' WHERE o.concept = 'operating_cash_flow'),
+        u AS (SELECT *, CASE WHEN v = {_V["CRORES"]} THEN 'INR' ELSE 'USD' END AS currency, CASE v WHEN {_V["ON_PAGE"]} THEN 'thousand' WHEN {_V["ON_FIRST"]} THEN 'billion' WHEN {_V["CRORES"]} THEN 'crore' ELSE 'million' END AS word
+            FROM (SELECT * FROM kept UNION ALL SELECT * FROM free))
+        SELECT document_id, concept, end_year, amount::DOUBLE AS amount, currency || ' ' || word AS label, CASE currency WHEN 'INR' THEN '₹' ELSE '$' END || format('{{:,}}', amount) || '.00 ' || word AS text FROM u""",
     "report_statements": f"""
         WITH {_SUMS_SQL}, k AS ({_STATEMENTS_SQL}),
         p AS (SELECT *, CASE WHEN k = 0 THEN 2 WHEN v = {_V["CONTINUED"]} THEN k + 4 ELSE k + 2 END AS page,

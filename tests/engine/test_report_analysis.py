@@ -143,3 +143,17 @@ def test_no_reports(frames):
     pages, raw, words = (f.limit(0) for f in frames)
     out = analyse_reports(pages, raw, words)
     assert out.figures.count() == out.flags.count() == out.statements.count() == 0
+
+
+def test_units_are_those_of_most_cells(spark):
+    from statera.operators import views
+
+    rows = [("a", "million", "USD", 3), ("a", "crore", "INR", 1), ("a", "million", "USD", 2), ("tie", "lakh", "INR", 2), ("tie", "crore", "USD", 1), ("tie", "lakh", "INR", 4), ("tie", "crore", "USD", 3), ("one", "unit", "USD", 0)]
+    got = views.units(spark.createDataFrame(rows, "document_id string, scale string, currency string, place int")).collect()
+    assert {(r.document_id, r.scale, r.label) for r in got} == {("a", "million", "INR million"), ("tie", "crore", "USD crore"), ("one", "unit", "USD")}
+
+
+def test_amounts_in_the_report_s_own_scale(frames):
+    got = {(r.document_id, r.concept, r.end_year): (str(r.amount), r.label, r.text) for r in analyse_reports(*frames).amounts.collect()}
+    assert got[("plain", "revenue", 2024)] == ("1000.00", "USD million", "$1,000.00 million")
+    assert got[("first page's scale", "capex", 2023)] == ("-30.00", "USD billion", "$-30.00 billion")
