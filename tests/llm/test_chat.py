@@ -33,3 +33,61 @@ def test_layouts(spark):
     four = spark.sql("SELECT 1 AS id, 'a' AS instruction, '' AS input, 'b' AS output")
     for df in (one, two, three, four):
         assert [tuple(r) for r in chat.canonical_turns(df).orderBy("turn").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+
+
+MIXED = (
+    "id string, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, prompt string, response string, completion string, "
+    "instruction string, input string, output string, system string, conv_id long, turn long, role string, text string, note string"
+)
+
+
+def mixed(spark, *rows):
+    names = [f.name for f in spark.createDataFrame([], MIXED).schema.fields]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], MIXED)
+
+
+def turns(df):
+    out = {}
+    for r in chat.canonical_turns(df).orderBy("conv_id", "turn", "role", "text").collect():
+        out.setdefault(r.conv_id, []).append((r.role, r.text))
+    return out
+
+
+def test_every_row_goes_by_its_own_layout(spark):
+    long = "very long </s> text " * 40_000
+    df = mixed(
+        spark,
+        {"id": "a", "messages": [("user", "q"), ("assistant", long)]},
+        {"id": "b", "conversations": [("human", "q"), ("gpt", "r")]},
+        {"id": "c", "prompt": "q", "response": "r"},
+        {"id": "d", "prompt": "q", "completion": "r"},
+        {"id": "e", "instruction": "q", "input": "i", "output": "r"},
+        {"id": "f", "instruction": "q", "output": "r", "system": "s"},
+        {"id": "g", "instruction": "q", "input": "i", "output": "r", "system": "s"},
+        {"conv_id": 7, "turn": 0, "role": "human", "text": "q"},
+        {"id": "h", "prompt": "no answer", "note": "n"},
+        {"id": "i", "messages": [], "note": "n"},
+    )
+    assert turns(df) == {
+        "a": [("user", "q"), ("assistant", long)], "b": [("user", "q"), ("assistant", "r")], "c": [("user", "q"), ("assistant", "r")], "d": [("user", "q"), ("assistant", "r")],
+        "e": [("user", "q\ni"), ("assistant", "r")], "f": [("system", "s"), ("user", "q"), ("assistant", "r")], "g": [("system", "s"), ("user", "q\ni"), ("assistant", "r")],
+        "7": [("human", "q")], "h": [("user", "no answer"), ("assistant", "")],
+    }
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert back == turns(df)
+
+
+def test_status_of_rows(spark):
+    two = mixed(spark, {"id": "a", "messages": [("user", "q")], "prompt": "p"}, {"id": "b", "prompt": "p", "response": "r"}).drop("conv_id", "turn", "role", "text")
+    assert {r.id: (r._layout, r._status) for r in chat.routed(two).collect()} == {"a": ("messages", "several"), "b": ("prompt and response", "mapped")}
+    odd = mixed(spark, {"id": "a", "note": "only this"}, {"id": "b"}, {"id": None, "prompt": None, "response": "r"}).select("id", "prompt", "response", "messages", "note")
+    assert {r.id: r._status for r in chat.routed(odd).collect()} == {"a": "unknown", "b": "mapped", None: "mapped"}
+    assert ["only this" in r.row for r in chat.unmapped(odd).collect()] == [True]
+    assert turns(odd)[None] == [("user", ""), ("assistant", "r")] and "a" not in turns(odd)
+    assert chat.canonical_turns(odd.limit(0)).count() == 0
+
+
+def test_other_layouts(spark):
+    five = spark.sql("SELECT 1 AS id, 'a' AS prompt, 'b' AS completion")
+    six = spark.sql("SELECT 1 AS id, 's' AS system, 'a' AS instruction, 'b' AS output")
+    assert turns(five) == {1: [("user", "a"), ("assistant", "b")]} and turns(six) == {1: [("system", "s"), ("user", "a"), ("assistant", "b")]}
