@@ -22,6 +22,9 @@ from statera.llm.common import buckets_for, lean, stored
 K, QUERY_BLOCK, CANDIDATE_BLOCK = 10, 2_048, 4_096
 #: Queries of a tile that are multiplied at a time; queries whose heaps a task keeps before it hands them on.
 STRIP, HEAPS = 256, 10_000
+#: Components beyond which vectors are multiplied by a power of two before they are quantised, so that squares stay finite.
+LARGE = 1e140
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v of rows with an id and a vector that is neither zero nor holds a null or non-finite component."""
@@ -37,12 +40,12 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
-def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with codes, scale and lost beside the vector; vectors may differ in length."""
+def coded(batches: Iterator[pd.DataFrame], times: float = 1.0) -> Iterator[pd.DataFrame]:
+    """Rows with codes, scale and lost (of the vector times a power of two) beside the vector; vectors may differ in length."""
     for b in batches:
         parts = []
         for _, same in b.groupby(b["v"].map(len), sort=False):
-            codes, scale, lost = quantised(np.stack(same["v"]).astype(float))
+            codes, scale, lost = quantised(np.stack(same["v"]).astype(float) * times)
             parts.append(same.assign(codes=[x.tobytes() for x in codes], scale=scale, lost=lost))
         yield pd.concat(parts) if parts else b.assign(codes=[], scale=[], lost=[])
 
@@ -57,7 +60,33 @@ def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
     both = norm(qc, qs)[:, None] + norm(cc, cs)[None, :]
     square, rounding = both - 2 * np.outer(qs, cs) * product, 1e-12 * both  # whole numbers are exact, their scaling is not
     lost = (qe[:, None] + ce[None, :]) * (1 + 1e-9)
-    return np.sqrt(np.maximum(square - rounding, 0)) * (1 - 1e-12) - lost, np.sqrt(np.maximum(square + rounding, 0)) * (1 + 1e-12) + lost
+    low, high = np.sqrt(np.maximum(square - rounding, 0)) * (1 - 1e-12) - lost, np.sqrt(np.maximum(square + rounding, 0)) * (1 + 1e-12) + lost
+    return np.where(np.isnan(low), 0, low), np.where(np.isnan(high), np.inf, high)
+
+
+def _is_single(vectors: DataFrame) -> bool:
+    return vectors.schema["v"].dataType.elementType.simpleString() != "double"
+
+
+def _shrink(vectors: DataFrame) -> float:
+    """A power of two that brings the largest component of all vectors down to about LARGE, 1 if none is beyond. Single
+    precision ends long before."""
+    if _is_single(vectors):
+        return 1.0
+    most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    return 1.0 if most is None or most <= LARGE else 2.0 ** -int(np.ceil(np.log2(most / LARGE)))
+
+
+def distance(x: Column, y: Column, single: bool = False) -> Column:
+    """In double precision, components added in order; where their squares leave its range, as multiples of the largest.
+    Those of components in single precision never do."""
+    apart = F.zip_with(x, y, lambda a, b: a.cast("double") - b.cast("double"))
+    total = lambda d: F.aggregate(d, F.lit(0.0), lambda a, e: a + e * e)
+    if single:
+        return F.sqrt(total(apart))
+    plain, most = total(apart), F.array_max(F.transform(apart, F.abs))
+    fine = (plain < float("inf")) & ((plain > 1e-280) | (most == 0)) | (most == float("inf"))
+    return F.when(fine, F.sqrt(plain)).otherwise(most * F.sqrt(total(F.transform(apart, lambda e: e / most))))
 
 
 def _codes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +143,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     least = once.withColumn("_nth", copies).where(F.col("_nth") <= k + 1).select("vec_id", "v", F.lit(True).alias("candidate"))
     rest = once.where(is_query).select("vec_id", "v", F.lit(False).alias("candidate"))
     kind = f"vec_id long, v {once.schema['v'].dataType.simpleString()}, candidate boolean, codes binary, scale double, lost double"
-    rows = least.unionByName(rest).mapInPandas(lean(coded), kind)
+    times = _shrink(once)
+    rows = least.unionByName(rest).mapInPandas(lean(lambda batches: coded(batches, times)), kind)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("_size", F.size("v")), "vectors")
     sizes = rows.where("candidate").groupBy("_size").count().orderBy(F.desc("count"), "_size").limit(1).collect()
     rows = rows.where(F.col("_size") == (sizes[0][0] if sizes else 0))
@@ -133,10 +163,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     left = found.join(limits, "q_row").where("low <= limit").select("q_row", "c_row")
     left = left.join(candidates.select(F.col("row").alias("c_row"), "vec_id", F.col("v").alias("c_v")), "c_row")
     left = left.join(queries.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), "v"), "q_row")
-    # one order of additions, whatever the block
-    total = F.aggregate(F.zip_with("v", "c_v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     kind = "query_id long, vec_id long, score double"
-    merged = left.select("query_id", "vec_id", F.sqrt(total).alias("score")).mapInPandas(lean(lambda batches: heaps(batches, k)), kind)
+    merged = left.select("query_id", "vec_id", distance(F.col("v"), F.col("c_v"), _is_single(once)).alias("score")).mapInPandas(lean(lambda batches: heaps(batches, k)), kind)
 
     def ranked(b: pd.DataFrame) -> pd.DataFrame:
         best = heapq.nsmallest(k, set(zip(b["score"].tolist(), b["vec_id"].tolist(), strict=True)))
