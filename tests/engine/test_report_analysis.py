@@ -57,6 +57,13 @@ def documents():
     pages, tables = report()
     out["bare"] = (pages, [(2, 0, INCOME, PLACES), *tables[1:]])
     out["twice"] = report(heads=["", "2024", "FY 2023-24"])
+    pages, tables = report()
+    by_date, by_year = ["", "2026", "2025"], ["", "2025", "2024"]
+    tables = [(p, i, [by_year if p == 2 else by_date, *rows[1:]], x) for p, i, rows, x in tables]
+    pages = {p: t.replace("2024 2023", "Fiscal Fiscal\n2025 2024" if p == 2 else "February 1, February 2,\n2026 2025") for p, t in pages.items()}
+    bound = 'Our fiscal year ended February 1, 2026 ("fiscal 2025"). Fiscal 2024 is the year ended February 2, 2025.'
+    out["fiscal"] = ({**pages, 9: bound}, tables)
+    out["unbound"] = ({**pages, 9: bound.split(" Fiscal")[0]}, tables)
     out["nothing"] = ({1: "no statement here"}, [])
     return out
 
@@ -131,7 +138,7 @@ def test_words_stand_in_for_a_table_that_is_none(result):
 
 def test_documents_without_periods_have_flags_only(result):
     why = {r.document_id: r.na for r in result["without_periods"]}
-    assert set(why) == {"bare", "twice", "nothing"}
+    assert set(why) == {"bare", "twice", "unbound", "nothing"}
     assert why["bare"].detail == "income statement has no header row to read periods from" and why["nothing"] is None
     for doc in why:
         assert {r.outcome for r in result["flags"] if r.document_id == doc} == {"not_evaluated"}
@@ -139,6 +146,12 @@ def test_documents_without_periods_have_flags_only(result):
     assert status(result, "nothing").na.reason == "not_located"
 
 
+def test_dates_are_read_as_fiscal_years(result):
+    assert figure(result, "fiscal", "revenue", 2025) == Decimal(1_000_000_000) and figure(result, "fiscal", "total_assets", 2025) == Decimal(900_000_000)
+    assert figure(result, "fiscal", "total_assets", 2026) is None
+    assert "no sentence binds February 2, 2025" in next(r.na.detail for r in result["without_periods"] if r.document_id == "unbound")
+
+
 def test_no_reports(frames):
     pages, raw, words = (f.limit(0) for f in frames)
     out = analyse_reports(pages, raw, words)
