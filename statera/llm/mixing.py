@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.llm.common import buckets_for, lean, running_start, stored
@@ -140,9 +140,13 @@ def plan_of(sizes: list[tuple[str | None, int]], seed: int, block: int, shard: i
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text, null: 0), _text (hash that orders repeated ids)."""
+    """doc_id, source, size (words of the text, null: 0), _text (hash of text and, where there is one, lang: it orders repeated ids and tells them apart)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_text"))
+    return docs.select("doc_id", "source", size.alias("size"), _identity(docs).alias("_text"))
+
+
+def _identity(docs: DataFrame) -> Column:
+    return F.xxhash64("text", "lang") if "lang" in docs.columns else F.xxhash64("text")
 
 
 def queued(sizes: DataFrame, seed: int, block: int, shard: int) -> tuple[DataFrame, Plan]:
@@ -220,7 +224,9 @@ def taken(rows: DataFrame, mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The mix as documents: one row for each document and pass that takes part of it, with the words taken, in order.
 
-    doc_id, lang and source stay; a text keeps the white space between words taken together.
+    doc_id, lang and source stay; a text keeps the white space between words taken together. Rows that repeat id, source,
+    text and lang are told apart by nothing: what they take comes out as one of them. Null and wordless texts give no
+    rows, nor does an empty table.
     """
     rows, mixed, _ = mixture(docs, seed, block, shard)
     spans = mixed.groupBy("_source", "_start", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("spans"))
@@ -228,7 +234,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: i
     taken_of = rows.where("size > 0").select("_source", "_start", "_text", *named("doc_id", "source")).join(spans, ["_source", "_start"])
     key = ["_doc", "_name", "_text"]
     keyed = taken_of.groupBy(key).agg(F.collect_list(F.struct("copy", "spans")).alias("takes"), F.count_distinct("_start").alias("_rows"))
-    texts = docs.select("doc_id", "text", "lang", "source", *named("doc_id", "source"), F.xxhash64("text").alias("_text"))
+    texts = docs.select("doc_id", "text", "lang", "source", *named("doc_id", "source"), _identity(docs).alias("_text"))
     joined = texts.join(keyed, key)
     # what several equal rows take together goes to one of them
     full = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(key))

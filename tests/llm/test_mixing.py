@@ -98,3 +98,12 @@ def test_odd_texts_and_empty(spark, odd_docs):
     out = mixing.mixed_documents(odd_docs)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() > 0
     assert mixing.mixed_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_equal_texts_of_two_languages_stay_apart(spark):
+    said = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, said, "en", "a"), (1, said, "fr", "a"), (1, said, None, "a"), (2, said, "de", "b")], "doc_id long, text string, lang string, source string")
+    rows, mixed, _ = mixing.mixture(docs)
+    out = mixing.mixed_documents(docs).collect()
+    assert {r.lang for r in out} == {"en", "fr", None, "de"}
+    assert sum(words(r.text) for r in out) == sum(r.taken for r in mixing.taken(rows, mixed).collect())
