@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,12 @@ def split(counts: np.ndarray, take: int, seed: tuple[int, ...]) -> np.ndarray:
     return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
 
 
+@lru_cache(maxsize=2)
+def _ends(slots: bytes, run: int, size: int) -> np.ndarray:
+    """Slots of each source before a run and after it, made once for the shards of a run that a task meets in turn."""
+    return served(np.frombuffer(slots, np.int64), run, run + 1, size)
+
+
 def shard_counts(slots: np.ndarray, shards: int, shard: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's slots of each source, and how many of each the shards before it have.
 
@@ -97,7 +104,7 @@ def shard_counts(slots: np.ndarray, shards: int, shard: int, size: int, seed: in
     """
     run = max(1, RUN_SLOTS // size)
     first, last = shard // run * run, min(shards, (shard // run + 1) * run)
-    ends = served(slots.astype(np.int64), shard // run, shard // run + 1, run * size)
+    ends = _ends(slots.astype(np.int64).tobytes(), shard // run, run * size)
     counts, before, low, high = ends[1] - ends[0], ends[0], first, last
     while high - low > 1:
         mid = (low + high) // 2

@@ -6,6 +6,10 @@ that runs out leaves its share to the others by their weights. The state after a
 (the tokens due first, ties to the earlier queue), so each task derives the deficits at its own place and no state passes
 from partition to partition: they are carried exactly, all windows but the last one are full, and no source is ever a
 whole token off its target by more than the rounding of others.
+
+Where sources are few, each task asks the closed form for the windows that its documents lie in. Where they are many, the
+windows' shares are a table: a task takes a range of windows, derives the state at both ends and sorts the tokens due in
+between; shares and documents are joined by their place in the queue, in small blocks.
 """
 
 from __future__ import annotations
@@ -20,9 +24,14 @@ from pyspark.sql import functions as F
 from statera.llm.common import buckets_for, caches, lean, running_start, stored
 
 LENGTH, END_ID = 4096, 2
-#: Documents of all sources in a bucket; sources that one run may have (their totals pass the driver); words that a
-#: worker remembers; cells of the table of windows and sources that it holds at a time.
-BUCKET_ROWS, MOST_SOURCES, KNOWN_WORDS, CELLS = 4_096, 100_000, 1_000_000, 4_000_000
+#: Documents of all sources in a bucket; words that a worker remembers; cells of the table of windows and sources that it
+#: holds at a time.
+BUCKET_ROWS, KNOWN_WORDS, CELLS = 4_096, 1_000_000, 4_000_000
+#: Sources whose states are settled token by token; queues whose totals may pass the driver (more sources share queues);
+#: tokens of a range of windows, and of a block of a queue in which documents and shares meet.
+FEW_SOURCES, MOST_QUEUES, RANGE, BLOCK = 64, 100_000, 1 << 20, 256
+#: A queue is searched token by token where it has one in more windows than these.
+SPARSE = 50
 
 
 #: Bytes to the characters that byte-level vocabularies write them as: printable ones stand for themselves, the rest for
@@ -130,35 +139,68 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
 def pace(totals: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """When queues run out if all are served by their weights at once: tokens gone from all queues, and rounds, from 0."""
-    ends = totals / weights
+    ends = np.divide(totals, weights, out=np.zeros(len(totals)), where=weights > 0)
     order = np.argsort(ends, kind="stable")
     left = np.append(np.cumsum(weights[order][::-1])[::-1][1:], 0)
     return np.append(0, np.cumsum(totals[order]) + ends[order] * left), np.append(0, ends[order])
 
 
-def served(totals: np.ndarray, first: int, last: int, length: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """Tokens of each queue gone after ``first`` to ``last`` windows, a row for each number of windows.
+def state(totals: np.ndarray, gone: int, weights: np.ndarray) -> np.ndarray:
+    """Tokens of each queue among the first ``gone`` ones, by due time and then queue: the time is bisected, and what is due
+    about then is sorted, so ties cost no more than other tokens."""
+    by = lambda t: np.minimum(np.floor(t * weights + 0.5), totals).astype(np.int64)
+    low, high = 0.0, float(np.max(totals / weights)) + 1.0 / float(weights.min())
+    while low < (mid := (low + high) / 2) < high and high - low > 1e-13 * high:
+        if by(mid).sum() <= gone:
+            low = mid
+        else:
+            high = mid
+    q, top = by(low * (1 - 1e-12)), by(high * (1 + 1e-12))
+    queue, at = tokens_between(q, top)
+    first = np.argsort((2 * at + 1) / (2 * weights[queue]), kind="stable")[: gone - int(q.sum())]
+    return q + np.bincount(queue[first], minlength=len(totals))
+
+
+def tokens_between(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queue and place of every token from ``low`` to before ``high``, queue by queue."""
+    n = high - low
+    queue = np.repeat(np.arange(len(n)), n)
+    return queue, np.arange(len(queue)) - np.repeat(np.cumsum(n) - n, n) + low[queue]
+
+
+def served_at(totals: np.ndarray, windows: np.ndarray, length: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Tokens of each queue gone after so many windows, a row for each number of windows.
 
     Token i of a queue of weight w is due in round (i + 1/2) / w; after g tokens those due first are gone. Weights are
     the queues' totals if none are given.
     """
     weights = totals if weights is None else weights
     every = int(totals.sum())
-    gone = np.minimum(np.arange(first, last + 1, dtype=np.int64) * length, every)
+    gone = np.minimum(windows.astype(np.int64) * length, every)
+    if len(totals) > FEW_SOURCES:
+        out, some = np.zeros((len(gone), len(totals)), np.int64), totals > 0
+        for row, g in enumerate(gone.tolist()):
+            out[row, some] = state(totals[some], g, weights[some])
+        return out
     rounds = np.interp(gone, *pace(totals, weights)) * (1 - 1e-12)  # tokens due in this very round are left to the order of queues
     q = np.minimum(np.floor(rounds[:, None] * weights + 0.5).astype(np.int64), totals)
     owed = gone - q.sum(axis=1)
     while len(rows := np.flatnonzero(owed > 0)):
-        due = np.where(q[rows] < totals, (2 * q[rows] + 1) / (2 * weights), np.inf)
+        due = np.where(q[rows] < totals, (2 * q[rows] + 1) / (2 * np.maximum(weights, 1e-300)), np.inf)
         q[rows, due.argmin(axis=1)] += 1
         owed[rows] -= 1
     while len(rows := np.flatnonzero(owed < 0)):
-        due = np.where(q[rows] > 0, (2 * q[rows] - 1) / (2 * weights), -np.inf)
+        due = np.where(q[rows] > 0, (2 * q[rows] - 1) / (2 * np.maximum(weights, 1e-300)), -np.inf)
         q[rows, len(totals) - 1 - due[:, ::-1].argmax(axis=1)] -= 1
         owed[rows] += 1
     return q
 
 
+def served(totals: np.ndarray, first: int, last: int, length: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """``served_at`` for ``first`` to ``last`` windows."""
+    return served_at(totals, np.arange(first, last + 1), length, weights)
+
+
 def deficits(totals: np.ndarray, windows: int, length: int, weights: np.ndarray | None = None) -> np.ndarray:
     """What each queue is owed after so many windows (below 0: what it has been given ahead) and carries to the next one."""
     weights = totals if weights is None else weights
@@ -175,9 +217,11 @@ def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, len
     weighed = () if weights is None else (weights,)
     every, reach = int(totals.sum()), -(-len(totals) // (2 * length)) + 1
     gone, rounds = pace(totals, totals if weights is None else weights)
-    at = lambda place: float(np.interp(place / (totals if weights is None else weights)[queue], rounds, gone)) / length
+    at = lambda place: np.interp(place / (totals if weights is None else weights)[queue], rounds, gone) / length
     low = max(0, int(at(start.min())) - 2 - reach)
     high = min(-(-every // length), int(at((start + size).max())) + 3 + reach)
+    if high - low > SPARSE * int(size.sum()):
+        return _scattered(start, size, queue, totals, length, at, reach + 2, weights)
     step, out = max(1, CELLS // len(totals)), []
     for a in range(low, high, step):
         b = min(high, a + step)
@@ -204,36 +248,110 @@ def cut(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, len
     return found
 
 
+def _scattered(start: np.ndarray, size: np.ndarray, queue: int, totals: np.ndarray, length: int, at: Callable[[np.ndarray], np.ndarray], reach: int, weights: np.ndarray | None) -> dict[str, np.ndarray]:
+    """``cut`` for a queue with a token in few windows: each token's window is sought about its plain pace, none in between."""
+    row, place = tokens_between(start, start + size)
+    last, out = -(-int(totals.sum()) // length), []
+    span = np.arange(2 * reach + 2)
+    for part in np.array_split(np.arange(len(row)), len(row) * len(span) * len(totals) // CELLS + 1):
+        base = np.clip(at(place[part] + 0.5).astype(np.int64) - reach, 0, last)
+        near = np.minimum(base[:, None] + span, last)
+        edges = served_at(totals, near.ravel(), length, weights)[:, queue].reshape(near.shape)
+        w = base + (edges <= place[part][:, None]).sum(axis=1) - 1
+        q = [served_at(totals, w + i, length, weights) for i in (0, 1)]
+        if not ((q[0][:, queue] <= place[part]) & (place[part] < q[1][:, queue])).all():
+            raise ValueError(f"windows of queue {queue} were not found")
+        begin = place[part] - start[row[part]]
+        lead = (q[1] - q[0])[:, :queue].sum(axis=1)
+        out.append((row[part], begin, begin + 1, w, lead + place[part] - q[0][:, queue]))
+    return dict(zip(("row", "start", "end", "window", "offset"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+
+def shares(totals: np.ndarray, first: int, last: int, length: int, weights: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """What the windows from ``first`` to before ``last`` take of each queue, where that is anything: _queue, _from (place in
+    the queue), _n, _window, _offset (in the window, where queues stand in their order)."""
+    weights, every = totals if weights is None else weights, int(totals.sum())
+    some = np.flatnonzero(totals > 0)
+    ends = [state(totals[some], min(w * length, every), weights[some]) for w in (first, last)]
+    queue, place = tokens_between(*ends)
+    rank = np.empty(len(queue), np.int64)
+    rank[np.argsort((2 * place + 1) / (2 * weights[some][queue]), kind="stable")] = np.arange(len(queue))
+    window = first + rank // length
+    begin = np.flatnonzero(np.append(True, (np.diff(queue) != 0) | (np.diff(window) != 0))[: len(queue)])
+    n, queue, window = np.diff(np.append(begin, len(rank))), queue[begin], window[begin]
+    order = np.lexsort((queue, window))
+    offset = np.empty(len(n), np.int64)
+    offset[order] = np.cumsum(n[order]) - n[order] - (window[order] - first) * length
+    return {"_queue": some[queue].astype(np.int32), "_from": place[begin], "_n": n, "_window": window, "_offset": offset}
+
+
+def _meet(queued: DataFrame, totals: np.ndarray, parts: np.ndarray | None, length: int, width: int) -> DataFrame:
+    """Pieces where sources are many: documents and the windows' shares meet in blocks of their queue, each cut at blocks."""
+    spark, windows = queued.sparkSession, -(-int(totals.sum()) // length)
+    step = max(1, max(RANGE, 16 * len(totals)) // length)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in b["id"].tolist():
+                yield pd.DataFrame(shares(totals, i * step, min(windows, (i + 1) * step), length, parts))
+
+    ranges = -(-windows // step)
+    table = spark.range(0, ranges, 1, max(1, ranges)).mapInPandas(lean(run, "packing"), "_queue int, _from long, _n long, _window long, _offset long")
+    end = F.col("_from") + F.col("_n")
+    blocks = lambda first, n: F.sequence(F.floor(first / BLOCK), F.floor((first + n - 1) / BLOCK))
+    table = table.withColumn("_block", F.explode(blocks(F.col("_from"), F.col("_n"))))
+    at, size = F.col("_start"), F.col("n_tokens")
+
+    def piece(block):
+        low, high = F.greatest(block * BLOCK, at), F.least((block + 1) * BLOCK, at + size)
+        return F.struct(block.alias("_block"), low.alias("_low"), high.alias("_high"), F.substring("ids", ((low - at) * width + 1).cast("int"), ((high - low) * width).cast("int")).alias("_ids"))
+
+    cut_up = queued.select("_queue", "doc_id", "source", "n_tokens", "_start", F.explode(F.transform(blocks(at, size), piece)).alias("_p"))
+    cut_up = cut_up.select("_queue", "doc_id", "source", "n_tokens", "_start", "_p.*")
+    # both sides grow with the corpus
+    met = table.join(cut_up.hint("merge"), ["_queue", "_block"]).where((F.col("_low") < end) & (F.col("_from") < F.col("_high")))
+    low, high = F.greatest("_low", "_from"), F.least(F.col("_high"), end)
+    ids = F.substring("_ids", ((low - F.col("_low")) * width + 1).cast("int"), ((high - low) * width).cast("int"))
+    if width == 2:  # to 32 bits
+        ids = F.unhex(F.regexp_replace(F.hex(ids), "(.{4})", "$10000"))
+    return met.select("doc_id", "source", (low - at).alias("start"), (high - low).alias("length"), ids.alias("ids"), F.col("n_tokens").alias("doc_tokens"), F.col("_window").alias("sequence_id"), (F.col("_offset") + low - F.col("_from")).alias("offset"))
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, weights: dict[str | None, float] | None = None) -> DataFrame:
     """All documents cut into sequences of ``length`` tokens, each holding the sources in their target proportions.
 
     ``weights`` gives every source its part of each sequence (any positive numbers; a source without one is an error); a
     source that runs out leaves its part to the others. Without weights the proportions are the corpus's own, which no
-    source runs out of before the last sequence.
+    source runs out of before the last sequence; beyond MOST_QUEUES sources, those of one hash share a queue, in which
+    their documents stand in the order of a hash.
 
     Returns per piece: doc_id, source, start, length, ids (unsigned little-endian 32 bits), doc_tokens, sequence_id,
     offset. Only the last sequence is shorter (to be padded). A null source is a source, null text an empty document
     of its end id alone, repeated rows are documents of their own; no rows give no pieces.
     """
     tokens = stored(tokenized(docs, path, end_id), "tokens")
-    rows = tokens.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"{len(rows)} sources; packing takes {MOST_SOURCES}")
-    rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
+    sums, key = tokens.groupBy("source").agg(F.sum("n_tokens"), F.count("*")), F.col("source")
+    if weights is None and sums.limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
+        key = F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string")
+        sums = tokens.groupBy(key.alias("source")).agg(F.sum("n_tokens"), F.count("*"))
+    rows = sorted(sums.collect(), key=lambda r: (r[0] is None, r[0] or ""))
     totals = np.array([r[1] for r in rows], np.int64)
     if weights is not None and (odd := [r[0] for r in rows if not 0 < weights.get(r[0], 0) < float("inf")]):
         raise ValueError(f"no positive weight for sources {odd[:10]}")
     parts = None if weights is None else np.array([weights[r[0]] for r in rows], float)
     names = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "_queue int, _name string")
     n = buckets_for(sum(r[2] for r in rows), BUCKET_ROWS)
-    placed = tokens.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    placed = tokens.join(F.broadcast(names), key.eqNullSafe(F.col("_name"))).drop("_name")
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(n)).cast("int"))
     queued = running_start(placed, "_queue", "_bucket", [F.col("doc_id"), F.xxhash64("ids")], "n_tokens", "_start")
+    if len(rows) > FEW_SOURCES:
+        return _meet(queued, totals, parts, length, np.dtype(encoder(path).kind).itemsize)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kind = encoder(path).kind
         for batch in batches:
-            for queue, b in batch.groupby("_queue", sort=False):
+            # a bucket's documents stand next to each other in their queue
+            for (queue, _), b in batch.groupby(["_queue", "_bucket"], sort=False):
                 p = cut(b["_start"].to_numpy(np.int64), b["n_tokens"].to_numpy(np.int64), int(queue), totals, length, parts)
                 texts, row = [np.frombuffer(x, kind).astype("<u4") for x in b["ids"]], p["row"]
                 yield pd.DataFrame({
@@ -247,7 +365,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
                     "offset": p["offset"],
                 })
 
-    kept = queued.select("_queue", F.col("doc_id").cast("string").alias("doc_id"), "source", "n_tokens", "_start", "ids")
+    kept = queued.select("_queue", "_bucket", F.col("doc_id").cast("string").alias("doc_id"), "source", "n_tokens", "_start", "ids")
     out = kept.mapInPandas(lean(run, "packing"), "doc_id string, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
