@@ -22,7 +22,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else float(v) if type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", ["metrics_long_with_reasons", "reconciliation_checks", "classify_cells", "label_match", "eval_summary", "choose_statement_set", "page_clusters", "text_layer_probe"])
+@pytest.mark.parametrize("name", ["metrics_long_with_reasons", "reconciliation_checks", "classify_cells", "label_match", "eval_summary", "choose_statement_set", "page_clusters", "text_layer_probe", "red_flag_messages", "metric_rows", "eval_compare", "candidate_pages", "token_column_range_join"])
 def test_queries_equal_their_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
