@@ -22,12 +22,13 @@ from pyspark.sql.window import Window
 
 from statera.llm.common import few, lean, stored
 from statera.llm.components import components
-from statera.llm.words import batches, hashed
+from statera.llm.words import batches, graded, hashed, least_counts
 from statera.llm.words import sketch as count_sketch
 
-#: log2 of the sketch's counters (their array, 4 bytes each, is what executors are sent); sizes below which all shingles
-#: count as rare; shingles of a class of frequent ones; nodes sent to executors instead of being shuffled for.
-SKETCH_BITS, SMALL, CLASS, BROADCAST_ROWS = 22, 64, 4, 500_000
+#: Least and most log2 of the sketch's counters (executors are sent their array, a byte each), and characters of the corpus
+#: for one of them in between; sizes below which all shingles count as rare; shingles of a class of frequent ones; nodes
+#: sent to executors instead of being shuffled for.
+LEAST_BITS, MOST_BITS, CHARS, SMALL, CLASS, BROADCAST_ROWS = 22, 26, 256, 64, 4, 500_000
 #: Nodes of an index entry that one task orders: of a larger entry, blocks of so many.
 BLOCK_ROWS = 2_048
 #: What names a document: its id (the least number for a null one) and a hash of its text and of whether the id is null.
@@ -54,15 +55,20 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return next(shingles_of([text or ""], words))
 
 
-def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Documents per hash bucket of shingles, over the whole corpus."""
+def bits_for(size: int) -> int:
+    """log2 of the counters for a corpus of so many characters."""
+    return min(MOST_BITS, max(LEAST_BITS, (size // CHARS).bit_length()))
+
+
+def sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
+    """Grades of how many documents each hash bucket of shingles has, over the whole corpus."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
     def hashes(part: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(part), 128):
             yield np.concatenate(list(shingles_of(part[i : i + 128], words)))
 
-    return count_sketch(texts, hashes, bits)
+    return count_sketch(texts, hashes, bits, graded)
 
 
 def least_common(n: int, percent: int) -> int:
@@ -73,7 +79,7 @@ def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: float, percent: i
     """What is indexed for a set: rare shingles of the prefix, and pairs within classes of its frequent ones; and of each
     how many of the set's shingles can't be common to a partner with which it is the first to be shared.
 
-    ``seen`` are the sketch's counts. Classes depend on the power of two below a set's size; a set whose partners can
+    ``seen`` are the sketch's counts or grades, ``frequent`` is one of them. Classes depend on the power of two below a set's size; a set whose partners can
     lie beyond a power of two is indexed for both sides of it. Before the first shared pair each earlier class can hold
     one common shingle.
     """
@@ -113,12 +119,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text, there).alias("_hash"), there.alias("known"), text.alias("text"))
 
 
-def indexed(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+def limits(grades: np.ndarray) -> tuple[int, int]:
+    """Grades up to which shingles are rare, and up to which hardly any document shares them, by the mean of all counters."""
+    steps = np.bincount(grades, minlength=256)
+    mean = float(steps @ least_counts()) / len(grades)
+    rare, own = graded(np.array([4 * mean + 64, 2 * mean + 16]))
+    return int(rare), int(own)
+
+
+def indexed(docs: DataFrame, words: int, percent: int, bits: int | None) -> DataFrame:
     """_id, _hash, known, n (size of its set), core (its shingles that others seem to have), digest of the set, what is indexed."""
-    counts = sketch(docs, words, bits)
-    mean = float(counts.sum(dtype=np.float64)) / len(counts)
-    frequent, shared = 4 * mean + 64, 2 * mean + 16
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    if bits is None:
+        bits = bits_for(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    grades = sketch(docs, words, bits)
+    frequent, shared = limits(grades)
+    held = docs.sparkSession.sparkContext.broadcast(grades)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = held.value
@@ -211,19 +226,21 @@ def rest_pairs(rows: DataFrame, joined: DataFrame, near: DataFrame, percent: int
     """Pairs that may be links between nodes that share an entry and that ``joined`` (node, component) does not join yet.
 
     Entries within one component are left out. Nodes of others meet those of their own class of size and of the next ones,
-    the only ones that can be similar enough.
+    the only ones that can be similar enough. An entry of more than BLOCK_ROWS nodes is dealt into blocks; its nodes meet
+    each block by itself.
     """
     placed = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("sig")
-    mixed = placed.join(several, "sig", "left_semi").withColumn("_class", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9))
+    several = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks")).where("_low < _high")
+    mixed = placed.join(several.select("sig", "_blocks"), "sig").withColumn("_class", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9))
     mixed = stored(mixed, "mixed")
-    one = mixed.select("sig", *_named("p"), F.col("component").alias("_p"), F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).alias("_class"))
-    other = mixed.select("sig", "_class", *_named("q"), F.col("component").alias("_q"))
-    rest = one.join(other, ["sig", "_class"]).where(f"p < q AND _p <> _q AND {_fits(percent)}")
+    one = mixed.select("sig", *_named("p"), F.col("component").alias("_p"), "_blocks", F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)).alias("_class"))
+    one = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")).drop("_blocks")
+    other = mixed.select("sig", "_class", F.pmod(F.xxhash64("node"), "_blocks").alias("_block"), *_named("q"), F.col("component").alias("_q"))
+    rest = one.join(other, ["sig", "_class", "_block"]).where(f"p < q AND _p <> _q AND {_fits(percent)}")
     return _pairs(rest, percent).join(near, ["a", "b"], "left_anti")
 
 
-def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with n and digest; nodes, one for each distinct set; components of the nodes that have links).
 
     The components are those of all links between sets that have percent of their union in common.
@@ -242,7 +259,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH
     return seen, nodes, components(first.union(second))
 
 
-def _classes(docs: DataFrame, words: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, words: int, percent: int, bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(documents with words: _id, _hash, known, n, component; documents without)."""
     seen, nodes, parts = links(docs, words, percent, bits)
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -251,7 +268,7 @@ def _classes(docs: DataFrame, words: int, percent: int, bits: int) -> tuple[Data
     return seen.where("n > 0").select(*KEY, "known", "n", "digest").join(classes, "digest"), seen.where("n = 0")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, bits: int = SKETCH_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) of every document.
 
     Null, empty and wordless texts have an empty set and no link; fewer words than a shingle's are one shingle; repeated
@@ -264,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90, bits: in
     return rows.union(none.select(doc, F.col("n").alias("n_shingles"), doc.alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, bits: int | None = None) -> DataFrame:
     """The rows of docs without near duplicates: of each component the one with the smallest doc_id stays.
 
     Rows that repeat an id with another text are documents of their own, ordered by a hash of the text; a null id comes

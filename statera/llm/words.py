@@ -151,3 +151,9 @@ def graded(counts: np.ndarray) -> np.ndarray:
     """Counts in one byte that keeps their order: exact up to 15, then eight grades for each power of two."""
     x = np.maximum(counts, 1).astype(np.float64)
     return np.where(counts <= 15, counts, np.minimum(255, 16 + np.floor(8 * (np.log2(x) - 4)))).astype(np.uint8)
+
+
+def least_counts() -> np.ndarray:
+    """The least count of each grade."""
+    grade = np.arange(256, dtype=np.float64)
+    return np.where(grade <= 15, grade, np.exp2((grade - 16) / 8 + 4))

@@ -5,6 +5,7 @@ import pytest
 
 from statera.llm import similar
 from statera.llm.components import components
+from statera.llm.words import graded as words_graded
 
 
 def brute(rows, words, percent):
@@ -137,3 +138,12 @@ def test_hot_entries_in_blocks(spark, monkeypatch, rows_a_block):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(similar.near_duplicates(docs, 3, 90, bits=12)) == brute(rows, 3, 90)
+
+
+def test_sketch_grows_with_the_corpus():
+    assert similar.bits_for(0) == similar.bits_for(500_000_000) == similar.LEAST_BITS
+    assert similar.bits_for(8_000_000_000) == 25 and similar.bits_for(10**14) == similar.MOST_BITS
+    grades = np.zeros(1 << 12, np.uint8)
+    assert similar.limits(grades) == (32, 16)
+    rare, own = similar.limits(words_graded(np.full(1 << 12, 1000)))
+    assert words_graded(np.array([1000]))[0] <= own < rare < words_graded(np.array([8000]))[0]

@@ -32,3 +32,11 @@ def test_no_collisions_among_short_words():
 def test_grades_keep_order():
     x = np.array([0, 1, 2, 15, 16, 17, 40, 1000, 10**6, 4 * 10**9])
     assert (np.diff(words.graded(x).astype(int)) >= 0).all() and words.graded(x)[1] == 1
+
+
+def test_grades_keep_order_and_least_counts():
+    counts = np.unique(np.concatenate((np.arange(3000), 2 ** np.arange(32, dtype=np.int64) - 1))).astype(np.uint32)
+    grades = words.graded(counts)
+    least = words.least_counts()[grades]
+    assert (np.diff(grades.astype(int)) >= 0).all() and (least <= counts + 1e-6).all()
+    assert (counts <= np.maximum(15, least * 2 ** (1 / 8) + 1e-6))[counts < 2**31].all()
