@@ -27,7 +27,7 @@ def test_queries_equal_their_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(([plain(x) for x in r] for r in df.select(*columns).collect()), key=str)
-    want = sorted(([plain(x) for x in r] for r in duck.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE[name]})").fetchall()), key=str)
+    want = sorted(([plain(x) for x in r] for r in duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({catalog.ORACLE[name]})").fetchall()), key=str)
     assert got == want
 
 
