@@ -126,8 +126,10 @@ def label_match(spark: SparkSession, d: str) -> DataFrame:
 def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Claims of order lines as rows of a statement: order as document, line as row; labels by key."""
     labels = F.array(*map(F.lit, ["Net sales", "Total", "Cost of sales", "Sales"]))
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("income").alias("kind"), F.concat(F.lit("r"), "l_linenumber").alias("ref_id"), F.element_at(labels, ((F.col("l_partkey") + F.col("l_suppkey")) % 4 + 1).cast("int")).alias("label"))
-    rows = rows.dropDuplicates(["document_id", "ref_id"])
+    place = F.struct("_metadata.file_path", "_metadata.row_index")  # of rows with one key the first in the files stays, as in the SQL
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_suppkey")).alias("n"), place.alias("place"))
+    first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("n", "place").alias("n"))
+    rows = first.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("income").alias("kind"), F.concat(F.lit("r"), "l_linenumber").alias("ref_id"), F.element_at(labels, (F.col("n") % 4 + 1).cast("int")).alias("label"))
     concept = F.when(F.col("label") == "Cost of sales", "cogs").otherwise("revenue")
     return rows.select("document_id", concept.alias("concept"), "ref_id", "kind", "label", F.lit("synonym_match").alias("extraction")), rows
 
