@@ -6,7 +6,7 @@ own most frequent n-grams are compared to each profile by the sum of how far out
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -17,11 +17,11 @@ from pyspark.sql.window import Window
 
 from statera.llm.common import lean
 
-#: N-grams of a profile and of a text; documents of a language from which its profile is learnt (fewer if there are
-#: fewer; they are those with the smallest hashes of their ids); languages that one run may have.
-PROFILE, OWN, LEARNT_DOCS, MOST_LANGUAGES = 400, 300, 3_000, 1_000
+#: N-grams of a profile and of a text; languages that one run may have; letters of texts whose n-grams are sorted at a time,
+#: and distinct n-grams that a task holds of a language before it sends their counts.
+PROFILE, OWN, MOST_LANGUAGES, SORTED, HELD = 400, 300, 1_000, 1 << 19, 1 << 17
 UNKNOWN = "und"
-#: A text is in none of the languages learnt below this share of the score that all but LOW of the learnt texts reach.
+#: A text is in none of the languages learnt below this share of the score that all but LOW of the texts with a language reach.
 LOW, SHARE = 0.1, 0.5
 
 
@@ -54,31 +54,63 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
 
 
-def sample(docs: DataFrame, learnt_docs: int = LEARNT_DOCS) -> DataFrame | None:
-    """lang and text of the documents that profiles are learnt from; None if there are none."""
-    known = learnable(docs).select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(2**30)).alias("_h"))
-    counts = known.groupBy("lang").count().collect()
+def known(docs: DataFrame, learnt_docs: int | None = None) -> DataFrame | None:
+    """lang and text of the documents that profiles are learnt from: all with both, or of each language about so many, those
+    with the smallest hashes of their ids; None if there are none."""
+    rows = learnable(docs).select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(2**30)).alias("_h"))
+    counts = rows.groupBy("lang").count().collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"{len(counts)} languages; profiles take {MOST_LANGUAGES}")
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, int(2**30 * min(1.0, learnt_docs / n)))])
-    return known.where(F.col("_h") < F.element_at(share, F.col("lang"))).select("lang", "text")
+    if learnt_docs is not None:
+        share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, int(2**30 * min(1.0, learnt_docs / n)))])
+        rows = rows.where(F.col("_h") < F.element_at(share, F.col("lang")))
+    return rows.select("lang", "text")
 
 
-def profiles(docs: DataFrame, learnt_docs: int = LEARNT_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
-    """The n-grams of each language by rank, learnt from texts and languages of the rows given."""
-    rows = sample(docs, learnt_docs)
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their counts added up."""
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def profiles(docs: DataFrame, learnt_docs: int | None = None, size: int = PROFILE) -> dict[str, list[int]]:
+    """The n-grams of each language by rank, learnt from texts and languages of all rows given (see ``known``)."""
+    rows = known(docs, learnt_docs)
     if rows is None:
         return {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for lang, some in b.groupby("lang"):
-                found = [grams(t) for t in some["text"]]
-                key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in found]), len(key)).astype(np.int64)
-                yield pd.DataFrame({"lang": lang, "gram": key, "n": n})
+                for text in joined(some["text"]):
+                    key, n = grams(text)
+                    if lang in held:
+                        key, n = _summed(np.concatenate((held[lang][0], key)), np.concatenate((held[lang][1], n)))
+                    held[lang] = key, n
+                    if len(key) > HELD:
+                        yield sent(lang, *held.pop(lang))
+        for lang, (key, n) in held.items():
+            yield sent(lang, key, n)
+
+    def joined(texts: Iterable[str]) -> Iterator[str]:
+        """Texts with a space between, so that no n-gram spans two, of about SORTED letters; a longer one is taken alone."""
+        run, letters = [], 0
+        for t in texts:
+            if run and letters + len(t) > SORTED:
+                yield " ".join(run)
+                run, letters = [], 0
+            run.append(t)
+            letters += len(t) + 1
+        if run:
+            yield " ".join(run)
+
+    def sent(lang: str, key: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"lang": lang, "gram": key, "n": n.astype(np.int64)})
 
     sums = rows.mapInPandas(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
@@ -135,12 +167,14 @@ def predictions(docs: DataFrame, learnt: dict[str, list[int]], columns: list[str
     return out.withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
 
 
-def limit(docs: DataFrame, learnt: dict[str, list[int]], learnt_docs: int = LEARNT_DOCS) -> float:
-    """The least score of a text in one of the languages learnt, from the scores of the texts they were learnt from."""
-    rows = sample(docs, learnt_docs)
-    if rows is None:
-        return 0.0
-    scored = predictions(rows, learnt, ["lang"]).where("score > 0").select(F.floor(F.col("score") * 1000).alias("score"))
+def limit(docs: DataFrame, learnt: dict[str, list[int]]) -> float:
+    """The least score of a text in one of the languages learnt, from the scores of all texts with a language."""
+    return least_score(predictions(docs, learnt, ["doc_id", "text", "lang"]))
+
+
+def least_score(found: DataFrame) -> float:
+    """``limit`` from what ``predictions`` gave (doc_id, text, lang, score)."""
+    scored = learnable(found).where("score > 0").select(F.floor(F.col("score") * 1000).alias("score"))
     low = scored.agg(F.percentile("score", F.lit(LOW))).collect()[0][0]  # of 1,001 values at most
     return SHARE * (low or 0.0) / 1000
 
