@@ -198,7 +198,7 @@ def page_clusters(spark: SparkSession, d: str) -> DataFrame:
 def token_column_range_join(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("key"), "l_orderkey", "l_linenumber", (F.floor(F.col("l_quantity")) * 20 + F.col("l_linenumber")).cast("double").alias("x"))
     spans = layout.column_spans(edges.select("key", "x"))
-    found = layout.in_columns(edges.select("key", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "x").distinct(), spans)
+    found = layout.in_columns(edges.select("key", F.struct("l_orderkey", "l_linenumber").alias("id"), "x"), spans)
     return found.groupBy("key", "column").agg(F.count("*").alias("n"))
 
 
