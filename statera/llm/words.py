@@ -14,8 +14,8 @@ from statera.llm.common import lean
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of text that are taken at a time (a longer text is taken alone), log2 of the counters of a slice of a sketch,
-#: buckets or words that a task counts before it sends sums, and tasks whose slices are added up together.
-BATCH, SLICE_BITS, HELD, FAN_IN = 1 << 1 << 18, 17, 1 << 20, 512
+#: buckets or words that a task counts before it sends sums, hashes that it sorts at a time, and tasks whose slices are added up together.
+BATCH, SLICE_BITS, HELD, SORTED, FAN_IN = 1 << 18, 17, 1 << 19, 1 << 18, 512
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -91,7 +91,7 @@ def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]],
             for x in hashes(b["text"].tolist()):
                 fresh.append((x >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(x)
-                if size > HELD:
+                if size > SORTED:
                     at, n = _added(at, n, fresh)
                     fresh, size = [], 0
                     if len(at) > HELD:
