@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statera.llm.common import few, lean, stored
+from statera.llm.common import dropped, few, lean, stored
 from statera.llm.components import components
 from statera.llm.words import batches, graded, hashed, least_counts
 from statera.llm.words import sketch as count_sketch
@@ -202,6 +202,17 @@ def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> Da
     return stored(sets_of(docs, stored(involved.join(nodes.select("node", *KEY, "digest"), "node"), "involved"), words), "sets")
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows of index entries that several nodes have: no other can give a pair.
+
+    Entries are counted, and the shuffle files of that are gone, before the rows are dealt.
+    """
+    counts = stored(rows.groupBy("sig").agg(F.count("*").alias("_m")).where("_m > 1").select("sig"), "counts")
+    kept = stored(rows.join(counts, "sig").select(*rows.columns), "shared")
+    dropped(counts)
+    return kept
+
+
 def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs that may be links: in each index entry, nodes with the next smaller one and with the one that has most in common
     with others, which is closest to all of a group of copies.
@@ -245,13 +256,17 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, bits: int | None =
 
     The components are those of all links between sets that have percent of their union in common.
     """
-    seen = stored(indexed(docs, words, percent, bits), "indexed")
-    sets = seen.where("n > 0").groupBy("digest").agg(
+    whole = stored(indexed(docs, words, percent, bits), "indexed")
+    sets = whole.where("n > 0").groupBy("digest").agg(
         F.min(F.struct(*KEY)).alias("k"), F.min(F.when(F.col("known"), F.col("_id"))).alias("label"), F.first("n").alias("n"), F.first("core").alias("core"),
         F.first(F.arrays_zip(F.col("sigs").alias("sig"), "pos")).alias("sigs"),
     )
-    nodes = stored(sets.select("digest", "k.*", "label", "n", "core", "sigs", F.monotonically_increasing_id().alias("node")), "nodes")
-    rows = nodes.select("node", "n", "core", F.inline("sigs").alias("sig", "pos"))
+    numbered = stored(sets.select("digest", "k.*", "label", "n", "core", "sigs", F.monotonically_increasing_id().alias("node")), "numbered")
+    seen = stored(whole.select(*KEY, "known", "n", "digest"), "seen")
+    dropped(whole)
+    rows = shared(numbered.select("node", "n", "core", F.inline("sigs").alias("sig", "pos")))
+    nodes = stored(numbered.drop("sigs"), "nodes")
+    dropped(numbered)
     near = stored(first_pairs(rows, percent), "near")
     first = stored(verified(near, _sets(docs, near, nodes, words), percent), "links")
     rest = stored(rest_pairs(rows, components(first), near, percent), "rest")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import lean
+from statera.llm.common import dropped, lean, stored
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -129,8 +129,10 @@ def sketch(docs: DataFrame, hashes: Callable[[list[str]], Iterator[np.ndarray]],
     sums = sums.groupBy("slice", "tasks").applyInPandas(some, kind)
     dtype = finish(np.zeros(1, np.uint32)).dtype
     out = np.tile(finish(np.zeros(1, np.uint32)), 1 << bits).reshape(-1, 1 << low)
-    for r in sums.groupBy("slice").applyInPandas(whole, "slice int, sums binary").toLocalIterator():
+    found = stored(sums.groupBy("slice").applyInPandas(whole, "slice int, sums binary"), "sketch")  # its shuffle files go when it is written
+    for r in found.toLocalIterator():
         out[r["slice"]] = np.frombuffer(r["sums"], dtype)
+    dropped(found)
     return out.reshape(-1)
 
 
