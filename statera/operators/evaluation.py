@@ -32,27 +32,47 @@ def annual_facts(facts: DataFrame, kind: str = "kind") -> DataFrame:
 
 def truth(facts: DataFrame) -> DataFrame:
     """document_id, concept, end_year, values, tags; where one tag has two values in a year, the whole year is left out."""
-    per_tag = facts.groupBy("document_id", "concept", "end_year", "tag").agg(F.collect_set("value").alias("values"))
-    rows = per_tag.groupBy("document_id", "concept", "end_year").agg(F.bool_or(F.size("values") > 1).alias("_conflict"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"), F.array_sort(F.collect_set("tag")).alias("tags"))
+    per_tag = facts.groupBy("document_id", "concept", "end_year", "tag").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    several = F.coalesce(F.col("_low") < F.col("_high"), F.lit(False))
+    rows = per_tag.groupBy("document_id", "concept", "end_year").agg(F.bool_or(several).alias("_conflict"), F.array_sort(F.collect_set("_low")).alias("values"), F.array_sort(F.collect_set("tag")).alias("tags"))
     return rows.where("NOT _conflict").drop("_conflict")
 
 
-def scored(values: DataFrame, known: DataFrame) -> DataFrame:
+def scored(values: DataFrame, known: DataFrame, tasks: int | None = None) -> DataFrame:
     """document_id, concept, end_year, outcome, sub: one row per true value, and one per mapped value without one.
 
     values: document_id, concept, end_year, value, tolerance (half a printed unit), agnostic (whether signs may differ).
+    tasks: into how many the rows are dealt. Both frames meet in one shuffle, a row for each document's concept.
     """
-    other = known.groupBy("document_id", "concept").agg(F.collect_list(F.struct("end_year", "values")).alias("_all"))
-    rows = known.join(other, ["document_id", "concept"]).join(values, ["document_id", "concept", "end_year"], "left")
-    near = lambda x: F.abs(F.col("value") - x) <= F.col("tolerance")
-    sizes = lambda x: F.abs(F.abs("value") - F.abs(x)) <= F.col("tolerance")
-    loose = lambda x: near(x) | (F.col("agnostic") & sizes(x))
-    others = F.flatten(F.transform(F.filter("_all", lambda o: o["end_year"] != F.col("end_year")), lambda o: o["values"]))
-    sub = F.when(F.exists("values", sizes), "sign_mismatch").when(F.exists(others, loose), "wrong_period").otherwise("value")
-    outcome = F.when(F.col("value").isNull(), "withheld").when(F.exists("values", loose), "correct").otherwise("wrong")
-    out = rows.withColumn("outcome", outcome).select("document_id", "concept", "end_year", "outcome", F.when(F.col("outcome") == "wrong", sub).alias("sub"))
-    extra = values.join(known, ["document_id", "concept", "end_year"], "left_anti")
-    return out.union(extra.select("document_id", "concept", "end_year", F.lit("unverified"), F.lit(None).cast("string")))
+    keys = ["document_id", "concept"]
+    there = F.col("document_id").isNotNull() & F.col("concept").isNotNull()
+    truths = known.select(*keys, F.struct("end_year", "values").alias("_t"))
+    mapped = values.select(*keys, F.struct("end_year", "value", "tolerance", "agnostic").alias("_v"))
+    rows = truths.unionByName(mapped, allowMissingColumns=True)
+    met = rows.where(there)
+    met = met.repartition(tasks, *keys) if tasks else met
+    met = met.groupBy(*keys).agg(F.collect_list("_t").alias("_all"), F.collect_list("_v").alias("_values"))
+    near = lambda v, x: F.abs(v["value"] - x) <= v["tolerance"]
+    sizes = lambda v, x: F.abs(F.abs(v["value"]) - F.abs(x)) <= v["tolerance"]
+    loose = lambda v, x: near(v, x) | (v["agnostic"] & sizes(v, x))
+    result = lambda year, outcome, sub: F.struct(year.alias("end_year"), outcome.alias("outcome"), sub.alias("sub"))
+    none = F.lit(None).cast("string")
+
+    def judged(t: Column, v: Column) -> Column:
+        others = F.flatten(F.transform(F.filter("_all", lambda o: o["end_year"] != t["end_year"]), lambda o: o["values"]))
+        sub = F.when(F.exists(t["values"], lambda x: sizes(v, x)), "sign_mismatch").when(F.exists(others, lambda x: loose(v, x)), "wrong_period").otherwise("value")
+        hit = F.exists(t["values"], lambda x: loose(v, x))
+        return F.when(v["value"].isNull(), result(t["end_year"], F.lit("withheld"), none)).when(hit, result(t["end_year"], F.lit("correct"), none)).otherwise(result(t["end_year"], F.lit("wrong"), sub))
+
+    def of_year(t: Column) -> Column:
+        own = F.transform(F.filter("_values", lambda v: v["end_year"] == t["end_year"]), lambda v: judged(t, v))
+        return F.when(F.size(own) > 0, own).otherwise(F.array(result(t["end_year"], F.lit("withheld"), none)))
+
+    extra = F.filter("_values", lambda v: ~F.coalesce(F.exists("_all", lambda t: t["end_year"] == v["end_year"]), F.lit(False)))
+    extra = F.transform(extra, lambda v: result(v["end_year"], F.lit("unverified"), none))
+    out = met.select(*keys, F.inline(F.concat(F.flatten(F.transform("_all", of_year)), extra)))
+    alone = F.when(F.col("_t").isNotNull(), result(F.col("_t.end_year"), F.lit("withheld"), none)).otherwise(result(F.col("_v.end_year"), F.lit("unverified"), none))
+    return out.union(rows.where(~there).select(*keys, alone.alias("_o")).select(*keys, "_o.*"))
 
 
 def _share(a: Column, b: Column) -> Column:

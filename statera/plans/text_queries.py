@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statera.functions import tokens as t
 from statera.functions.vocabulary import CONCEPTS, CURRENCIES, IMPLIED, SCALES, aliases
 from statera.operators import evaluation, gates, layout, mapping
+from statera.sources.scratch import settled
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -251,8 +252,16 @@ def truth_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _few_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts with a document for each order, so that few share a tag and year."""
-    return evaluation.annual_facts(_facts(spark, d)).withColumn("document_id", F.floor(F.col("l_orderkey") / 2))
+    """Facts with a document for each order, so that few share a tag and year; a document's concept is in one task."""
+    return evaluation.annual_facts(_facts(spark, d)).withColumn("document_id", F.floor(F.col("l_orderkey") / 2)).repartition(_tasks(spark, d), "document_id", "concept")
+
+
+#: Order lines whose facts one task holds: its memory stays the same at any size.
+_LINES = 500_000
+
+
+def _tasks(spark: SparkSession, d: str) -> int:
+    return max(1, -(-table(spark, d, "lineitem").count() // _LINES))
 
 
 _TRUTH_SQL = f"""WITH {_FACTS_SQL}, g AS (SELECT l_orderkey // 2 AS document_id, concept, end_year, tag, list(DISTINCT value) AS vals FROM annual GROUP BY ALL),
@@ -260,14 +269,14 @@ _TRUTH_SQL = f"""WITH {_FACTS_SQL}, g AS (SELECT l_orderkey // 2 AS document_id,
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    known = evaluation.truth(_few_facts(spark, d))
+    known = settled(evaluation.truth(_few_facts(spark, d)), "truth")
     first = F.element_at("values", 1)
     values = known.where("(document_id + end_year) % 5 <> 0").select(
         "document_id", "concept", "end_year", F.when(F.col("document_id") % 4 == 1, -first).when(F.col("document_id") % 4 == 2, first + 7).otherwise(first).alias("value"),
         F.lit(0.5).cast("decimal(2,1)").alias("tolerance"), (F.col("concept") == "c1").alias("agnostic"),
     )
     extra = values.where("document_id % 9 = 0").withColumn("end_year", F.col("end_year") + 50)
-    return evaluation.scored(values.union(extra), known)
+    return evaluation.scored(values.union(extra), known, _tasks(spark, d))
 
 
 def score_outcomes(spark: SparkSession, d: str) -> DataFrame:
