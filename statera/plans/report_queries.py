@@ -20,16 +20,13 @@ _LABELS = ["Revenue from sales", "Total assets", "Other equity", "Net cash", "Wi
 
 def table_scores(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tables, their lines as rows: what each table scores as each statement."""
-    lines = table(spark, d, "lineitem").where("l_linenumber < 8").dropDuplicates(["l_orderkey", "l_linenumber"])
-    label = F.element_at(F.array(*map(F.lit, _LABELS)), ((F.col("l_linenumber") * 3 + F.col("l_orderkey") % 7) % 7 + 1).cast("int"))
-    cell = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0, "n/a").otherwise(F.concat(F.lit("1,"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0")))
-    rows = lines.select("l_orderkey", F.col("l_linenumber").alias("i"), F.array(label, cell, F.lit("7")).alias("r"))
+    lines = table(spark, d, "lineitem").where("l_linenumber < 8").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("_lines"))
+    label = lambda i: F.element_at(F.array(*map(F.lit, _LABELS)), ((i * 3 + F.col("l_orderkey") % 7) % 7 + 1).cast("int"))
+    cell = lambda i: F.when((F.col("l_orderkey") + i) % 3 == 0, "n/a").otherwise(F.concat(F.lit("1,"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0")))
     head = F.array(F.lit(""), F.lit("2024"), F.when(F.col("l_orderkey") % 4 == 0, "2024").otherwise("FY 2023"))
-    body = F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"])
-    raw = rows.groupBy("l_orderkey").agg(body.alias("_rows")).select(
-        F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(0).alias("table_idx"), F.concat(F.array(head), "_rows").alias("rows")
-    )
-    found = locate.scores(locate.built(locate.table_rows(raw)))
+    body = F.transform("_lines", lambda i: F.array(label(i), cell(i), F.lit("7")))
+    raw = lines.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(0).alias("table_idx"), F.concat(F.array(head), body).alias("rows"))
+    found = locate.scores(locate.built_whole(raw))
     return found.select(F.col("document_id").cast("long").alias("document_id"), "kind", F.col("hits").cast("long").alias("hits"), F.col("score").cast("long").alias("score"))
 
 
